@@ -35,7 +35,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).head()[0]
+    return spark.read.text(path, wholetext=True).head()[0]
 
 
 def file_hash(spark: SparkSession, path: str) -> str:
