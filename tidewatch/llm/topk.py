@@ -128,11 +128,12 @@ def nra_block(queries: np.ndarray, candidates: np.ndarray, k: int) -> list[tuple
 
 
 def _plain(q: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores too large for 64 bits, by Python's integers, cut to 64 bits."""
-    scores = np.array([max(-(1 << 63), min((1 << 63) - 1, sum(int(a) * int(b) for a, b in zip(q, c, strict=True)))) for c in candidates], np.int64)
-    keep = min(k, len(scores))
-    at = np.flatnonzero(scores >= np.partition(scores, len(scores) - keep)[len(scores) - keep])
-    return at, scores[at]
+    """The same where 64 bits may not hold a score: by Python's integers, and the
+    scores kept are cut to 64 bits."""
+    scores = [sum(int(a) * int(b) for a, b in zip(q, c, strict=True)) for c in candidates]
+    worst = sorted(scores, reverse=True)[min(k, len(scores)) - 1] if scores else 0
+    at = [j for j, s in enumerate(scores) if s >= worst]
+    return np.array(at, np.int64), np.array([max(-(1 << 63), min((1 << 63) - 1, scores[j])) for j in at], np.int64)
 
 
 def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
