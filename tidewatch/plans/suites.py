@@ -77,14 +77,14 @@ def walk_forward_suite(panel: DataFrame) -> DataFrame:
     rows = baseline_rows(data).select(COLUMNS)
     for kind in ("logistic", "gbm"):
         rows = rows.unionByName(model_rows(data, list(MARKET_FEATURES), kind).select(COLUMNS))
-    return metrics.evaluate_strategy(rows, ["name"])
+    return metrics.evaluate_strategy(rows.cache(), ["name"])
 
 
 def adaptive_suite(panel: DataFrame) -> DataFrame:
     """Small-feature models with the adaptive signal."""
     data = market_dataset(panel).cache()
     a, b = (model_rows(data, list(SMALL_FEATURES), k, None, f"{k}_small4_adaptive").select(COLUMNS) for k in ("logistic", "gbm"))
-    return metrics.evaluate_strategy(a.unionByName(b), ["name"])
+    return metrics.evaluate_strategy(a.unionByName(b).cache(), ["name"])
 
 
 def holdout_rows(panel: DataFrame, kind: str = "gbm", tail: int = 251) -> DataFrame:
@@ -110,7 +110,7 @@ def holdout_rows(panel: DataFrame, kind: str = "gbm", tail: int = 251) -> DataFr
 
 
 def holdout_suite(panel: DataFrame, kind: str = "gbm") -> DataFrame:
-    return metrics.evaluate_strategy(holdout_rows(panel, kind), ["name"])
+    return metrics.evaluate_strategy(holdout_rows(panel, kind).cache(), ["name"])
 
 
 def book_suite(book: DataFrame, market: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def book_suite(book: DataFrame, market: DataFrame) -> DataFrame:
     data = book_dataset(book, market).cache()
     rule = baseline_rows(data, "BOOK_close", names=("persistence",)).withColumn("name", F.lit("book_persistence")).select(COLUMNS)
     model = model_rows(data, list(BOOK_FEATURES), "logistic", None, "book_logistic_adaptive").select(COLUMNS)
-    return metrics.evaluate_strategy(rule.unionByName(model), ["name"])
+    return metrics.evaluate_strategy(rule.unionByName(model).cache(), ["name"])
 
 
 def model_against_rule(model: DataFrame, rule: DataFrame, runs: int, n_boot: int = bootstrap.N_BOOT, seed: int = SEED) -> DataFrame:
