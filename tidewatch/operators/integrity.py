@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -24,10 +25,13 @@ def prefix_variance(df: DataFrame, build: Callable[[DataFrame], DataFrame], colu
     return cut.join(whole, list(keys)).where(differs)
 
 
+#: A row frame that ends after its own row, as plans print it.
+_AHEAD = re.compile(r"specifiedwindowframe\(RowFrame, [^)]*?, (?:[1-9]\d*|unboundedfollowing\$\(\))\)")
+
+
 def looks_ahead(plan: DataFrame) -> bool:
     """Whether any window frame of a plan reaches past its row."""
-    text = plan._jdf.queryExecution().analyzed().toString()
-    return any(f"currentrow$(), {end}" in text for end in ("unboundedfollowing$()",)) or bool(__import__("re").search(r"specifiedwindowframe\(RowFrame, [^)]*?, [1-9]\d*\)", text))
+    return bool(_AHEAD.search(plan._jdf.queryExecution().analyzed().toString()))
 
 
 def staleness(df: DataFrame, features: list[str], label: str = "label", lags: tuple[int, ...] = (0, 1, 5), over: Over = Over(by=())) -> DataFrame:
