@@ -178,7 +178,7 @@ def brute_components(texts, size, percent):
     return [(len(s), c) for s, c in zip(sets, label, strict=True)]
 
 
-@pytest.mark.parametrize(("size", "long"), [(4, 64), (5, 2)])
+@pytest.mark.parametrize(("size", "long"), [(4, 32), (5, 2)])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, size, long):
     """With long = 2 every way for long lists is taken."""
     monkeypatch.setattr(neardup, "LONG", long)
@@ -216,7 +216,7 @@ def test_pii_keeps_formats_and_leaves_the_rest(spark):
     again = pii.pseudonym_report(spark.createDataFrame([(r.doc_id, r.text) for r in report], "doc_id long, text string")).orderBy("doc_id").collect()
     for (_, old), new, twice, kind in zip(rows, report, again, kinds, strict=True):
         assert new.kinds == kind and new.n_found == 1 and new.text != old and len(new.text) == len(old)
-        assert [c.isdigit() for c in new.text] == [c.isdigit() for c in old] or kind in ("ip", "secret")
+        assert [c.isdigit() for c in new.text] == [c.isdigit() for c in old] or kind == "secret"
         assert twice.kinds == kind, "a pseudonym is a valid value of its kind"
     clean = pii.pseudonym_report(spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN)], "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.text for r in clean] == CLEAN and all(r.n_found == 0 for r in clean)

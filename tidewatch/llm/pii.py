@@ -133,7 +133,7 @@ def class_mask(value: Column) -> Column:
     return F.translate(out, ALPHABETS["d"], "d" * 10)
 
 
-def permute_pair(x: Column, y: Column, sizes: tuple[int, int], key: str) -> Column:
+def permute_pair(x: Column, y: Column, sizes: tuple[int | Column, int | Column], key: str) -> Column:
     """struct(x, y): the keyed permutation of the pairs with x < sizes[0] and
     y < sizes[1], by a Feistel network over the two numbers."""
 
@@ -154,9 +154,18 @@ def _email_mask(v: Column) -> Column:
 
 
 def _ip(v: Column, key: str) -> Column:
-    o = F.transform(F.split(v, "\\."), lambda c: c.cast("int"))
-    pair = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], (65536, 65536), f"{key}|ip")
-    return _let(pair, lambda q: F.concat_ws(".", *[F.floor(n).cast("string") for n in (q["x"] / 256, q["x"] % 256, q["y"] / 256, q["y"] % 256)]))
+    """Each octet keeps its number of digits: 0-9, 10-99 or 100-255."""
+
+    def of(parts: Column) -> Column:
+        digits = [F.char_length(parts[k]) for k in range(4)]
+        low = [F.when(n == 1, 0).when(n == 2, 10).otherwise(100) for n in digits]
+        count = [F.when(n == 1, 10).when(n == 2, 90).otherwise(156) for n in digits]
+        at = [parts[k].cast("int") - low[k] for k in range(4)]
+        pair = permute_pair(at[0] * count[1] + at[1], at[2] * count[3] + at[3], (count[0] * count[1], count[2] * count[3]), f"{key}|ip")
+        octets = lambda q: [F.floor(q["x"] / count[1]) + low[0], q["x"] % count[1] + low[1], F.floor(q["y"] / count[3]) + low[2], q["y"] % count[3] + low[3]]
+        return _let(pair, lambda q: F.concat_ws(".", *[n.cast("int").cast("string") for n in octets(q)]))
+
+    return _let(F.split(v, "\\."), of)
 
 
 #: Days of the 400-year cycle of the calendar, as two factors; the cycle the dates of our time lie in.
