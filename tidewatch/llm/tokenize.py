@@ -14,10 +14,14 @@ import gc
 import json
 import os
 from array import array
+from operator import add
 
 from .bpe import SpaceCuts, byte_alphabet
 
 
+_STOPS = frozenset(".,")
+
+
 class LibraryEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -25,7 +29,7 @@ class LibraryEncoder:
     anew, which changes the time only.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,18 +91,20 @@ class LibraryEncoder:
         split, pieces = self.cuts.pieces, self.pieces
         if len(pieces) > self.limit:
             pieces.clear()
-        fresh, several = set(), {}
-        for c in chunks:
-            if (word := c).isalpha():
-                word = lead + c
-                if word not in pieces:
-                    fresh.add(word)
-            else:
-                several[c] = ps = split(lead + c)
-                fresh.update(p for p in ps if p not in pieces)
-        self._encode_pieces(list(fresh))
-        for c in chunks:
-            known[c] = b"".join([pieces[p] for p in several[c]]) if c in several else pieces[lead + c]
+        # Most chunks are a word, or a word and a stop: these go through whole lists at once.
+        words = [c for c in chunks if c.isalpha()]
+        rest = chunks.difference(words)
+        stopped = [c for c in rest if c[-1:] in _STOPS and c[:-1].isalpha()]
+        rest.difference_update(stopped)
+        named, heads = [lead + c for c in words], [lead + c[:-1] for c in stopped]
+        several = {c: split(lead + c) for c in rest}
+        fresh = set(named)
+        fresh.update(heads, _STOPS, *several.values())
+        self._encode_pieces(list(fresh.difference(pieces)))
+        get = pieces.__getitem__
+        known.update(zip(words, map(get, named)))
+        known.update(zip(stopped, map(add, map(get, heads), [get(c[-1]) for c in stopped])))
+        known.update((c, b"".join(map(get, ps))) for c, ps in several.items())
 
     def _encode_pieces(self, fresh: list[str]) -> None:
         pieces, printable = self.pieces, self.printable
