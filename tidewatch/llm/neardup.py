@@ -9,19 +9,16 @@ components.
 Long lists (a passage in many documents, a large group of near copies) never
 give all their pairs:
 
-1. *Lists of the ``KEYS`` smallest values.*  Of two sets with the least
-   similarity t asked for, the KEYS smallest values of the union are all
-   outside the intersection with probability (1 - t)**KEYS: 6e-12 for 0.8.  Lists
-   of at most ``LONG`` classes give their pairs.
-2. Classes with a longer list among their keys list their whole sketch again,
-   rarest values first.  Two such sketches share ``_least_shared`` values or more
-   (but for 1 in 10**9 pairs), so the rarest values up to there hold a common one.
-3. Classes that still have a long list there list their full sets, rarest value
-   first, up to the exact prefix, with positions: a common value at positions
-   i and j leaves room for a bounded overlap only.  Pairs of short lists are
-   candidates.  Of long lists each class meets the list's most typical class;
-   confirmed links are joined to components, and only classes whose component
-   is not the list's prevailing one meet the list's other classes.
+1. *Sketches.*  Each class lists its sketch, rarest values first.  Two sketches of
+   sets with the least similarity asked for share ``_least_shared`` values or
+   more (but for 1 in 10**9 pairs), so the rarest values up to there hold a
+   common one.  Lists of at most ``LONG`` classes give their pairs.
+2. *Full sets.*  Classes that stand in a longer list there list their full sets,
+   rarest value first, up to the exact prefix, with positions: a common value at
+   positions i and j leaves room for a bounded overlap only.  Pairs of short
+   lists are candidates.  Of long lists each class meets the list's most typical
+   class; confirmed links are joined to components, and only classes whose
+   component is not the list's prevailing one meet the list's other classes.
 
 So no link is lost to a cap; what was joined already is not compared again.
 """
@@ -40,8 +37,7 @@ from pyspark.sql.window import Window
 from .common import Scratch, arrow_rows
 
 SKETCH = 64
-KEYS = 16
-LONG = 64  # classes in a list above which it does not give all its pairs
+LONG = 32  # classes in a list above which it does not give all its pairs
 
 #: Odd 64-bit multipliers of the published splitmix64 finaliser, and its increment.
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -100,20 +96,19 @@ def _least_shared(draws: int, percent: int) -> int:
 
 
 def scan(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, h1, h2, keys, sketch`` of every row (null text: empty)."""
+    """``doc_id, n, h1, h2, sketch`` of every row (null text: empty)."""
 
     def make():
         def work(rows):
             for doc, text in rows:
                 s = shingles(text, size)
                 u = _mix(s.view(np.uint64) + _STEP)
-                low = s[:SKETCH]
-                yield doc, len(s), int(u.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_mix(u), initial=np.uint64(0)).astype(np.int64)), low[:KEYS].tolist(), low.tobytes()
+                yield doc, len(s), int(u.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_mix(u), initial=np.uint64(0)).astype(np.int64)), s[:SKETCH].tolist()
 
         return work
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return arrow_rows(plain, ["doc_id", "text"], "doc_id long, n long, h1 long, h2 long, keys array<long>, sketch binary", make)
+    return arrow_rows(plain, ["doc_id", "text"], "doc_id long, n long, h1 long, h2 long, sketch array<long>", make)
 
 
 def _size_ok(percent: int):
@@ -126,6 +121,19 @@ def _listed(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lengths.where(F.col("length") <= LONG), lengths.where(F.col("length") > LONG)
 
 
+def _rare_first(values: DataFrame, classes: DataFrame, limit: int | None = None) -> DataFrame:
+    """``v, cls, n, df, pos`` of the values that two classes or more have: their
+    place in the class's values by rarity.  Values of one class alone come first
+    in that order, so only their number is needed.  ``limit``: the most values a
+    class lists."""
+    common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = values.join(common, "v").join(classes.select("cls", "n"), "cls")
+    by_class = Window.partitionBy("cls")
+    listed = F.col("n") if limit is None else F.least(F.col("n"), F.lit(limit))
+    place = F.row_number().over(by_class.orderBy("df", "v")) - 1
+    return shared.withColumn("pos", listed - F.count(F.lit(1)).over(by_class) + place)
+
+
 def _pairs_within(postings: DataFrame, short: DataFrame, percent: int, extra=None) -> DataFrame:
     """(a, b) with a < b that share a short list and fit in size."""
     own = postings.join(short.select("v"), "v")
@@ -148,7 +156,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def make():
         def work(rows):
             for a, b, n_a, n_b, s_a, s_b in rows:
-                x, y = np.frombuffer(s_a, np.int64), np.frombuffer(s_b, np.int64)
+                x, y = np.array(s_a, np.int64), np.array(s_b, np.int64)
                 merged = np.sort(np.concatenate((x, y)))
                 twice = merged[1:] == merged[:-1]
                 if max(n_a, n_b) <= SKETCH:  # the sketches are the sets
@@ -221,15 +229,12 @@ def _dense_links(classes: DataFrame, hard: DataFrame, texts_of, links: DataFrame
     def make():
         return lambda rows: ((cls, v) for cls, text in rows for v in shingles(text, size).tolist())
 
-    values = arrow_rows(texts, ["cls", "text"], "cls long, v long", make, 8192)
-    full = scratch.save(values.join(classes.select("cls", "n"), "cls"), "hard-values")
-    common = full.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("cls").orderBy("df", "v")
-    ranked = full.join(common, "v").withColumn("pos", F.row_number().over(w) - 1)
+    values = scratch.save(arrow_rows(texts, ["cls", "text"], "cls long, v long", make, 8192), "hard-values")
+    ranked = _rare_first(values, classes)
     # position pos can be the first common one only if the rest is large enough for the smallest partner, percent of n
-    prefix = ranked.where((F.col("n") - F.col("pos")) * 100 >= F.col("n") * percent)
-    typical = full.join(common, "v").groupBy("cls").agg((F.sum(F.col("df").cast("double")) / F.count(F.lit(1))).alias("centrality"))
-    prefix = scratch.save(prefix.where("df > 1").join(typical, "cls").select("v", "cls", "n", "pos", "centrality"), "hard-prefix")
+    near = (F.col("n") - F.col("pos")) * 100 >= F.col("n") * percent
+    centrality = F.sum(F.col("df").cast("double")).over(Window.partitionBy("cls")) / F.col("n")
+    prefix = scratch.save(ranked.withColumn("centrality", centrality).where(near).select("v", "cls", "n", "pos", "centrality"), "hard-prefix")
     short, long = _listed(prefix)
     plain = _pairs_within(prefix, short, percent, _room(percent))
     in_long = scratch.save(prefix.join(long.select("v"), "v"), "long-lists")
@@ -269,50 +274,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     scratch = Scratch(docs.sparkSession)
     signed = scratch.save(scan(docs, size), "signed")
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), F.min_by("keys", "doc_id").alias("keys"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
+    classes = scratch.save(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
 
     def texts_of(chosen: DataFrame) -> DataFrame:
         """(cls, text) for some classes; of repeated ids the row with the class's own set."""
         plain = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").where(F.col("text").isNotNull())
         return plain.join(chosen.select("cls").distinct(), "cls")
 
-    postings = scratch.save(classes.select(F.explode("keys").alias("v"), "cls", "n"), "postings")
-    short, long = _listed(postings)
-    pairs = _pairs_within(postings, short, percent)
-    crowded = scratch.save(postings.join(long.select("v"), "v").select("cls").distinct(), "crowded")
-    hard = None
-    if crowded.limit(1).count():
-        again, hard = _second_lists(classes, crowded, scratch, percent)
-        pairs = pairs.union(again)
+    pairs, hard = _sketch_lists(classes, scratch, percent)
     likely = scratch.save(_likely(pairs, classes, percent), "likely")
+    scratch.drop("sketch-prefix")
     texts = texts_of(likely.select(F.col("a").alias("cls")).union(likely.select("b")))
     links = scratch.save(_confirmed(likely, texts, size, percent), "links")
-    if hard is not None and hard.limit(1).count():
+    if hard.limit(1).count():
         links = links.union(scratch.save(_dense_links(classes, hard, texts_of, links, scratch, size, percent), "dense"))
     component = components(links, scratch, "final")
-    scratch.drop("postings", "crowded", "likely", "hard-texts", "hard-values", "hard-prefix", "long-lists", "useful")
+    scratch.drop("likely", "hard-texts", "hard-values", "hard-prefix", "long-lists", "useful")
     named = classes.select("h1", "h2", "n", "cls").join(component.withColumnsRenamed({"node": "cls"}), "cls", "left").select("h1", "h2", "n", F.coalesce("component", "cls").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _second_lists(classes: DataFrame, crowded: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
+def _sketch_lists(classes: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs from whole sketches, rarest value first, and the classes
     that still stand in a long list."""
-    own = classes.select("cls", "n", "sketch").join(crowded, "cls")
-
-    def make():
-        return lambda rows: ((cls, n, v) for cls, n, sketch in rows for v in np.frombuffer(sketch, np.int64).tolist())
-
-    values = scratch.save(arrow_rows(own, ["cls", "n", "sketch"], "cls long, n long, v long", make, 8192), "sketch-values")
-    common = values.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("cls").orderBy("df", "v")
-    ranked = values.join(common, "v").withColumn("pos", F.row_number().over(w) - 1)
+    values = classes.select("cls", F.explode("sketch").alias("v"))
+    ranked = _rare_first(values, classes, SKETCH)
     # Sketches hold the whole set up to SKETCH values; a partner of such a set may have more, so the exact bound holds up to percent of SKETCH only.
     whole = SKETCH * percent // 100
     least = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.lit(_least_shared(SKETCH, percent)))
-    prefix = ranked.where((F.least(F.col("n"), F.lit(SKETCH)) - F.col("pos") >= least) & (F.col("df") > 1))
+    prefix = ranked.where(F.least(F.col("n"), F.lit(SKETCH)) - F.col("pos") >= least)
     prefix = scratch.save(prefix.select("v", "cls", "n"), "sketch-prefix")
     short, long = _listed(prefix)
     hard = scratch.save(prefix.join(long.select("v"), "v").select("cls").distinct(), "hard")
