@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import regex
 from pyspark.sql import DataFrame
 
-from .common import arrow_rows, doc_text
+from .common import arrow_rows, claim_memory, doc_text
 
 #: The split pattern of the byte-level pre-tokenizer, as its library defines it.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -150,6 +150,11 @@ class ForcedBoundaryBpe:
         self.first = _Chunks(self._chunk, "", remember)
         self.later = _Chunks(self._chunk, " ", remember)
 
+    def forget(self) -> None:
+        """Drop what is remembered."""
+        for memory in (self.first, self.later, self.fragments):
+            memory.clear()
+
     def encode(self, text: str) -> bytes:
         """Token ids of a text as little-endian unsigned 32-bit integers."""
         out = []
@@ -238,6 +243,7 @@ _loaded: dict[str, ForcedBoundaryBpe] = {}
 
 def loaded(path: str) -> ForcedBoundaryBpe:
     """One encoder for each worker process and file, kept between tasks."""
+    claim_memory("bpe", lambda: [e.forget() for e in _loaded.values()])
     if path not in _loaded:
         _loaded[path] = ForcedBoundaryBpe(path)
     return _loaded[path]

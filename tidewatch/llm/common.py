@@ -58,6 +58,20 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_memory: dict = {}
+
+
+def claim_memory(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Let one operator at a time remember things in a worker process.
+
+    Workers serve tasks of many stages one after another.  Who claims makes the
+    owner before forget; the same owner keeps what it remembers.
+    """
+    if _memory.get("owner") != owner:
+        _memory.get("forget", lambda: None)()
+        _memory.update(owner=owner, forget=forget)
+
+
 def arrow_rows(
     df: DataFrame,
     columns: list[str],

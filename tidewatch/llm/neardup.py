@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, arrow_rows
+from .common import Scratch, arrow_rows, claim_memory
 
 SKETCH = 64
 LONG = 32  # classes in a list above which it does not give all its pairs
@@ -54,7 +54,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -70,6 +70,7 @@ def shingles(text: str, size: int) -> np.ndarray:
     from tab to carriage return, with A-Z in lower case.  A text of fewer than
     ``size`` words is one shingle; one without words has none.
     """
+    claim_memory("neardup", _words.clear)
     words = text.encode().translate(_LOWER).split()  # bytes.split() parts at exactly those characters
     if not words:
         return np.zeros(0, np.int64)

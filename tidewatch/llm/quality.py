@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, doc_text
+from .common import arrow_rows, claim_memory, doc_text
 
 FEATURES = (
     "log_bytes", "letters", "upper", "digits", "spaces", "newlines", "stops", "commas", "exclaims", "symbols", "pipes", "quotes_brackets", "not_ascii",
@@ -40,6 +40,7 @@ _GROUPS = _kinds(
 def statistics(text: str) -> list[float]:
     """The features of one text, in the order of :data:`FEATURES`; an empty text
     has zeros."""
+    claim_memory("quality")
     raw = text.encode()
     n = max(1, len(raw))
     shares = (_GROUPS @ np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / n).tolist()

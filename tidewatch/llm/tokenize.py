@@ -17,6 +17,7 @@ from array import array
 from operator import add
 
 from .bpe import SpaceCuts, byte_alphabet
+from .common import claim_memory
 
 
 _STOPS = frozenset(".,")
@@ -29,7 +30,7 @@ class LibraryEncoder:
     anew, which changes the time only.
     """
 
-    def __init__(self, path: str, remember: int = 900_000):
+    def __init__(self, path: str, remember: int = 750_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,6 +55,11 @@ class LibraryEncoder:
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # chunks with the space before, without
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what is remembered."""
+        for memory in (*self.known, self.pieces) if self.by_chunk else ():
+            memory.clear()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return [array("I", e.ids).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
@@ -123,6 +129,7 @@ _loaded: dict[str, LibraryEncoder] = {}
 
 def loaded(path: str) -> LibraryEncoder:
     """One encoder for each worker process and file, kept between tasks."""
+    claim_memory("tokenize", lambda: [e.forget() for e in _loaded.values()])
     if path not in _loaded:
         _loaded[path] = LibraryEncoder(path)
     return _loaded[path]
