@@ -104,6 +104,7 @@ def arrow_rows(
                 held = []
         if held:
             yield _batch(held, arrow)
+        pa.default_memory_pool().release_unused()  # workers live on, and others need the memory
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ class LibraryEncoder:
     anew, which changes the time only.
     """
 
-    def __init__(self, path: str, remember: int = 750_000):
+    def __init__(self, path: str, remember: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,7 +135,7 @@ def loaded(path: str) -> LibraryEncoder:
     return _loaded[path]
 
 
-def encoded(rows, path: str, at_once: int = 4_000_000):
+def encoded(rows, path: str, at_once: int = 2_000_000):
     """(row, ids) for rows whose last field is the text; texts go to the encoder
     in groups of about ``at_once`` characters."""
     encoder, held, chars = loaded(path), [], 0
