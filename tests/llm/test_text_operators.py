@@ -231,6 +231,16 @@ def test_pii_is_a_permutation(spark):
         assert got.distinct().count() == 3000 and got.where(sound).count() == 3000
 
 
+def test_phones_with_any_area_code(spark):
+    old = ["+1 (017) 555-7713", "+1 (117) 155-7713", "(017) 055-7713", "017-555-7713", "1.917.055.7713", "+(017) 555-7713", "+123 456 7890"]
+    docs = spark.createDataFrame([(k, f"call {t} now") for k, t in enumerate(old)], "doc_id long, text string")
+    for (t, r) in zip(old, pii.pseudonym_report(docs).orderBy("doc_id").collect(), strict=True):
+        assert r.kinds == "phone" and t not in r.text and [c.isdigit() for c in r.text] == [c.isdigit() for c in f"call {t} now"]
+    every = spark.range(2000).select(F.format_string("+1 (%03d) 555-7713", F.col("id") % 1000).alias("v")).distinct()
+    got = every.select(pii.pseudonym(F.col("v"), "key")["value"].alias("p"))
+    assert got.distinct().count() == 1000 and got.where(f"p RLIKE r'^(?:{pii.PHONE})$'").count() == 1000
+
+
 def test_pii_links_equal_values_and_handles_edges(spark):
     rows = [(1, "x 161.17.88.162 y 161.17.88.162", "a"), (2, "161.17.88.162", None), (3, None, "b"), (4, "", "c"), (4, "", "c")]
     got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, kinds string"))

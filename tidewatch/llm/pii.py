@@ -24,6 +24,7 @@ ROUNDS = 8
 ALPHABETS = {
     "d": "0123456789",
     "n": "23456789",
+    "b": "01",
     "l": "abcdefghijklmnopqrstuvwxyz",
     "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "h": "0123456789abcdef",
@@ -38,7 +39,7 @@ EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 DATE = r"(?<![\d./\-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d/\-]|\.\d)"
 SSN = r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d\-])"
-PHONE = r"(?<![\d+])\+?1?[ .\-]?\([2-9]\d\d\) ?[2-9]\d\d[ .\-]\d{4}(?!\d)|(?<![\d+\-.])(?:\+?1[ .\-])?[2-9]\d\d([.\-])[2-9]\d\d\1\d{4}(?![\d\-])|(?<![\d+])\+[1-9](?:[ .\-]?\d){7,13}(?!\d)"
+PHONE = r"(?<![\d+])\+?1?[ .\-]?\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d+\-.])(?:\+?1[ .\-])?\d{3}([.\-])\d{3}\1\d{4}(?![\d\-])|(?<![\d+])\+[1-9](?:[ .\-]?\d){7,13}(?!\d)"
 CARD = r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-]|\.\d)"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
 SECRET = r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![\p{L}\p{N}])"
@@ -201,10 +202,14 @@ def _remainder_97(v: Column) -> Column:
 
 
 def _phone_mask(v: Column) -> Column:
-    """North American numbers stay valid; of others the country's digits stay."""
-    american = r"^(\+?1?[ .\-]?\(?)[2-9]\d\d(\)? ?[ .\-]?)[2-9]\d\d([ .\-])\d{4}$"
+    """North American numbers stay valid, and of area code and exchange a first
+    digit 0 or 1 stays one of the two; of others the country's digits stay."""
+    american = r"^((?:\+1|1(?=[ .\-(])|\+(?=[ .\-]?\())?[ .\-]?\(?)(\d)\d\d(\)? ?[ .\-]?)(\d)\d\d([ .\-])\d{4}$"
+    part = lambda k: F.regexp_extract(v, american, k)
+    first = lambda c: F.when(c < "2", "b").otherwise("n")
     other = F.concat(F.lit("==="), F.regexp_replace(F.substr(v, F.lit(4)), r"\d", "d"))
-    return F.when(v.rlike(american), F.regexp_replace(v, american, "$1ndd$2ndd$3dddd")).otherwise(other)
+    masked = F.concat(part(1), first(part(2)), F.lit("dd"), part(3), first(part(4)), F.lit("dd"), part(5), F.lit("dddd"))
+    return F.when(v.rlike(american), masked).otherwise(other)
 
 
 def _card_mask(v: Column) -> Column:
