@@ -159,6 +159,19 @@ def test_pages_without_an_article_lose_what_repeats(spark):
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_repeats_are_found_over_the_whole_of_a_large_host(spark):
+    rng = random.Random(2)
+    passages = [" ".join(f"s{j}-{t}" for t in range(rng.randint(4, 9))) for j in range(40)]
+    rows = []
+    for k in range(60):
+        own = " ".join(f"p{k}-{t}" for t in range(5))
+        rows.append((k, f"http://large.example/{k}", f"<div>{passages[k % 40]}</div><p>{own}</p><div>{passages[rng.randrange(40)]}</div>"))
+    rows += [rows[3], (99, "http://small.example/", f"<p>{passages[0]}</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, dealt = (sorted(tuple(r) for r in html_text.extract_main_text(pages, n).collect()) for n in (256, 2))
+    assert dealt == whole and any("s0-" in text for _, url, text, _ in whole if "small" in url)
+
+
 def vectors(spark, n=300, dim=8, seed=0):
     rng = np.random.default_rng(seed)
     rows = [(k, [float(x) for x in rng.normal(0, 0.3, dim)]) for k in range(n)]

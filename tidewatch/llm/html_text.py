@@ -5,13 +5,17 @@ where its element (nav, footer, aside, form, ...) or a word of its class, id or
 role says so, *article* inside ``article`` or ``main``, *open* elsewhere.  Blocks
 outside articles form the page's token stream.  The streams of a host's pages are
 concatenated, the suffixes are sorted, and runs of at least ``MIN_RUN`` tokens
-that stand on two distinct pages are covered.  Boilerplate goes; of open blocks
+that stand on two distinct pages are covered.  A large host is dealt over groups
+of pages: each group gives the hashes of its runs with the pages they stand on
+(1, or more), these are summed over the host, and a run that other groups
+have too is covered as one of the group's own.  Boilerplate goes; of open blocks
 the covered runs go and the unique runs stay (none, if the page has an article);
 article blocks stay whole, since an article may well repeat elsewhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -175,11 +179,73 @@ def repeated_cover(streams: list[list[str]], length: int = MIN_RUN) -> list[np.n
     return out
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """The main text of each of a host's pages, from their blocks."""
-    streams = [[t for zone, text in blocks if zone != ARTICLE for t in text.split(" ")] for blocks in pages]
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _number(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")
+
+
+def run_hashes(streams: list[list[str]], host: str, length: int = MIN_RUN) -> list[np.ndarray]:
+    """For each stream the 128-bit hash of each run of ``length`` tokens, as rows
+    of two numbers; equal in every process."""
+    known: dict[str, int] = {}
+    out, first = [], _number(host)
+    for stream in streams:
+        ids = [known[t] if t in known else known.setdefault(t, _number(t)) for t in stream]
+        n = max(0, len(ids) - length + 1)
+        halves = []
+        for shift in (0, 64):
+            tokens = np.array([(i >> shift) & (2**64 - 1) for i in ids], np.uint64)
+            value = np.full(n, (first >> shift) & (2**64 - 1), np.uint64)
+            for k in range(length):
+                value = _mixed((value ^ tokens[k : k + n]) + np.uint64(0x9E3779B97F4A7C15))
+            halves.append(value)
+        out.append(np.stack(halves, axis=1).view(np.int64))
+    return out
+
+
+def runs_of_group(streams: list[list[str]], host: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct run hashes of a group of pages, and for each whether it stands
+    on 1 of them or on more (2)."""
+    each = [np.unique(h, axis=0) for h in run_hashes(streams, host)]
+    runs, n = np.unique(np.concatenate([*each, np.zeros((0, 2), np.int64)]), axis=0, return_counts=True)
+    return runs, np.minimum(n, 2)
+
+
+def cover_elsewhere(streams: list[list[str]], host: str, elsewhere: np.ndarray, length: int = MIN_RUN) -> list[np.ndarray]:
+    """For each page's tokens, which lie in a run whose hash is in ``elsewhere``."""
+    wanted = set(map(tuple, elsewhere.tolist()))
+    first = np.unique(elsewhere[:, 0])
     out = []
-    for blocks, covered in zip(pages, repeated_cover(streams), strict=True):
+    for stream, hashes in zip(streams, run_hashes(streams, host, length), strict=True):
+        covered = np.zeros(len(stream), bool)
+        for at in np.flatnonzero(np.isin(hashes[:, 0], first)).tolist():
+            if tuple(hashes[at].tolist()) in wanted:
+                covered[at : at + length] = True
+        out.append(covered)
+    return out
+
+
+def outer_streams(pages: list[list[tuple[int, str]]]) -> list[list[str]]:
+    """The tokens of each page that stand outside articles."""
+    return [[t for zone, text in blocks if zone != ARTICLE for t in text.split(" ")] for blocks in pages]
+
+
+def main_texts(pages: list[list[tuple[int, str]]], host: str = "", elsewhere: np.ndarray | None = None) -> list[str]:
+    """The main text of each of a host's pages, from their blocks.  If they are a
+    group of its pages, ``elsewhere`` holds the hashes of the runs that stand on
+    one of them and on pages of other groups."""
+    streams = outer_streams(pages)
+    covers = repeated_cover(streams)
+    if elsewhere is not None and len(elsewhere):
+        covers = [a | b for a, b in zip(covers, cover_elsewhere(streams, host, elsewhere), strict=True)]
+    out = []
+    for blocks, covered in zip(pages, covers, strict=True):
         has_article = any(zone == ARTICLE for zone, _ in blocks)
         kept, at = [], 0
         for zone, text in blocks:
@@ -206,8 +272,9 @@ def extract_main_text(pages: DataFrame, pages_at_once: int = PAGES_AT_ONCE) -> D
     Null html counts as empty and gives an empty text; pages without a host form
     one host; repeated rows are pages each (a row's own copy counts as another
     page).  A host with more than ``pages_at_once`` pages is dealt by page id
-    over groups of about that many, so no task holds a whole large host.  Columns
-    besides page_id, url and html are ignored.
+    over groups of about that many, so no task holds a whole large host; what is
+    repeated is sought over the whole host all the same.  Runs count as equal by
+    128 bits of hash between groups, by their tokens inside one.  Columns besides page_id, url and html are ignored.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -228,10 +295,26 @@ def extract_main_text(pages: DataFrame, pages_at_once: int = PAGES_AT_ONCE) -> D
     dealt = read.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
     rows = dealt.select("host", "part", F.struct("page_id", "url").alias("page"), "zones", "texts")
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = [list(zip(z.tolist() if hasattr(z, "tolist") else z, t, strict=True)) for z, t in zip(pdf["zones"], pdf["texts"], strict=True)]
-        texts = main_texts(blocks)
+    def blocks_of(pdf: pd.DataFrame) -> list[list[tuple[int, str]]]:
+        return [list(zip(z.tolist() if hasattr(z, "tolist") else z, t, strict=True)) for z, t in zip(pdf["zones"], pdf["texts"], strict=True)]
+
+    def group_runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        host, part = pdf["host"].iloc[0], pdf["part"].iloc[0]
+        runs, n = runs_of_group(outer_streams(blocks_of(pdf)), host)
+        return pd.DataFrame({"host": host, "part": part, "a": runs[:, 0], "b": runs[:, 1], "n": n})
+
+    # Runs on several pages of their own group are known there; they only tell the other groups.
+    runs = dealt.where("groups IS NOT NULL").groupBy("host", "part").applyInPandas(group_runs, "host string, part long, a long, b long, n long")
+    single = F.collect_list(F.when(F.col("n") == 1, F.col("part")))
+    shared = runs.groupBy("host", "a", "b").agg(F.sum("n").alias("n"), single.alias("parts")).where("n > 1")
+    elsewhere = shared.select("host", F.explode("parts").alias("part"), "a", "b")
+
+    def work(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"page": [], "text": [], "n_chars": []})
+        texts = main_texts(blocks_of(pdf), pdf["host"].iloc[0], known[["a", "b"]].to_numpy(np.int64))
         return pd.DataFrame({"page": pdf["page"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    done = rows.groupBy("host", "part").applyInPandas(work, "page struct<page_id long, url string>, text string, n_chars long")
+    both = rows.groupBy("host", "part").cogroup(elsewhere.groupBy("host", "part"))
+    done = both.applyInPandas(work, "page struct<page_id long, url string>, text string, n_chars long")
     return done.select("page.page_id", "page.url", "text", "n_chars")
