@@ -172,6 +172,17 @@ def test_repeats_are_found_over_the_whole_of_a_large_host(spark):
     assert dealt == whole and any("s0-" in text for _, url, text, _ in whole if "small" in url)
 
 
+def test_what_repeats_decides_on_article_pages_too(spark):
+    page = lambda k: f"<div>Note {k} stands {k} outside {k} alone{k}</div><div>Our shop has many good things for you</div><article><p>Text {k} of its own.</p><p>Write to us today!</p><p>{'Quoted words' if k < 4 else k}</p></article>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(9)]
+    rows += [(20 + k, f"http://copies.example/{k}", "<article><p>One text</p></article>") for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for at_once in (256, 2):
+        got = {r.page_id: r.text for r in html_text.extract_main_text(pages, at_once).collect()}
+        assert got[3] == "Note 3 stands 3 outside 3 alone3\nText 3 of its own.\nQuoted words" and got[8].endswith("own.\n8")
+        assert got[20] == "One text"
+
+
 def vectors(spark, n=300, dim=8, seed=0):
     rng = np.random.default_rng(seed)
     rows = [(k, [float(x) for x in rng.normal(0, 0.3, dim)]) for k in range(n)]

@@ -9,8 +9,10 @@ that stand on two distinct pages are covered.  A large host is dealt over groups
 of pages: each group gives the hashes of its runs with the pages they stand on
 (1, or more), these are summed over the host, and a run that other groups
 have too is covered as one of the group's own.  Boilerplate goes; of open blocks
-the covered runs go and the unique runs stay (none, if the page has an article);
-article blocks stay whole, since an article may well repeat elsewhere.
+the covered runs go and the unique runs stay, beside an article too.  Article
+blocks stay, repeated or not, since an article may well repeat elsewhere; only a
+block that stands word for word on most of a host's pages goes as a notice (not
+if nothing else is left of the article).
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from .common import arrow_rows, ship
 
 MIN_RUN = 6
 PAGES_AT_ONCE = 256  # of one host; a larger host is dealt over several groups
+NOTICE_PAGES = 4  # a block on so many pages at least, and on most of the host's, is a notice
 HOT_HOSTS = 100_000  # that many large hosts at most are broadcast
 
 BOILER, OPEN, ARTICLE = 0, 1, 2
@@ -236,26 +239,42 @@ def outer_streams(pages: list[list[tuple[int, str]]]) -> list[list[str]]:
     return [[t for zone, text in blocks if zone != ARTICLE for t in text.split(" ")] for blocks in pages]
 
 
-def main_texts(pages: list[list[tuple[int, str]]], host: str = "", elsewhere: np.ndarray | None = None) -> list[str]:
+def blocks_of_group(pages: list[list[tuple[int, str]]]) -> dict[int, int]:
+    """The hashes of the article blocks, and on how many of the pages each is."""
+    count: dict[int, int] = {}
+    for blocks in pages:
+        for text in {text for zone, text in blocks if zone == ARTICLE}:
+            number = _number(text)
+            count[number] = count.get(number, 0) + 1
+    return count
+
+
+def main_texts(pages: list[list[tuple[int, str]]], host: str = "", elsewhere: np.ndarray | None = None, notices: set[int] | None = None) -> list[str]:
     """The main text of each of a host's pages, from their blocks.  If they are a
     group of its pages, ``elsewhere`` holds the hashes of the runs that stand on
-    one of them and on pages of other groups."""
+    one of them and on pages of other groups, and ``notices`` those of the blocks
+    that are notices on the host."""
+    if notices is None:
+        notices = {b for b, n in blocks_of_group(pages).items() if n >= NOTICE_PAGES and 2 * n > len(pages)}
     streams = outer_streams(pages)
     covers = repeated_cover(streams)
     if elsewhere is not None and len(elsewhere):
         covers = [a | b for a, b in zip(covers, cover_elsewhere(streams, host, elsewhere), strict=True)]
     out = []
     for blocks, covered in zip(pages, covers, strict=True):
-        has_article = any(zone == ARTICLE for zone, _ in blocks)
+        notice = {text for zone, text in blocks if zone == ARTICLE and notices and _number(text) in notices}
+        if all(text in notice for zone, text in blocks if zone == ARTICLE):
+            notice = set()
         kept, at = [], 0
         for zone, text in blocks:
             if zone == ARTICLE:
-                kept.append(text)
+                if text not in notice:
+                    kept.append(text)
                 continue
             words = text.split(" ")
             own = covered[at : at + len(words)]
             at += len(words)
-            if zone == OPEN and not has_article and (rest := " ".join(w for w, c in zip(words, own.tolist(), strict=True) if not c)):
+            if zone == OPEN and (rest := " ".join(w for w, c in zip(words, own.tolist(), strict=True) if not c)):
                 kept.append(rest)
         out.append("\n".join(kept))
     return out
@@ -279,7 +298,7 @@ def extract_main_text(pages: DataFrame, pages_at_once: int = PAGES_AT_ONCE) -> D
     spark = pages.sparkSession
     ship(spark)
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), page_host(F.col("url")).alias("host"))
-    large = own.groupBy("host").count().where(F.col("count") > pages_at_once).select("host", F.ceil(F.col("count") / pages_at_once).cast("int").alias("groups"))
+    large = own.groupBy("host").count().where(F.col("count") > pages_at_once).select("host", F.col("count").alias("pages"), F.ceil(F.col("count") / pages_at_once).cast("int").alias("groups"))
     if large.count() <= HOT_HOSTS:
         large = F.broadcast(large)
 
@@ -293,28 +312,38 @@ def extract_main_text(pages: DataFrame, pages_at_once: int = PAGES_AT_ONCE) -> D
 
     read = arrow_rows(own, ["page_id", "url", "host", "html"], "page_id long, url string, host string, zones array<int>, texts array<string>", make, 256)
     dealt = read.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    rows = dealt.select("host", "part", F.struct("page_id", "url").alias("page"), "zones", "texts")
+    rows = dealt.select("host", "part", F.col("groups").isNotNull().alias("grouped"), F.struct("page_id", "url").alias("page"), "zones", "texts")
 
     def blocks_of(pdf: pd.DataFrame) -> list[list[tuple[int, str]]]:
         return [list(zip(z.tolist() if hasattr(z, "tolist") else z, t, strict=True)) for z, t in zip(pdf["zones"], pdf["texts"], strict=True)]
 
-    def group_runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        host, part = pdf["host"].iloc[0], pdf["part"].iloc[0]
-        runs, n = runs_of_group(outer_streams(blocks_of(pdf)), host)
-        return pd.DataFrame({"host": host, "part": part, "a": runs[:, 0], "b": runs[:, 1], "n": n})
+    def group_counts(pdf: pd.DataFrame) -> pd.DataFrame:
+        host, part, pages = pdf["host"].iloc[0], pdf["part"].iloc[0], blocks_of(pdf)
+        runs, n = runs_of_group(outer_streams(pages), host)
+        blocks = blocks_of_group(pages)
+        halves = np.array([(b & (2**64 - 1), b >> 64) for b in blocks], np.uint64).reshape(-1, 2).view(np.int64)
+        both = np.concatenate([runs, halves])
+        n = np.concatenate([n, np.fromiter(blocks.values(), np.int64, len(blocks))])
+        return pd.DataFrame({"host": host, "pages": pdf["pages"].iloc[0], "part": part, "block": np.arange(len(n)) >= len(runs), "a": both[:, 0], "b": both[:, 1], "n": n})
 
     # Runs on several pages of their own group are known there; they only tell the other groups.
-    runs = dealt.where("groups IS NOT NULL").groupBy("host", "part").applyInPandas(group_runs, "host string, part long, a long, b long, n long")
-    single = F.collect_list(F.when(F.col("n") == 1, F.col("part")))
-    shared = runs.groupBy("host", "a", "b").agg(F.sum("n").alias("n"), single.alias("parts")).where("n > 1")
-    elsewhere = shared.select("host", F.explode("parts").alias("part"), "a", "b")
+    counted = dealt.where("groups IS NOT NULL").groupBy("host", "part").applyInPandas(group_counts, "host string, pages long, part long, block boolean, a long, b long, n long")
+    parts = F.collect_list(F.when(F.col("block") | (F.col("n") == 1), F.col("part")))
+    summed = counted.groupBy("host", "pages", "block", "a", "b").agg(F.sum("n").alias("n"), parts.alias("parts"))
+    found = summed.where(F.when(F.col("block"), (F.col("n") >= NOTICE_PAGES) & (2 * F.col("n") > F.col("pages"))).otherwise(F.col("n") > 1))
+    told = found.select("host", F.explode("parts").alias("part"), "block", "a", "b")
 
     def work(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({"page": [], "text": [], "n_chars": []})
-        texts = main_texts(blocks_of(pdf), pdf["host"].iloc[0], known[["a", "b"]].to_numpy(np.int64))
+        if pdf["grouped"].iloc[0]:
+            is_block, ab = known["block"].to_numpy(bool), known[["a", "b"]].to_numpy(np.int64)
+            notices = {(b << 64) | a for a, b in ab[is_block].view(np.uint64).tolist()}
+            texts = main_texts(blocks_of(pdf), pdf["host"].iloc[0], ab[~is_block], notices)
+        else:
+            texts = main_texts(blocks_of(pdf))
         return pd.DataFrame({"page": pdf["page"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    both = rows.groupBy("host", "part").cogroup(elsewhere.groupBy("host", "part"))
+    both = rows.groupBy("host", "part").cogroup(told.groupBy("host", "part"))
     done = both.applyInPandas(work, "page struct<page_id long, url string>, text string, n_chars long")
     return done.select("page.page_id", "page.url", "text", "n_chars")
