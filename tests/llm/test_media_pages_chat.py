@@ -212,6 +212,23 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     assert topk.divisible_queries(df.limit(0), 20).count() == 0
 
 
+def test_a_repeated_query_id_takes_no_places(spark):
+    rows = vectors(spark)
+    rows += [(20, [4 * x for x in rows[20][1]])] * 30 + [(40, rows[40][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = sorted((r.query_id, r.rank, r.score) for r in topk.divisible_queries(df, 20, 20).where("query_id = 20 OR query_id = 40").collect())
+    sound = {i: np.floor(64 * np.array(v)) for i, v in rows if i is not None and i < 500}
+    for q in (20, 40):
+        q_vector = min(tuple(np.floor(64 * np.array(v))) for i, v in rows if i == q)
+        scores = [int(np.dot(q_vector, np.floor(64 * np.array(v)))) for i, v in rows if i in sound and i != q]
+        assert [(r, s) for i, r, s in got if i == q] == list(enumerate(sorted(scores, reverse=True)[:20], 1))
+
+
+def test_large_components_stay(spark):
+    df = spark.createDataFrame([(20, [1 / 64, 0.0]), (1, [2.0**50, 1.0]), (2, [2.0**40, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.divisible_queries(df, 20).orderBy("rank").collect()] == [(1, 2**56), (2, 2**46)]
+
+
 def test_bounds_never_lose_a_winner():
     rng = np.random.default_rng(3)
     for large in (8, 30_000, 2**28, 2**31):

@@ -33,10 +33,10 @@ def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vecto
     """``vec_id, v`` with v the components as floor(scale * x), x as double.
 
     Null vectors, and vectors with null, NaN or infinite components, are left
-    out; so are components beyond 2**53 in size after scaling, which no double
-    holds exactly.
+    out; so are components of 2**63 and more in size after scaling, which no
+    64-bit number holds.
     """
-    top = float(1 << 53)
+    top = float((1 << 63) - 1024)
     scaled = F.transform(F.col(vector_col), lambda x: x.cast("double") * scale)
     # NaN is larger than anything in Spark, and a null comparison is not true
     sound = F.col(vector_col).isNotNull() & F.forall(scaled, lambda x: F.coalesce(x.between(-top, top), F.lit(False)))
@@ -162,8 +162,15 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataF
                 qi, ci = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
                 qv, cv = (np.frombuffer(d, t).astype(np.int64).reshape(n, dim) for d, t, n in ((q_data, q_kind, len(qi)), (data, kind, len(ci))))
                 found = ([], [], [])
-                for key, (at, scores) in zip(qi.tolist(), nra_block(qv, cv, k + 1), strict=True):
-                    others = ci[at] != key  # k + 1 were kept, as the query may be one of them
+                # As many more are kept as the query's own id has rows here; queries alike in that go together.
+                own = np.searchsorted(ids_sorted := np.sort(ci), qi, "right") - np.searchsorted(ids_sorted, qi, "left")
+                kept: list = [None] * len(qi)
+                for n in np.unique(own).tolist():
+                    alike = np.flatnonzero(own == n)
+                    for place, best_here in zip(alike.tolist(), nra_block(qv[alike], cv, k + n), strict=True):
+                        kept[place] = best_here
+                for key, (at, scores) in zip(qi.tolist(), kept, strict=True):
+                    others = ci[at] != key
                     at, scores = at[others], scores[others]
                     order = np.lexsort((ci[at], -scores))[:k]
                     found[0].append(np.full(len(order), key))
