@@ -81,6 +81,32 @@ def test_bootstrap_matches_numpy(spark):
     assert custom.lo == pytest.approx(got.lo)
 
 
+def test_the_metric_record_has_both_intervals(spark):
+    rng = np.random.default_rng(5)
+    y, p = rng.integers(0, 2, 95).astype(float), rng.random(95)
+    one = rows_of(spark, y, p)
+    both = one.withColumn("name", F.lit("a")).unionByName(one.where("i < 70").withColumn("i", F.col("i") + 150).withColumn("name", F.lit("b")))
+    got = {r.name: r for r in metrics.evaluate_strategy(both, ["name"], seed=7).collect()}
+    for name, n in (("a", 95), ("b", 70)):
+        gen, values = np.random.default_rng(7), []
+        for _ in range(bootstrap.N_BOOT):
+            idx = np.concatenate([np.arange(s, s + 20) % n for s in gen.integers(0, n, size=-(-n // 20))])[:n]
+            values.append((brute_auc(y[idx], p[idx]), np.mean((p[idx] - y[idx]) ** 2)))
+        want = np.quantile(values, [0.05, 0.95], axis=0)
+        assert got[name].auc_ci90 == pytest.approx(want[:, 0].tolist(), abs=6e-5) and got[name].brier_ci90 == pytest.approx(want[:, 1].tolist(), abs=6e-5)
+    assert metrics.evaluate_strategy(one, seed=7).head().brier_ci90 == got["a"].brier_ci90
+
+
+def test_suites_test_models_against_the_rule(spark):
+    from tidewatch.plans import suites
+
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 80).astype(float)
+    rule, model = rows_of(spark, y, rng.random(80)), rows_of(spark, y, y + rng.normal(0, 0.5, 80))
+    got = {r.name: r for r in suites.with_model_tests(rule.withColumn("name", F.lit("r")).unionByName(model.withColumn("name", F.lit("m"))), ["m"], "r").collect()}
+    assert got["r"].p_raw is None and got["m"].skill_claimed and got["m"].p_bonferroni == pytest.approx(min(1.0, 2 * got["m"].p_raw))
+
+
 def test_paired_difference(spark):
     rng = np.random.default_rng(8)
     y = rng.integers(0, 2, 120).astype(float)

@@ -85,6 +85,33 @@ def block_bootstrap_ci(rows: DataFrame, metric, starts: DataFrame | None = None,
     return interval(metric(resampled(rows, starts, n, block_len), ["rep"]), alpha)
 
 
+def intervals_by_key(rows: DataFrame, keys: list[str], n_boot: int = N_BOOT, block_len: int = BLOCK_LEN, alpha: float = ALPHA, seed: int = 0, order: str = "i") -> DataFrame:
+    """``keys, auc_lo, auc_hi, brier_lo, brier_hi``: the intervals of both metrics
+    for each key, as :func:`block_bootstrap_ci` gives them for its rows alone.
+
+    Keys with equally many rows share their drawn starts, as seeds do not differ.
+    """
+    from pyspark.sql.window import Window
+
+    by = Window.partitionBy(*keys)
+    placed = rows.withColumns({"i": (F.row_number().over(by.orderBy(order)) - 1).cast("long"), "n": F.count(F.lit(1)).over(by)}).select(*keys, "n", "i", "y", "p")
+    starts = None
+    for n in sorted(r[0] for r in rows.groupBy(*keys).count().select("count").distinct().collect()):
+        one = drawn_starts(rows.sparkSession, n, n_boot, block_len, seed).withColumn("n", F.lit(n).cast("long"))
+        starts = one if starts is None else starts.unionByName(one)
+    if starts is None:
+        starts = rows.sparkSession.createDataFrame([], "rep int, k int, start long, n long")
+    each = starts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block_len - 1)))).where(F.col("k") * block_len + F.col("j") < F.col("n"))
+    sample = each.select("n", "rep", F.pmod(F.col("start") + F.col("j"), F.col("n")).alias("i")).join(placed, ["n", "i"])
+    out = None
+    for name, metric in (("auc", metric_auc), ("brier", metric_brier)):
+        values = metric(sample, [*keys, "rep"])
+        v = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+        both = values.groupBy(*keys).agg(F.percentile(v, F.lit(alpha / 2)).alias(f"{name}_lo"), F.percentile(v, F.lit(1 - alpha / 2)).alias(f"{name}_hi"))
+        out = both if out is None else out.join(both, keys) if keys else out.join(F.broadcast(both), how="cross")  # one row each
+    return out
+
+
 def auc_difference(rows: DataFrame, model: str = "p", base: str = "p_base", starts: DataFrame | None = None, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
     """``auc_diff, p_raw, n_valid``: both scores on the same replicates; p is the
     share of replicates in which the model is not better.  Replicates of one

@@ -68,6 +68,19 @@ def model_rows(dataset: DataFrame, features: list[str], kind: str, threshold: fl
     return rows.withColumn("name", F.lit(name or kind))
 
 
+def with_model_tests(rows: DataFrame, models: list[str], rule: str, runs: int | None = None) -> DataFrame:
+    """The metric records of ``rows`` by name, and for each model the columns of
+    :func:`model_against_rule` (NULL for rules).  ``runs`` counts the runs to
+    adjust for: those logged so far, or else the suite's own strategies."""
+    records = metrics.evaluate_strategy(rows, ["name"], seed=SEED)
+    runs = runs or rows.select("name").distinct().count()
+    tests = None
+    for m in models:
+        one = model_against_rule(rows.where(F.col("name") == m), rows.where(F.col("name") == rule), runs).withColumn("name", F.lit(m))
+        tests = one if tests is None else tests.unionByName(one)
+    return records.join(tests, "name", "left")
+
+
 COLUMNS = ["i", "date", "y", "r", "name", "s", "p"]
 
 
@@ -77,14 +90,14 @@ def walk_forward_suite(panel: DataFrame) -> DataFrame:
     rows = baseline_rows(data).select(COLUMNS)
     for kind in ("logistic", "gbm"):
         rows = rows.unionByName(model_rows(data, list(MARKET_FEATURES), kind).select(COLUMNS))
-    return metrics.evaluate_strategy(rows.cache(), ["name"])
+    return with_model_tests(rows.cache(), ["logistic", "gbm"], "persistence")
 
 
 def adaptive_suite(panel: DataFrame) -> DataFrame:
     """Small-feature models with the adaptive signal."""
     data = market_dataset(panel).cache()
     a, b = (model_rows(data, list(SMALL_FEATURES), k, None, f"{k}_small4_adaptive").select(COLUMNS) for k in ("logistic", "gbm"))
-    return metrics.evaluate_strategy(a.unionByName(b).cache(), ["name"])
+    return metrics.evaluate_strategy(a.unionByName(b).cache(), ["name"], seed=SEED)
 
 
 def holdout_rows(panel: DataFrame, kind: str = "gbm", tail: int = 251) -> DataFrame:
@@ -110,7 +123,7 @@ def holdout_rows(panel: DataFrame, kind: str = "gbm", tail: int = 251) -> DataFr
 
 
 def holdout_suite(panel: DataFrame, kind: str = "gbm") -> DataFrame:
-    return metrics.evaluate_strategy(holdout_rows(panel, kind).cache(), ["name"])
+    return with_model_tests(holdout_rows(panel, kind).cache(), [f"{kind}_small4_frozen"], "persistence")
 
 
 def book_suite(book: DataFrame, market: DataFrame) -> DataFrame:
@@ -118,7 +131,7 @@ def book_suite(book: DataFrame, market: DataFrame) -> DataFrame:
     data = book_dataset(book, market).cache()
     rule = baseline_rows(data, "BOOK_close", names=("persistence",)).withColumn("name", F.lit("book_persistence")).select(COLUMNS)
     model = model_rows(data, list(BOOK_FEATURES), "logistic", None, "book_logistic_adaptive").select(COLUMNS)
-    return metrics.evaluate_strategy(rule.unionByName(model).cache(), ["name"])
+    return with_model_tests(rule.unionByName(model).cache(), ["book_logistic_adaptive"], "book_persistence")
 
 
 def model_against_rule(model: DataFrame, rule: DataFrame, runs: int, n_boot: int = bootstrap.N_BOOT, seed: int = SEED) -> DataFrame:
