@@ -172,3 +172,13 @@ def test_prefix_invariance_finds_a_leak(spark):
     assert integrity.prefix_variance(df, ahead, ["z"], 30).count() == 1
     assert integrity.prefix_variance(df, back, ["z"], 30).count() == 0
     assert integrity.looks_ahead(ahead(df)) and not integrity.looks_ahead(back(df))
+
+
+def test_prefixes_of_short_and_long_panels(spark):
+    from pyspark.sql.window import Window
+
+    ahead = lambda d: d.withColumn("z", F.lead("x", 1).over(Window.orderBy("i")))
+    for n, want in ((50, [48]), (400, [300, 398]), (600, [300, 500, 598])):
+        df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "x": np.random.default_rng(0).random(n)}))
+        assert sorted(r.i for r in integrity.prefix_variances(df, ahead, ["z"]).collect()) == want
+        assert integrity.prefix_variances(df.limit(0), ahead, ["z"]).count() == 0

@@ -25,6 +25,25 @@ def prefix_variance(df: DataFrame, build: Callable[[DataFrame], DataFrame], colu
     return cut.join(whole, list(keys)).where(differs)
 
 
+#: The rows at which a panel is cut, besides its last row.
+PREFIXES = (300, 500)
+
+
+def prefix_variances(df: DataFrame, build: Callable[[DataFrame], DataFrame], columns: list[str], position: str = "i") -> DataFrame:
+    """:func:`prefix_variance` at the rows of :data:`PREFIXES` and at the last two.
+
+    The last row has no future to cut off, so there both plans are the same by
+    nature; the row before it is the last that can show a leak.  A panel too
+    short for a row of :data:`PREFIXES` is checked at the others.
+    """
+    last = df.agg(F.max(position)).head()[0]
+    places = sorted({at for at in (*PREFIXES, *(() if last is None else (last - 1, last))) if last is not None and 0 <= at <= last})
+    out = prefix_variance(df, build, columns, last if last is not None else 0, position=position)
+    for at in places[:-1]:
+        out = out.unionByName(prefix_variance(df, build, columns, at, position=position))
+    return out
+
+
 #: A row frame that ends after its own row, as plans print it.
 _AHEAD = re.compile(r"specifiedwindowframe\(RowFrame, [^)]*?, (?:[1-9]\d*|unboundedfollowing\$\(\))\)")
 

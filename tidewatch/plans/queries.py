@@ -235,7 +235,7 @@ def q_staleness(spark, d):
 
 def q_prefix_invariance(spark, d):
     df = align.positioned(panel(spark, d))
-    return integrity.prefix_variance(df, with_market_features, list(MARKET_FEATURES), 500).select("i")
+    return integrity.prefix_variances(df, with_market_features, list(MARKET_FEATURES)).select("i")
 
 
 def q_series_audit(spark, d):
