@@ -107,6 +107,26 @@ def test_suites_test_models_against_the_rule(spark):
     assert got["r"].p_raw is None and got["m"].skill_claimed and got["m"].p_bonferroni == pytest.approx(min(1.0, 2 * got["m"].p_raw))
 
 
+def test_whole_bootstrap_runs_every_series(spark, monkeypatch):
+    from tidewatch.plans import queries
+
+    rng = np.random.default_rng(15)
+    own = {s: (rng.integers(0, 2, n).astype(float), rng.random(n)) for s, n in (("A", 65), ("N", 50))}
+    rows = [(s, i, float(a), float(b), float(b > 0.5)) for s, (y, p) in own.items() for i, (a, b) in enumerate(zip(y, p, strict=True))]
+    monkeypatch.setattr(queries, "signal_rows", lambda spark, d: spark.createDataFrame(rows, "series string, i long, y double, p double, s double"))
+    ci = {r.series: r for r in queries.QUERIES["bootstrap_ci_whole"](spark, "").collect()}
+    diff = {r.series: r for r in queries.QUERIES["auc_diff_whole"](spark, "").collect()}
+    assert set(ci) == set(diff) == set(own) and queries.QUERIES["bootstrap_sample_whole"](spark, "").count() == 2 * bootstrap.N_BOOT
+    for s, (y, p) in own.items():
+        n, brier, better = len(y), [], []
+        for rep in range(bootstrap.N_BOOT):
+            idx = np.concatenate([np.arange(x, x + 20) % n for x in ((rep * 7919 + k * 104729) % n for k in range(-(-n // 20)))])[:n]
+            brier.append(np.mean((p[idx] - y[idx]) ** 2))
+            better.append(brute_auc(y[idx], p[idx]) - brute_auc(y[idx], (p[idx] > 0.5).astype(float)) <= 1e-12)
+        assert (ci[s].lo, ci[s].hi) == pytest.approx(tuple(np.quantile(brier, [0.05, 0.95])), abs=1e-6) and ci[s].n_valid == bootstrap.N_BOOT
+        assert diff[s].n_valid == bootstrap.N_BOOT and diff[s].p_raw == pytest.approx(np.mean(better), abs=0.002)
+
+
 def test_paired_difference(spark):
     rng = np.random.default_rng(8)
     y = rng.integers(0, 2, 120).astype(float)

@@ -323,6 +323,32 @@ def q_auc_diff(spark, d):
     return out.select(r6("auc_diff"), r6("p_raw"), "n_valid")
 
 
+def of_each_series(spark, d, run):
+    """``run(rows, starts, n)`` over the rows of each series, with N_BOOT replicates."""
+    rows = signal_rows(spark, d).select("series", "i", "y", "p", F.col("s").alias("p_base")).cache()
+    out = None
+    for series, n in sorted(tuple(r) for r in rows.groupBy("series").count().collect()):
+        own = rows.where(F.col("series") == series).drop("series")
+        one = run(own, bootstrap.stepped_starts(spark, n, bootstrap.N_BOOT), n).withColumn("series", F.lit(series))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_bootstrap_sample_whole(spark, d):
+    run = lambda rows, starts, n: bootstrap.metric_auc(bootstrap.resampled(rows, starts, n), ["rep"])
+    return of_each_series(spark, d, run).select("series", "rep", r6("value", "auc"))
+
+
+def q_bootstrap_ci_whole(spark, d):
+    run = lambda rows, starts, n: bootstrap.block_bootstrap_ci(rows, bootstrap.metric_brier, starts)
+    return of_each_series(spark, d, run).select("series", r6("lo"), r6("hi"), "n_valid")
+
+
+def q_auc_diff_whole(spark, d):
+    run = lambda rows, starts, n: bootstrap.auc_difference(rows, starts=starts)
+    return of_each_series(spark, d, run).select("series", r6("auc_diff"), r6("p_raw"), "n_valid")
+
+
 def model_frame(spark, d):
     rows = signal_rows(spark, d)
     df = labelled(spark, d).join(rows.select("series", "date", "i", "y"), ["series", "date"]).select("series", "date", "i", "y", "rv_trail", "rv_thresh")
@@ -391,6 +417,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_resolve_date": q_resolve_date, "manifest_stats": q_manifest_stats, "row_digest": q_row_digest, "content_hash": q_content_hash, "snapshot_union": q_snapshot_union, "bonferroni": q_bonferroni,
     "event_series": q_event_series, "tail_rows": q_tail, "last_values": q_last_values,
     "bootstrap_sample": q_bootstrap_sample, "bootstrap_ci": q_bootstrap_ci, "auc_diff": q_auc_diff,
+    "bootstrap_sample_whole": q_bootstrap_sample_whole, "bootstrap_ci_whole": q_bootstrap_ci_whole, "auc_diff_whole": q_auc_diff_whole,
     "logistic_walk_forward": q_logistic, "gbm_walk_forward": q_gbm, "walk_forward_suite": q_walk_forward_suite, "holdout_suite": q_holdout_suite, "adaptive_suite": q_adaptive_suite,
     "book_suite": q_book_suite, "live_market_row": q_live_market, "live_book_row": q_live_book,
 }
