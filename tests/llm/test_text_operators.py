@@ -231,6 +231,13 @@ def test_pii_is_a_permutation(spark):
         assert got.distinct().count() == 3000 and got.where(sound).count() == 3000
 
 
+def test_secrets_without_digits(spark):
+    old = ["sk-" + "abcdefghij" * 2, "AKIA" + "QWERTYUI" * 2, "ghp_" + "abcdef" * 6, "abcdef" * 6]
+    docs = spark.createDataFrame([(k, f"my {t} here") for k, t in enumerate(old)], "doc_id long, text string")
+    for (t, r) in zip(old, pii.pseudonym_report(docs).orderBy("doc_id").collect(), strict=True):
+        assert r.kinds == "secret" and t not in r.text and len(r.text) == len(t) + 8
+
+
 def test_phones_with_any_area_code(spark):
     old = ["+1 (017) 555-7713", "+1 (117) 155-7713", "(017) 055-7713", "017-555-7713", "1.917.055.7713", "+(017) 555-7713", "+123 456 7890"]
     docs = spark.createDataFrame([(k, f"call {t} now") for k, t in enumerate(old)], "doc_id long, text string")

@@ -278,7 +278,7 @@ def pseudonym(match: Column, key: str) -> Column:
 def pseudonymise_text(text: Column, key: str) -> Column:
     """struct(text, kinds): the text with its personal data under pseudonyms, and
     the kind of each value that changed, in order."""
-    found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    found = F.when(text.rlike("[0-9@]|AKIA|ASIA|gh[pousr]_|sk-|[a-f]{32}|[A-F]{32}"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     nothing = F.struct(text.alias("text"), F.array().cast("array<string>").alias("kinds"))
 
     def put(ms: Column) -> Column:
