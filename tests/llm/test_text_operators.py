@@ -68,11 +68,20 @@ def test_library_encoder_equals_the_library(library):
     for k in range(0, len(texts), 100):
         part = texts[k : k + 100]
         assert [array.array("I", b).tolist() for b in own.encode_batch(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+    assert own.encode_batch(["", *texts, ""]) == [array.array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in ["", *texts, ""]]
     other = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(other).encode("Hello there", add_special_tokens=False).ids
     assert array.array("I", tokenize.LibraryEncoder(other).encode_batch(["Hello there"])[0]).tolist() == plain
 
 
+def test_a_clash_of_hashes_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(tokenize, "_SALT", np.zeros(256, np.uint64))  # chunks of one length have one hash
+    own = tokenize.LibraryEncoder(PATH)
+    texts = ["two men sat", "two men ran", "ten men sat"]
+    for _ in range(2):
+        assert [array.array("I", b).tolist() for b in own.encode_batch(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 131072, 131073, 200_000])
 @pytest.mark.parametrize("symbols", [1, 7, 50_257])
 def test_rans_round_trip(n, symbols):
@@ -82,14 +91,15 @@ def test_rans_round_trip(n, symbols):
     assert [(d, len(x)) for d, x in segment.documents()] == [(5, n // 2), (6, n - n // 2)]
 
 
-def test_damage_is_found():
-    ids = np.arange(5000, dtype=np.uint32) % 300
-    data = bytearray(rans.encode_segment(ids, np.array([1]), np.array([5000])))
-    for at in (9, 60, len(data) - 40):
-        bad = bytearray(data)
-        bad[at] ^= 1
-        with pytest.raises(Exception):  # noqa: B017, PT011
-            rans.Segment(bytes(bad)).ids()
+def test_damage_of_every_byte_is_found():
+    ids = np.arange(3000, dtype=np.uint32) % 300
+    data = rans.encode_segment(ids, np.array([1]), np.array([3000]), 3, 2, 77)
+    for at in range(len(data)):
+        for bad in (data[:at] + bytes([data[at] ^ 1 << at % 8]) + data[at + 1 :], data[:at]):
+            with pytest.raises(ValueError):  # noqa: PT011
+                rans.Segment(bad).ids()
+    file = rans.Segment(data)
+    assert (file.part, file.segment, file.before, file.n_ids) == (3, 2, 77, 3000)
 
 
 def test_large_ids_and_scaled_tables():
@@ -97,6 +107,8 @@ def test_large_ids_and_scaled_tables():
     assert (rans.Segment(rans.encode_segment(ids, np.array([0]), np.array([5]))).ids() == ids).all()
     freq = rans.scaled_frequencies(np.array([1, 1, 10**9]), 12)
     assert freq.sum() == 4096 and freq.min() >= 1
+    with pytest.raises(ValueError, match="do not fit"):
+        rans.scaled_frequencies(np.ones(5000, np.int64), 12)
 
 
 def test_token_files_are_in_order(spark, library):

@@ -1,10 +1,14 @@
 """Token-id files coded by a static range asymmetric numeral system.
 
 One *segment* is a self-contained file image: a shared table of symbol
-frequencies, a document index, and blocks of ids.  A block holds ``lanes``
-interleaved coder states; its words are read in step order, and it keeps its own
-checksum and *checkpoints* (all lane states and the word offset at a step), so
-that blocks, and the spans between checkpoints, decode independently.
+frequencies, a document index, and blocks of ids.  Its head says which part and
+segment of a file set it is, how many ids its part holds before it, and how many
+it holds itself.  A block holds ``lanes`` interleaved coder states; its words are
+read in step order, and it keeps *checkpoints* (all lane states and the word
+offset at a step), so that blocks, and the spans between checkpoints, decode
+independently.  Checksums cover the head with its tables, each block's stored
+bytes, and each block's ids; each span must end in the next checkpoint's states,
+the last one in the states the coder started from.
 
 Coding follows the published scheme: states of 64 bits with 32-bit words,
 frequencies scaled to a power of two.  Everything is numpy over
@@ -22,7 +26,8 @@ import pyarrow as pa
 LANES = 256
 STEPS = 512  # rows of lanes in a full block
 CHECKPOINT = 256  # steps between checkpoints
-MAGIC = b"TWANS1\0\0"
+MAGIC = b"TWANS2\0\0"
+FIXED = "<IIQIIIQII"  # part, segment, ids before, bits, lanes, blocks, ids, bytes of tables, bytes of index
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _WORD = np.uint64(0xFFFFFFFF)
@@ -35,6 +40,8 @@ def scaled_frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
     order, so that equal counts always give equal tables.
     """
     total = 1 << bits
+    if len(counts) > total:
+        raise ValueError(f"{len(counts)} symbols do not fit in {bits} bits")
     freq = np.maximum(1, counts * total // counts.sum()).astype(np.int64)
     excess = int(freq.sum()) - total
     order = np.lexsort((np.arange(len(freq)), -freq))
@@ -50,13 +57,15 @@ def scaled_frequencies(counts: np.ndarray, bits: int) -> np.ndarray:
     return freq
 
 
-def encode_segment(ids: np.ndarray, doc_ids: np.ndarray, doc_tokens: np.ndarray) -> bytes:
-    """A segment of ``ids`` (uint32), which are those of the documents in order."""
+def encode_segment(ids: np.ndarray, doc_ids: np.ndarray, doc_tokens: np.ndarray, part: int = 0, segment: int = 0, before: int = 0) -> bytes:
+    """A segment of ``ids`` (uint32), which are those of the documents in order;
+    ``before``: how many ids its part holds before it."""
     symbols, where, counts = _distinct(ids)
     body = []
     bits = 0
     if len(ids):
-        bits = min(24, max(12, int(len(symbols) - 1).bit_length() + 3))
+        least = int(len(symbols) - 1).bit_length()
+        bits = max(least, min(24, max(12, least + 3)))
         freq = scaled_frequencies(counts, bits)
         start = np.concatenate(([0], np.cumsum(freq)[:-1]))
         per = LANES * STEPS
@@ -68,8 +77,8 @@ def encode_segment(ids: np.ndarray, doc_ids: np.ndarray, doc_tokens: np.ndarray)
     crcs = [zlib.crc32(ids[k * LANES * STEPS : (k + 1) * LANES * STEPS].astype("<u4").tobytes()) for k in range(len(body))]
     table = _pack(symbols.astype("<u4")) + _pack((freq if len(ids) else np.zeros(0)).astype("<u4"))
     index = _pack(doc_ids.astype("<i8")) + _pack(doc_tokens.astype("<u4"))
-    heads = b"".join(struct.pack("<II", len(b), c) for b, c in zip(body, crcs, strict=True))
-    fixed = struct.pack("<IIIQII", bits, LANES, len(body), len(ids), len(table), len(index))
+    heads = b"".join(struct.pack("<III", len(b), zlib.crc32(b), c) for b, c in zip(body, crcs, strict=True))
+    fixed = struct.pack(FIXED, part, segment, before, bits, LANES, len(body), len(ids), len(table), len(index))
     head = MAGIC + fixed + struct.pack("<I", zlib.crc32(fixed + table + index + heads))
     return head + table + index + heads + b"".join(body)
 
@@ -153,21 +162,25 @@ class Segment:
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
             raise ValueError("no token segment")
-        size = struct.calcsize("<IIIQII")
+        size = struct.calcsize(FIXED)
+        if len(data) < 12 + size:
+            raise ValueError("the segment is cut")
         fixed = data[8 : 8 + size]
-        self.bits, _, self.blocks, self.n_ids, table, index = struct.unpack("<IIIQII", fixed)
+        self.part, self.segment, self.before, self.bits, _, self.blocks, self.n_ids, table, index = struct.unpack(FIXED, fixed)
         at = 8 + size
         (crc,) = struct.unpack_from("<I", data, at)
         at += 4
-        end = at + table + index + 8 * self.blocks
+        end = at + table + index + 12 * self.blocks
         if crc != zlib.crc32(fixed + data[at:end]):
             raise ValueError("the segment's head is damaged")
         self.symbols, p = _unpack(data, at, "<u4")
         self.freq, p = _unpack(data, p, "<u4")
         self.doc_ids, p = _unpack(data, p, "<i8")
         self.doc_tokens, p = _unpack(data, p, "<u4")
-        self.heads = [struct.unpack_from("<II", data, p + 8 * k) for k in range(self.blocks)]
+        self.heads = [struct.unpack_from("<III", data, p + 12 * k) for k in range(self.blocks)]
         self.data, self.at = data, end
+        if len(data) != end + sum(n for n, _, _ in self.heads):
+            raise ValueError("the segment is cut, or has more than its blocks")
 
     def ids(self) -> np.ndarray:
         """All ids (uint32); every span between checkpoints decodes side by side."""
@@ -176,7 +189,9 @@ class Segment:
             return out
         spans: dict[tuple[int, int, int], list] = {}
         at, first = self.at, 0
-        for size, _ in self.heads:
+        for k, (size, stored, _) in enumerate(self.heads):
+            if zlib.crc32(self.data[at : at + size]) != stored:
+                raise ValueError(f"block {k} is damaged")
             n, lanes, n_words, points = struct.unpack_from("<IIII", self.data, at)
             p = at + 16
             starts = [(0, 0, np.frombuffer(self.data, "<u8", lanes, p))]
@@ -190,7 +205,8 @@ class Segment:
             for k, (t, offset, state) in enumerate(starts):
                 until = starts[k + 1][0] if k + 1 < len(starts) else steps
                 count = min(n, until * lanes) - t * lanes
-                spans.setdefault((until - t, lanes, count), []).append((first + t * lanes, state, words[offset : starts[k + 1][1] if k + 1 < len(starts) else n_words]))
+                after = starts[k + 1][2] if k + 1 < len(starts) else np.full(lanes, _LOW)
+                spans.setdefault((until - t, lanes, count), []).append((first + t * lanes, state, words[offset : starts[k + 1][1] if k + 1 < len(starts) else n_words], after))
             at += size
             first += n
         slot = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
@@ -200,20 +216,20 @@ class Segment:
             for k in range(0, len(group), 64):
                 part = group[k : k + 64]
                 got = self._decode(part, steps, lanes, count, slot, freq, start)
-                for (to, _, _), row in zip(part, got, strict=True):
+                for (to, *_), row in zip(part, got, strict=True):
                     out[to : to + count] = row[:count]
         per = LANES * STEPS
-        for k, (_, crc) in enumerate(self.heads):
+        for k, (_, _, crc) in enumerate(self.heads):
             if zlib.crc32(out[k * per : (k + 1) * per].astype("<u4").tobytes()) != crc:
                 raise ValueError(f"block {k} is damaged")
         return out
 
     def _decode(self, group, steps, lanes, count, slot, freq, start) -> np.ndarray:
         shift, mask = np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
-        x = np.array([s for _, s, _ in group], np.uint64)
-        sizes = np.array([len(w) for _, _, w in group])
+        x = np.array([s for _, s, _, _ in group], np.uint64)
+        sizes = np.array([len(w) for _, _, w, _ in group])
         base = (np.cumsum(sizes) - sizes)[:, None]
-        words = np.concatenate([w for _, _, w in group] + [np.zeros(1, np.uint32)]).astype(np.uint64)
+        words = np.concatenate([w for _, _, w, _ in group] + [np.zeros(1, np.uint32)]).astype(np.uint64)
         out = np.zeros((len(group), steps * lanes), np.uint32)
         for t in range(steps):
             low = x & mask
@@ -222,12 +238,14 @@ class Segment:
             need = y < _LOW
             last = lanes if t < steps - 1 else count - t * lanes
             if last < lanes:
-                need[:, last:] = False
+                need[:, last:], y[:, last:] = False, x[:, last:]
             seen = np.cumsum(need, axis=1)
             take = np.where(need, base + seen - 1, len(words) - 1)
             x = np.where(need, (y << _32) | words[take], y)
             base = base + seen[:, -1:]
             out[:, t * lanes : (t + 1) * lanes] = self.symbols[s]
+        if not np.array_equal(x, np.array([end for *_, end in group])):
+            raise ValueError("a span does not end in its checkpoint's states")
         return out
 
     def documents(self):

@@ -20,16 +20,18 @@ from . import rans
 from .common import Scratch, arrow_rows, doc_text
 from .tokenize import encoded
 
-SEGMENT_SCHEMA = "part int, segment int, part_start long, n_docs long, n_ids long, data binary"
+SEGMENT_SCHEMA = "part int, segment int, data binary"
 
 
 def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = 2_000_000) -> DataFrame:
     """Segments of every document's ids, each document ended by ``end_id``.
 
     One row per segment: its partition (ascending in doc_id), its number there,
-    the ids before it in its partition, and the file image.  Null text counts as
-    empty; a null doc_id sorts first and is stored as -2**63; repeated rows are
-    stored each.  Columns besides doc_id and text are ignored.
+    and the file image, whose head holds both and the ids before it in its
+    partition.  Null text counts as empty; a null doc_id sorts first and is stored
+    as -2**63; repeated rows are stored each; a text longer than a segment makes
+    one longer segment; an empty table has none.  Columns besides doc_id and text
+    are ignored.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -43,7 +45,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_id
                 ids = np.frombuffer(b"".join(b for _, b in held), "<u4")
                 doc_ids = np.array([-(1 << 63) if d is None else d for d, _ in held], np.int64)
                 tokens = np.array([len(b) // 4 for _, b in held], np.int64)
-                return part, segment, before, len(held), len(ids), rans.encode_segment(ids, doc_ids, tokens)
+                return part, segment, rans.encode_segment(ids, doc_ids, tokens, part, segment, before)
 
             for (doc, _), ids in encoded(rows, tokenizer_path):
                 held.append((doc, ids + end))
@@ -63,11 +65,16 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_id
 def read_segments(segments: DataFrame) -> DataFrame:
     """Documents read back: ``doc_id, start, n_tokens, ids_crc32``.
 
-    ``start`` counts the ids of all documents before.  The totals of the
-    partitions (one number each) are summed on the driver; everything else stays
-    in the tasks.
+    Only the file images are read.  ``start`` counts the ids of all documents
+    before.  The sizes in the heads are summed by partition, and these totals (one
+    number each) on the driver; everything else stays in the tasks.  ValueError
+    where a checksum fails.
     """
-    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+
+    def heads():
+        return lambda rows: ((f.part, f.n_ids) for (data,) in rows for f in (rans.Segment(data),))
+
+    totals = arrow_rows(segments, ["data"], "part int, n_ids long", heads).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
     base, at = {}, 0
     for row in sorted(totals):
         base[row.part] = at
@@ -75,15 +82,16 @@ def read_segments(segments: DataFrame) -> DataFrame:
 
     def make():
         def work(rows):
-            for part, before, data in rows:
-                start = base[part] + before
-                for doc, ids in rans.Segment(data).documents():
+            for (data,) in rows:
+                file = rans.Segment(data)
+                start = base[file.part] + file.before
+                for doc, ids in file.documents():
                     yield doc if doc != -(1 << 63) else None, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())
                     start += len(ids)
 
         return work
 
-    return arrow_rows(segments, ["part", "part_start", "data"], "doc_id long, start long, n_tokens long, ids_crc32 long", make)
+    return arrow_rows(segments, ["data"], "doc_id long, start long, n_tokens long, ids_crc32 long", make)
 
 
 def token_file_index(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = 2_000_000) -> DataFrame:
