@@ -1,38 +1,106 @@
 """Token ids by the tokenizers library, each distinct chunk encoded once.
 
-For a byte-level BPE file without normalizer, text is cut where the
-pre-tokenizer always cuts (:class:`~.bpe.SpaceCuts`); the library encodes each
-pre-token that is new to the worker, many at a time, and its ids are remembered.
-Any other file goes through the library's ``encode_batch`` on whole texts.  The
-ids are those of ``encode(text, add_special_tokens=False)`` either way, with the
-file's own truncation and padding turned off.
+For a byte-level BPE file without normalizer, texts are cut before each space
+that follows a character other than white space: the pre-tokenizer always cuts
+there, and nothing before it changes what follows.  The chunks of many texts are
+hashed, counted and looked up in whole arrays; chunks new to the worker are cut
+into pre-tokens and go to the library in long lists, and what it gives is
+remembered.  A remembered chunk is compared byte by byte with each chunk that
+takes its ids, so a clash of hashes cannot change a result.
+
+Any other file, and any text that holds one of the file's added tokens, goes
+through the library's ``encode_batch`` on whole texts.  The ids are those of
+``encode(text, add_special_tokens=False)`` either way, with the file's own
+truncation and padding turned off.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 from array import array
-from operator import add
 
-from .bpe import SpaceCuts, byte_alphabet
+import numpy as np
+
+from .bpe import SPLIT_PATTERN, byte_alphabet
 from .common import claim_memory
 
+_BASE = 0x9E3779B97F4A7C15 | 1  # an odd number: it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_FIRST = 1 << 16
+
+
+class _Powers:
+    """Powers of a number modulo 2**64, as many as were asked for yet."""
+
+    def __init__(self, of: int):
+        self.of, self.known = of, np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> np.ndarray:
+        while len(self.known) < n:
+            step = np.uint64(pow(self.of, len(self.known), 1 << 64))
+            self.known = np.concatenate((self.known, self.known * step))
+        return self.known[:n]
+
+
+_up, _down = _Powers(_BASE), _Powers(_INVERSE)
+_SALT = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+def chunk_starts(raw: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts begin; ``raw`` holds the UTF-8 bytes of all texts
+    one after another."""
+    cut = np.flatnonzero(raw == 32)
+    cut = cut[cut > 0]
+    before = raw[cut - 1]
+    cut = cut[~_ASCII_SPACE[before]]
+    wide = np.flatnonzero(raw[cut - 1] >= 128)  # white space beyond ASCII ends in these bytes; others may, and are left whole too
+    at = cut[wide]
+    second, third = raw[np.maximum(at - 2, 0)], raw[np.maximum(at - 3, 0)]
+    last = raw[at - 1]
+    doubtful = (second == 0xC2) & ((last == 0x85) | (last == 0xA0)) | (third == 0xE1) & (second == 0x9A) | (third == 0xE2) & ((second == 0x80) | (second == 0x81)) | (third == 0xE3) & (second == 0x80)
+    keep = np.ones(len(cut), bool)
+    keep[wide[doubtful]] = False
+    marked = np.zeros(len(raw), bool)
+    marked[cut[keep]] = True
+    marked[text_starts] = True
+    return np.flatnonzero(marked)
 
-_STOPS = frozenset(".,")
+
+class _Pool:
+    """Values of differing lengths one after another, in one growing array."""
+
+    def __init__(self, kind):
+        self.data, self.used = np.zeros(_FIRST, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """The place of the values' first."""
+        at, self.used = self.used, self.used + len(values)
+        if self.used > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros(max(self.used, len(self.data)), self.data.dtype)))
+        self.data[at : self.used] = values
+        return at
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class LibraryEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``remember`` bounds the chunks and pre-tokens kept; a full memory starts
-    anew, which changes the time only.
+    ``remember`` bounds the chunks kept, and ``remember_bytes`` their text; a full
+    memory starts anew, which changes the time only.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 1_500_000, remember_bytes: int = 48_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -40,88 +108,117 @@ class LibraryEncoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.by_chunk = model["type"] == "BPE" and not model.get("dropout") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        alphabet = byte_alphabet()
+        plain = model["type"] == "BPE" and not model.get("dropout") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.by_chunk = plain and all(c in model["vocab"] for c in alphabet.values())
         if not self.by_chunk:
             return
-        specials = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
-            self.by_chunk = False
-            return
-        self.special_ids = {t: array("I", [i]).tobytes() for t, i in specials.items()}
-        self.cuts = SpaceCuts(list(specials))
-        self.words = Tokenizer(self.whole.model)  # the model alone: it gets pre-tokens
-        self.printable = {b: ord(c) for b, c in byte_alphabet().items()}
-        self.limit = remember
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # chunks with the space before, without
-        self.pieces: dict[str, bytes] = {}
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.spaced = any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", []))
+        self.words = Tokenizer(self.whole.model)  # the model alone, over pre-tokens between spaces
+        self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.encode_words = getattr(self.words, "encode_batch_fast", self.words.encode_batch)
+        self.findall = regex.compile(SPLIT_PATTERN).findall
+        self.printable = np.array([ord(alphabet[b]) for b in range(256)], "<u2")
+        self.printable[255] = 32  # no UTF-8 holds this byte: it parts the pre-tokens
+        self.widths = np.zeros(1 + max(model["vocab"].values()), np.int64)
+        for token, i in model["vocab"].items():
+            self.widths[i] = len(token)  # one character of the alphabet for each byte
+        self.limit, self.limit_bytes = remember, remember_bytes
+        self.forget()
 
     def forget(self) -> None:
         """Drop what is remembered."""
-        for memory in (*self.known, self.pieces) if self.by_chunk else ():
-            memory.clear()
+        if not self.by_chunk:
+            return
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes, ascending; the chunk each stands for
+        self.text, self.ids = _Pool(np.uint8), _Pool(np.uint32)
+        self.spans = np.zeros((0, 4), np.int64)  # of each chunk: its text's place and length, its ids' place and number
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
-            return [array("I", e.ids).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        # Dictionaries of millions of strings: the collector would walk them again and again, and finds nothing.
-        collecting = gc.isenabled()
-        gc.disable()
-        try:
-            return self._by_chunk(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _by_chunk(self, texts: list[str]) -> list[bytes]:
-        plans: list[list[tuple[int, list[str]]]] = []  # for each text: (kind, chunks); kind 0: after a space, 1: not, 2: special
-        for text in texts:
-            plan = []
-            for special, part in self.cuts.segments(text):
-                if special:
-                    plan.append((2, [part]))
-                else:
-                    parts = self.cuts.chunks(part)
-                    plan += [(1, parts[:1]), (0, parts[1:])]
-            plans.append(plan)
-        for kind, known in enumerate(self.known):
-            new = set().union(*(chunks for plan in plans for k, chunks in plan if k == kind))
-            fresh = new.difference(known)
-            if len(known) + len(fresh) > self.limit:
-                known.clear()
-                fresh = new
-            self._learn(known, fresh, " " if kind == 0 else "")
-        look = (self.known[0].__getitem__, self.known[1].__getitem__, self.special_ids.__getitem__)
-        return [b"".join([x for kind, chunks in plan for x in map(look[kind], chunks)]) for plan in plans]
-
-    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        split, pieces = self.cuts.pieces, self.pieces
-        if len(pieces) > self.limit:
-            pieces.clear()
-        # Most chunks are a word, or a word and a stop: these go through whole lists at once.
-        words = [c for c in chunks if c.isalpha()]
-        rest = chunks.difference(words)
-        stopped = [c for c in rest if c[-1:] in _STOPS and c[:-1].isalpha()]
-        rest.difference_update(stopped)
-        named, heads = [lead + c for c in words], [lead + c[:-1] for c in stopped]
-        several = {c: split(lead + c) for c in rest}
-        fresh = set(named)
-        fresh.update(heads, _STOPS, *several.values())
-        self._encode_pieces(list(fresh.difference(pieces)))
-        get = pieces.__getitem__
-        known.update(zip(words, map(get, named)))
-        known.update(zip(stopped, map(add, map(get, heads), [get(c[-1]) for c in stopped])))
-        known.update((c, b"".join(map(get, ps))) for c, ps in several.items())
-
-    def _encode_pieces(self, fresh: list[str]) -> None:
-        pieces, printable = self.pieces, self.printable
-        for start in range(0, len(fresh), 50_000):
-            groups = [fresh[k : k + 250] for k in range(start, min(start + 50_000, len(fresh)), 250)]
-            words = [[p.encode().decode("latin-1").translate(printable) for p in g] for g in groups]
-            for g, e in zip(groups, self.words.encode_batch(words, is_pretokenized=True, add_special_tokens=False), strict=True):
-                ids, ends = array("I", e.ids).tobytes(), {w: k for k, w in enumerate(e.word_ids, 1)}
-                at = 0
-                for w, p in enumerate(g):
-                    pieces[p] = ids[4 * at : 4 * (at := ends[w])]
+            return self._whole(texts)
+        raws = [t.encode() for t in texts]
+        blob = b"".join(raws)
+        if any(s.encode() in blob for s in self.specials):
+            marked = [any(s in t for s in self.specials) for t in texts]
+            if self.spaced:
+                return self._whole(texts)
+            out = iter(self._whole([t for t, m in zip(texts, marked, strict=True) if m]))
+            rest = iter(self._by_chunk([r for r, m in zip(raws, marked, strict=True) if not m]))
+            return [next(out) if m else next(rest) for m in marked]
+        return self._by_chunk(raws, blob)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+
+    def _by_chunk(self, raws: list[bytes], blob: bytes | None = None) -> list[bytes]:
+        blob = b"".join(raws) if blob is None else blob
+        if not blob:
+            return [b""] * len(raws)
+        raw = np.frombuffer(blob, np.uint8)
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        text_ends = np.cumsum(sizes)
+        starts = chunk_starts(raw, (text_ends - sizes)[sizes > 0])
+        lengths = np.diff(starts, append=len(raw))
+        summed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_SALT[raw] * _up(len(raw)))))
+        hashes = (summed[starts + lengths] - summed[starts]) * _down(len(raw))[starts] ^ (lengths.astype(np.uint64) << np.uint64(48))
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        known = self._places(distinct)
+        fresh = np.flatnonzero(known < 0)
+        if len(fresh):
+            if len(self.keys) + len(fresh) > self.limit or self.text.used + int(lengths[first[fresh]].sum()) > self.limit_bytes:
+                self.forget()
+                fresh = np.arange(len(distinct))
+            self._learn(distinct[fresh], blob, raw, starts[first[fresh]], lengths[first[fresh]])
+            known = self._places(distinct)
+        spans = self.spans[known[which]]
+        if not np.array_equal(spans[:, 1], lengths) or not np.array_equal(self.text.data[ragged(spans[:, 0], lengths)], raw):
+            return self._whole([r.decode() for r in raws])  # two chunks of one hash
+        ids = self.ids.data[ragged(spans[:, 2], spans[:, 3])]
+        before = np.concatenate(([0], np.cumsum(spans[:, 3])))
+        bounds = before[np.searchsorted(starts, np.concatenate(([0], text_ends)))].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """The chunk of each hash, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.place[at], -1)
+
+    def _learn(self, hashes: np.ndarray, blob: bytes, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        """Encode chunks and remember them; ``hashes`` ascend."""
+        pieces: list[str] = []
+        add, several, findall = pieces.append, pieces.extend, self.findall
+        for a, n in zip(starts.tolist(), lengths.tolist()):
+            chunk = blob[a : a + n].decode()
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                add(chunk)
+            elif word[-1:] in (".", ",") and word[:-1].isalpha():
+                add(chunk[:-1])
+                add(chunk[-1])
+            else:
+                several(findall(chunk))
+        ids = [np.zeros(0, np.uint32)]
+        for k in range(0, len(pieces), 100_000):
+            groups = []
+            for j in range(k, min(k + 100_000, len(pieces)), 1000):
+                parted = np.frombuffer("\udcff".join(pieces[j : min(j + 1000, k + 100_000)]).encode("utf-8", "surrogateescape"), np.uint8)
+                groups.append(self.printable[parted].tobytes().decode("utf-16-le"))
+            ids += [np.array(e.ids, np.uint32) for e in self.encode_words(groups, add_special_tokens=False)]
+        ids = np.concatenate(ids)
+        covered, ends = np.cumsum(self.widths[ids]), np.cumsum(lengths)
+        stop = np.searchsorted(covered, ends) + 1  # ids up to each chunk's end: a byte is a token's own, so ends meet
+        if not np.array_equal(covered[stop - 1], ends):
+            raise ValueError("the tokenizer's ids do not spell the text")
+        number = np.diff(stop, prepend=0)
+        text_at, ids_at = self.text.add(raw[ragged(starts, lengths)]), self.ids.add(ids)
+        new = np.stack((text_at + ends - lengths, lengths, ids_at + stop - number, number), axis=1)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.place = np.insert(self.keys, at, hashes), np.insert(self.place, at, len(self.spans) + np.arange(len(hashes)))
+        self.spans = np.concatenate((self.spans, new))
 
 
 _loaded: dict[str, LibraryEncoder] = {}
@@ -135,7 +232,7 @@ def loaded(path: str) -> LibraryEncoder:
     return _loaded[path]
 
 
-def encoded(rows, path: str, at_once: int = 2_000_000):
+def encoded(rows, path: str, at_once: int = 1_000_000):
     """(row, ids) for rows whose last field is the text; texts go to the encoder
     in groups of about ``at_once`` characters."""
     encoder, held, chars = loaded(path), [], 0
