@@ -1,6 +1,9 @@
 import hashlib
+import os
 import random
 import struct
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -129,37 +132,138 @@ MAIN = "Title & more\nOne bold word <tag> a < b c.\nNext\nUnclosed text\nPart\nF
 
 
 def test_article_text():
-    assert html_text.main_texts([html_text.page_blocks(PAGE)]) == [MAIN]
+    assert html_text.main_text(html_text.page_blocks(PAGE)) == MAIN
     for k in range(0, len(PAGE), 7):
-        html_text.main_texts([html_text.page_blocks(PAGE[:k])])
+        html_text.main_text(html_text.page_blocks(PAGE[:k]))
+
+
+def test_class_words_never_take_the_article():
+    read = lambda page: html_text.main_text(html_text.page_blocks(page))
+    text = "<p>real article text that goes on for some time</p>"
+    want = "real article text that goes on for some time"
+    for page in (f'<div class="content has-sidebar">{text}</div>', f'<main class="no-ads">{text}</main>', f'<div class="sidebar">{text}</div>', f'<article class="ad-supported">{text}</article><p>ok</p>'):
+        assert want in read(page), page
+    assert read(f'<nav>Menu</nav><article>{text}<div class="ad">Buy now</div></article><div class="comment">No!</div>') == want
+    assert read(f'<main>{text}</main><article class="comment"><p>Reader</p></article>') == want
+
+
+def test_broken_markup_takes_linear_time():
+    for page in ("<a " * 300_000, "<div>" * 100_000 + "</span>" * 100_000 + "</p>" * 100_000, '<a title="' * 100_001, "<!-- " * 200_000, "<p>" * 300_000 + "x", "<script>" * 100_000, '<div class="' + "ad " * 300_000, "&amp" * 200_000):
+        began = time.perf_counter()
+        html_text.page_blocks(page)
+        assert time.perf_counter() - began < 10, page[:20]
+    assert html_text.page_blocks('<p>one</p><a title="open>two</a><p>three "quoted" </p>')[0] == (html_text.OPEN, "one")
+
+
+def test_suffix_array_by_sorting():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 50, 300):
+        tokens = rng.integers(0, 3, n)
+        order, common = html_text.suffix_array(tokens)
+        suffixes = [tokens[k:].tolist() for k in range(n)]
+        assert order.tolist() == sorted(range(n), key=suffixes.__getitem__)
+        for k in range(1, n):
+            a, b = suffixes[order[k - 1]], suffixes[order[k]]
+            assert common[k] == next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def brute_cover(pages, length=6):
+    """For each (host, content, tokens): whether each token lies in a run that
+    stands on a page of other content of the host."""
+    out = []
+    for host, content, tokens in pages:
+        others = [o for h, c, o in pages if h == host and c != content]
+        marks = [False] * len(tokens)
+        for s in range(len(tokens) - length + 1):
+            run = tokens[s : s + length]
+            if any(o[k : k + length] == run for o in others for k in range(len(o) - length + 1)):
+                marks[s : s + length] = [True] * length
+        out.append(marks)
+    return out
 
 
 def test_suffix_array_finds_what_pages_share():
     rng = random.Random(1)
     shared = [f"s{k}" for k in range(9)]
     streams = [[f"u{p}-{k}" for k in range(rng.randint(0, 5))] + (shared if p % 2 else shared[:5]) + [f"v{p}-{k}" for k in range(4)] for p in range(6)]
-    streams += [[*["again"] * 20], []]
-    for stream, covered in zip(streams, html_text.repeated_cover(streams, 6), strict=True):
-        for at, token in enumerate(stream):
-            runs = [tuple(stream[s : s + 6]) for s in range(max(0, at - 5), at + 1) if len(stream[s : s + 6]) == 6]
-            elsewhere = any(r == tuple(o[k : k + 6]) for r in runs for o in streams if o is not stream for k in range(len(o)))
-            assert covered[at] == elsewhere, token
+    streams += [[*["again"] * 20], [], shared, shared]
+    pages = [("h" if k != 1 else "g", min(k, 8), s) for k, s in enumerate(streams)]  # the last two are of one content
+    runs = html_text.HostRuns(pages)
+    assert [c.tolist() for c in runs.covered] == brute_cover(pages)
+    told = {tuple(r) for r in runs.runs[:, :2].tolist()}
+    assert len(told) == len({(h, *s[k : k + 6]) for h, _, s in pages for k in range(len(s) - 5)}) and all(tuple(q[1:]) in told for a in runs.asks for q in a.tolist())
+
+
+class Articles(HTMLParser):
+    """A plain reader of the test pages: the blocks inside ``article``."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag not in ("a", "b", "i", "em", "strong", "span", "code"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        if tag not in ("a", "b", "i", "em", "strong", "span", "code"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.depth > 0:
+            self.blocks[-1] += data
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_whole_table_against_a_plain_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_main_text(pages).collect()}
+    for r in pages.collect():
+        reader = Articles()
+        reader.feed(r.html)
+        assert got[r.page_id] == "\n".join(t for b in reader.blocks if (t := " ".join(b.split()))), r.page_id
+
+
+def plain_texts(rows):
+    """Main texts of pages without article whose blocks are all open."""
+    blocks = [html_text.page_blocks(html or "") for _, _, html in rows]
+    covers = brute_cover([((url or "").split("/")[2] if "//" in (url or "") else "", str(b), html_text.outer_tokens(b)) for (_, url, _), b in zip(rows, blocks)])
+    out = []
+    for own, cover in zip(blocks, covers):
+        kept, at = [], 0
+        for _, text in own:
+            n = len(text.split(" "))
+            if 2 * sum(cover[at : at + n]) <= n:
+                kept.append(text)
+            at += n
+        out.append("\n".join(kept or [t for _, t in own]))
+    return out
 
 
 def test_pages_without_an_article_lose_what_repeats(spark):
     chrome = "<div>Welcome to our little site about many things</div>"
     rows = [(k, f"http://h.example/{k}", f"<body>{chrome}<p>p{k}a p{k}b p{k}c only</p><p>{'x' if k else ''}</p></body>") for k in range(5)]
-    rows += [(9, None, None), (10, "no url", ""), (0, "http://h.example/0", rows[0][2]), (11, "http://big.example/", PAGE)]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
-    for at_once in (256, 2):
-        got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_main_text(pages, at_once).collect())
-        assert (11, MAIN, len(MAIN)) in got and (9, "", 0) in got and len(got) == 9
-        if at_once == 256:
-            assert (3, "p3a p3b p3c only\nx", 18) in got
+    rows += [(9, None, None), (10, "no url", ""), (0, "http://h.example/0", rows[0][2]), (11, "http://big.example/", PAGE), (None, "http://n.example/", "<p>null id</p>")]
+    pages = spark.createDataFrame([(*r, "clash", 7) for r in rows], "page_id long, url string, html string, text string, host_number int")
+    for tokens in (400_000, 20):
+        got = sorted(((r.page_id or -1, r.text, r.n_chars) for r in html_text.extract_main_text(pages, tokens).collect()))
+        assert (11, MAIN, len(MAIN)) in got and (9, "", 0) in got and (-1, "null id", 7) in got and len(got) == 10
+        assert (3, "p3a p3b p3c only\nx", 18) in got
     assert html_text.extract_main_text(pages.limit(0)).count() == 0
 
 
-def test_repeats_are_found_over_the_whole_of_a_large_host(spark):
+def test_mirrors_keep_their_text(spark):
+    body = "<p>This is one whole article that stands on two pages.</p><p>It has a second paragraph of seven words.</p>"
+    rows = [(1, "http://m.example/1", body), (2, "http://m.example/2", body), (3, "http://m.example/3", body + "<p>And more.</p>"), (4, "http://m.example/4", f"<article>{body}</article>"), (5, "http://m.example/5", f"<article>{body}</article>")]
+    got = {r.page_id: r.text for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "This is one whole article that stands on two pages.\nIt has a second paragraph of seven words."
+    assert got[1] == got[2] == got[4] == got[5] == whole and got[3] == "And more."  # what two contents share, a third tells from its own
+
+
+@pytest.mark.parametrize("tokens", [400_000, 200, 1])
+def test_repeats_are_found_over_the_whole_of_a_large_host(spark, tokens):
     rng = random.Random(2)
     passages = [" ".join(f"s{j}-{t}" for t in range(rng.randint(4, 9))) for j in range(40)]
     rows = []
@@ -167,18 +271,19 @@ def test_repeats_are_found_over_the_whole_of_a_large_host(spark):
         own = " ".join(f"p{k}-{t}" for t in range(5))
         rows.append((k, f"http://large.example/{k}", f"<div>{passages[k % 40]}</div><p>{own}</p><div>{passages[rng.randrange(40)]}</div>"))
     rows += [rows[3], (99, "http://small.example/", f"<p>{passages[0]}</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    whole, dealt = (sorted(tuple(r) for r in html_text.extract_main_text(pages, n).collect()) for n in (256, 2))
-    assert dealt == whole and any("s0-" in text for _, url, text, _ in whole if "small" in url)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted((r.page_id, r.text) for r in html_text.extract_main_text(pages, tokens).collect())
+    assert got == sorted(zip([r[0] for r in rows], plain_texts(rows)))
 
 
-def test_what_repeats_decides_on_article_pages_too(spark):
+def test_what_repeats_decides_on_article_pages_too(spark, monkeypatch):
     page = lambda k: f"<div>Note {k} stands {k} outside {k} alone{k}</div><div>Our shop has many good things for you</div><article><p>Text {k} of its own.</p><p>Write to us today!</p><p>{'Quoted words' if k < 4 else k}</p></article>"
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(9)]
-    rows += [(20 + k, f"http://copies.example/{k}", "<article><p>One text</p></article>") for k in range(5)]
+    rows += [(20 + k, f"http://copies.example/{k}", "<article><p>One text</p></article>") for k in range(10)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for at_once in (256, 2):
-        got = {r.page_id: r.text for r in html_text.extract_main_text(pages, at_once).collect()}
+    for most in (100_000, 0):  # notices broadcast, and joined by parts of hosts
+        monkeypatch.setattr(html_text, "BROADCAST_NOTICES", most)
+        got = {r.page_id: r.text for r in html_text.extract_main_text(pages, 30 if most else 400_000).collect()}
         assert got[3] == "Note 3 stands 3 outside 3 alone3\nText 3 of its own.\nQuoted words" and got[8].endswith("own.\n8")
         assert got[20] == "One text"
 
@@ -224,9 +329,25 @@ def test_a_repeated_query_id_takes_no_places(spark):
         assert [(r, s) for i, r, s in got if i == q] == list(enumerate(sorted(scores, reverse=True)[:20], 1))
 
 
-def test_large_components_stay(spark):
+def test_components_of_any_finite_size_count(spark):
     df = spark.createDataFrame([(20, [1 / 64, 0.0]), (1, [2.0**50, 1.0]), (2, [2.0**40, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.divisible_queries(df, 20).orderBy("rank").collect()] == [(1, 2**56), (2, 2**46)]
+    rng = np.random.default_rng(8)
+    rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 1, 4) * 10.0 ** rng.choice([0, 3, 12, 20, 30])]) for k in range(120)]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.divisible_queries(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 20, 10).collect()}
+    want = brute_top(rows, 20, 10)
+    assert len(got) == len(want) == 60 and any(abs(s) >= 2**63 for *_, s in want)
+    for q, r, v, s in want:
+        assert got[q, r] == (v, s if -(2**63) <= s < 2**63 else None)
+
+
+def test_thresholds_pass_from_block_to_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 32)
+    rows = vectors(spark, 380, 8, 4)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(topk, "plan_width", lambda *_: 2)
+    got = sorted(tuple(r) for r in topk.divisible_queries(df, 20, 7).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute_top(rows, 20, 7)
 
 
 def test_bounds_never_lose_a_winner():
@@ -236,7 +357,10 @@ def test_bounds_never_lose_a_winner():
         for row, (at, scores) in zip(q, topk.nra_block(q, c, 5), strict=True):
             whole = [sum(int(a) * int(b) for a, b in zip(row, x, strict=True)) for x in c]
             worst = sorted(whole)[-5]
-            assert sorted(at.tolist()) == [k for k, s in enumerate(whole) if s >= worst] and scores.tolist() == [max(-(2**63), min(2**63 - 1, whole[k])) for k in at]
+            assert sorted(at.tolist()) == [k for k, s in enumerate(whole) if s >= worst] and list(scores) == [whole[k] for k in at]
+        least = np.array([float(sorted((c.astype(object) @ row.astype(object)).tolist())[-2]) for row in q])
+        for row, low, (at, scores) in zip(q, least, topk.nra_block(q, c, 5, least.copy()), strict=True):
+            assert sum(s >= low for s in scores) >= 2
 
 
 TURNS = [

@@ -1,18 +1,25 @@
-"""Main text of web pages by markup zones and a suffix array for each host.
+"""Main text of web pages by markup zones and suffix arrays over hosts.
 
 A page is read as blocks of text in page order, each in a zone: *boilerplate*
-where its element (nav, footer, aside, form, ...) or a word of its class, id or
-role says so, *article* inside ``article`` or ``main``, *open* elsewhere.  Blocks
-outside articles form the page's token stream.  The streams of a host's pages are
-concatenated, the suffixes are sorted, and runs of at least ``MIN_RUN`` tokens
-that stand on two distinct pages are covered.  A large host is dealt over groups
-of pages: each group gives the hashes of its runs with the pages they stand on
-(1, or more), these are summed over the host, and a run that other groups
-have too is covered as one of the group's own.  Boilerplate goes; of open blocks
-the covered runs go and the unique runs stay, beside an article too.  Article
-blocks stay, repeated or not, since an article may well repeat elsewhere; only a
-block that stands word for word on most of a host's pages goes as a notice (not
-if nothing else is left of the article).
+where its element says so (nav, footer, aside, form, ...) or a word of its class,
+id or role does beside other text, *article* inside ``article`` or ``main``,
+*open* elsewhere.  Blocks outside articles form the page's token stream.
+
+The streams of a host's pages are concatenated, a suffix array with the lengths of
+common prefixes is built over them, and runs of at least ``MIN_RUN`` tokens that
+stand on two pages of different content are *covered*.  A task builds the array
+over the pages it reads, up to ``ARRAY_TOKENS`` tokens at a time; for each
+distinct run of ``MIN_RUN`` tokens (one group of the array) it tells a 128-bit hash
+and the least and largest content hash, which are aggregated over all tasks.
+A longer run is covered exactly if each run of ``MIN_RUN`` tokens in it is, so the
+outcome does not depend on how pages are dealt over tasks, and a host of any size
+is never held in one.  Runs that repeat within an array are decided there; the
+others of a page are looked up among those that repeat over all tasks.
+
+Boilerplate goes; an open block goes if most of its tokens are covered, beside an
+article too, and stays whole otherwise.  Article blocks stay, repeated or not; only
+a short block that stands word for word on most of a host's pages goes as a
+notice.  A page never loses all its text to repeats.
 """
 
 from __future__ import annotations
@@ -22,18 +29,18 @@ import html as entities
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ship
+from .common import Scratch, arrow_rows
 
 MIN_RUN = 6
-PAGES_AT_ONCE = 256  # of one host; a larger host is dealt over several groups
-NOTICE_PAGES = 4  # a block on so many pages at least, and on most of the host's, is a notice
-HOT_HOSTS = 100_000  # that many large hosts at most are broadcast
+ARRAY_TOKENS = 400_000  # of one suffix array, about
+NOTICE_PAGES, NOTICE_WORDS = 8, 40  # a block of so many words at most, on so many pages at least and on most of the host's, is a notice
+BROADCAST_NOTICES = 100_000  # hosts with notices that are broadcast at most
+SALTS = 64  # parts of a host's pages where notices are joined without broadcast
 
-BOILER, OPEN, ARTICLE = 0, 1, 2
+BOILER, OPEN, ARTICLE, SOFT = 0, 1, 2, 3
 
 #: Elements of HTML by what they mean for the main text.
 BOILER_TAGS = frozenset("nav footer aside form button select dialog menu noscript template svg iframe object canvas audio video head map datalist".split())
@@ -47,36 +54,80 @@ BOILER_WORDS = frozenset(
     "signup skip social sponsor sponsored subscribe teaser toolbar topbar widget alert".split()
 )
 HEADER_WORDS = frozenset({"header"})
+#: Words before one of those that turn its meaning: ``has-sidebar`` is no sidebar.
+TURNING_WORDS = frozenset("has have no not non with without hide hides show shows is".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_START = re.compile(r"""<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))""")
+_QUOTED = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 
 
-def _boiler(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in BOILER_TAGS:
-        return True
-    if tag == "header" and not in_article:
-        return True
+def _class_words(value: str, in_article: bool) -> bool:
+    """Whether a class, id or role marks what is not the article."""
+    for name in value.split():
+        before = ""
+        for word in map(str.lower, _WORDS.findall(name)):
+            if (word in BOILER_WORDS or (not in_article and word in HEADER_WORDS)) and before not in TURNING_WORDS:
+                return True
+            before = word
+    return False
+
+
+def _zone_inside(tag: str, attributes: str, zone: int) -> int:
+    """The zone inside an element that stands in ``zone``."""
+    if zone in (BOILER, SOFT):
+        return zone
+    if tag in BOILER_TAGS or tag == "header" and zone != ARTICLE:
+        return BOILER
+    own = ARTICLE if tag in ("article", "main") else zone
     if not attributes or tag in ("html", "body"):
-        return False
+        return own
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & BOILER_WORDS or (not in_article and words & HEADER_WORDS):
-                return True
-    return False
+            return BOILER
+        if name in ("class", "id", "role") and _class_words(value, own == ARTICLE):
+            return SOFT
+    return own
+
+
+def _tags(source: str):
+    """(start, end, closes, name, attributes) of the tags in order; the name is ''
+    for comments and declarations.  Time is linear: a page whose quotes do not
+    close is read without regard to quotes from there on."""
+    at, quotes = 0, True
+    while m := _START.search(source, at):
+        begin = m.start()
+        if m.group(2) is None:
+            comment = source.startswith("<!--", begin)
+            end = source.find("-->" if comment else ">", m.end())
+            at = len(source) if end < 0 else end + (3 if comment else 1)
+            yield begin, at, "", "", ""
+            continue
+        body = _QUOTED.match(source, m.end()) if quotes else None
+        if body is None:
+            quotes, end = False, source.find(">", m.end())
+            if end < 0:  # a tag cut off by the page's end
+                yield begin, len(source), "", "", ""
+                return
+            attributes, at = source[m.end() : end], end + 1
+        else:
+            attributes, at = body.group(1), body.end()
+        tag = m.group(2).lower()
+        if tag in RAW_TAGS and not m.group(1) and not attributes.endswith("/"):
+            end = _RAW_END[tag].search(source, at)
+            at = end.end() if end else len(source)
+        yield begin, at, m.group(1), tag, attributes
 
 
 def page_blocks(source: str) -> list[tuple[int, str]]:
     """(zone, text) of a page's blocks in order; references decoded, white space
     made single spaces.  Markup that is never closed lasts to the page's end."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open elements that are not inline, with the zone inside
+    stack: list[tuple[str, int]] = []  # open elements that are not inline, with the zone around
+    opened: dict[str, int] = {}
     zone, parts, at = OPEN, [], 0
 
     def flush():
@@ -86,100 +137,81 @@ def page_blocks(source: str) -> list[tuple[int, str]]:
                 out.append((zone, text))
             parts.clear()
 
-    while m := _TAG.search(source, at):
-        if m.start() > at:
-            parts.append(source[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
-            continue
-        tag, closes = tag.lower(), m.group(1)
-        if tag in RAW_TAGS:
-            if not closes and not m.group(3).endswith("/"):
-                end = _RAW_END[tag].search(source, at)
-                at = end.end() if end else len(source)
+    def push(tag: str, inside: int):
+        nonlocal zone
+        stack.append((tag, zone))
+        opened[tag] = opened.get(tag, 0) + 1
+        zone = inside
+
+    def pop():
+        nonlocal zone
+        tag, zone = stack.pop()
+        opened[tag] -= 1
+        return tag
+
+    for begin, end, closes, tag, attributes in _tags(source):
+        if begin > at:
+            parts.append(source[at:begin])
+        at = end
+        if not tag or tag in RAW_TAGS:
             continue
         if tag in INLINE_TAGS:
-            if not closes and tag not in VOID_TAGS and m.group(3) and _boiler(tag, m.group(3), zone == ARTICLE):
+            if not closes and tag not in VOID_TAGS and attributes and (inside := _zone_inside(tag, attributes, zone)) != zone:
                 flush()
-                stack.append((tag, BOILER))
-                zone = BOILER
+                push(tag, inside)
             elif closes and stack and stack[-1][0] == tag:
                 flush()
-                stack.pop()
-                zone = stack[-1][1] if stack else OPEN
+                pop()
             continue
         flush()
         if tag in VOID_TAGS:
             continue
         if closes:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    zone = stack[-1][1] if stack else OPEN
-                    break
-        elif tag != "p" and not m.group(3).endswith("/") or tag == "p" and m.group(3):
+            if opened.get(tag):
+                while pop() != tag:
+                    pass
+        else:
             if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-                zone = stack[-1][1] if stack else OPEN
-            if zone != BOILER:
-                if _boiler(tag, m.group(3), zone == ARTICLE):
-                    zone = BOILER
-                elif tag in ("article", "main"):
-                    zone = ARTICLE
-            stack.append((tag, zone))
-        elif tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-            zone = stack[-1][1] if stack else OPEN
+                pop()
+            if not attributes.endswith("/"):
+                push(tag, _zone_inside(tag, attributes, zone))
     if at < len(source):
-        tail = source[at:]
-        cut = re.search(r"<[/!?a-zA-Z][^>]*\Z", tail)  # a tag cut off by the page's end
-        parts.append(tail[: cut.start()] if cut else tail)
+        parts.append(source[at:])
     flush()
-    return out
-
-
-def suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each suffix among the suffixes by their first ``length``
-    tokens (equal ranks: equal so far), by prefix doubling."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    known = 1
-    while known < length:
-        step = min(known, length - known)
-        later = np.zeros(len(rank), np.int64)
-        later[: len(rank) - step] = rank[step:] + 1
-        rank = np.unique(rank * (len(rank) + 1) + later, return_inverse=True)[1].astype(np.int64)
-        known += step
-    return rank
-
-
-def repeated_cover(streams: list[list[str]], length: int = MIN_RUN) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a run of at least ``length`` tokens
-    that stands on two distinct pages."""
-    ids: dict[str, int] = {}
-    flat, page, n = [], [], 0
-    for k, stream in enumerate(streams):
-        flat += [ids.setdefault(t, len(ids)) for t in stream]
-        flat.append(-1 - k)  # a token of no other page ends each stream
-        page += [k] * (len(stream) + 1)
-    tokens, page = np.array(flat, np.int64), np.array(page, np.int64)
-    cover = np.zeros(len(tokens) + 1, np.int64)
-    if len(tokens):
-        rank = suffix_ranks(tokens, length)
-        order = np.lexsort((page, rank))  # the suffix array; equal prefixes stand together
-        r, p = rank[order], page[order]
-        starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        ends = np.r_[starts[1:], len(r)] - 1
-        several = p[starts] != p[ends]
-        hit = order[np.repeat(several, ends - starts + 1)]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, np.minimum(hit + length, len(tokens)), -1)
-    covered = np.cumsum(cover[:-1]) > 0 if len(tokens) else np.zeros(0, bool)
-    out = []
-    for stream in streams:
-        out.append(covered[n : n + len(stream)])
-        n += len(stream) + 1
-    return out
+    return _settled(out)
+
+
+def _settled(blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Class words count beside other text only: on a page without article they
+    never take what is by far the largest part of its text."""
+    size = [0] * 4
+    for zone, text in blocks:
+        size[zone] += len(text)
+    soft = OPEN if not size[ARTICLE] and size[SOFT] > 4 * size[OPEN] else BOILER
+    return [(soft if zone == SOFT else zone, text) for zone, text in blocks]
+
+
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the suffixes in order, and for each the length of the common
+    prefix with the one before it (0 for the first), by prefix doubling."""
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
+    while int(levels[-1].max()) + 1 < n:
+        rank, step = levels[-1], 1 << len(levels) - 1
+        later = np.zeros(n, np.int64)
+        later[: max(0, n - step)] = rank[step:] + 1
+        levels.append(np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64))
+    order = np.argsort(levels[-1])
+    a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(n, np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        both = np.flatnonzero(np.maximum(a, b) < n)
+        same = both[levels[k][a[both]] == levels[k][b[both]]]
+        common[1 + same] += 1 << k
+        a[same] += 1 << k
+        b[same] += 1 << k
+    return order, common
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -189,95 +221,111 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _number(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")
+def _number(text: str, size: int = 16) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=size).digest(), "little")
+
+
+def content_number(blocks: list[tuple[int, str]]) -> int:
+    """A page's content as a signed 64-bit number: equal for equal blocks."""
+    return _number("\n".join(f"{zone} {text}" for zone, text in blocks), 8) - (1 << 63)
 
 
-def run_hashes(streams: list[list[str]], host: str, length: int = MIN_RUN) -> list[np.ndarray]:
-    """For each stream the 128-bit hash of each run of ``length`` tokens, as rows
-    of two numbers; equal in every process."""
-    known: dict[str, int] = {}
-    out, first = [], _number(host)
-    for stream in streams:
-        ids = [known[t] if t in known else known.setdefault(t, _number(t)) for t in stream]
-        n = max(0, len(ids) - length + 1)
+class HostRuns:
+    """The runs of ``MIN_RUN`` tokens on some pages, by one suffix array.
+
+    ``pages``: (host, content, tokens).  ``runs``: for each distinct run two hash
+    numbers, and the least and the largest content it stands on.  ``covered[k]``
+    marks page k's tokens in runs on two contents; ``asks[k]`` are (place, hash,
+    hash) of its other runs.
+    """
+
+    def __init__(self, pages: list[tuple[str, int, list[str]]], length: int = MIN_RUN):
+        ids: dict[tuple[str, str], int] = {}
+        flat: list[int] = []
+        for k, (host, _, tokens) in enumerate(pages):
+            flat += [ids.setdefault((host, t), len(ids)) for t in tokens]
+            flat.append(-1 - k)  # a token of no other page ends each stream
+        sizes = np.array([len(t) for _, _, t in pages], np.int64)
+        firsts = np.cumsum(sizes + 1) - sizes - 1
+        page = np.repeat(np.arange(len(pages)), sizes + 1)
+        content = np.array([c for _, c, _ in pages], np.int64)[page]
+        tokens = np.array(flat, np.int64)
+        whole = np.arange(len(tokens)) + length <= (firsts + sizes)[page] if len(tokens) else np.zeros(0, bool)
+        order, common = suffix_array(tokens)
+        begins = np.flatnonzero(common < length)  # each group of suffixes with one beginning of that length
+        begins = begins[whole[order[begins]]]
+        ends = np.append(np.flatnonzero(common < length), len(order))
+        ends = ends[np.searchsorted(ends, begins, "right")]
+        members = order[_spans(begins, ends - begins)]
+        group = np.repeat(np.arange(len(begins)), ends - begins)
+        at = np.concatenate(([0], np.cumsum(ends - begins)[:-1])).astype(np.int64) if len(begins) else np.zeros(0, np.int64)
+        low, high = (f.reduceat(content[members], at) if len(begins) else np.zeros(0, np.int64) for f in (np.minimum, np.maximum))
+        parts = [(_number(h), _number(t)) for h, t in ids]
         halves = []
         for shift in (0, 64):
-            tokens = np.array([(i >> shift) & (2**64 - 1) for i in ids], np.uint64)
-            value = np.full(n, (first >> shift) & (2**64 - 1), np.uint64)
+            own = np.array([(t >> shift) & (2**64 - 1) for _, t in parts], np.uint64)
+            value = np.array([(h >> shift) & (2**64 - 1) for h, _ in parts], np.uint64)[tokens[order[begins]]] if len(begins) else np.zeros(0, np.uint64)
             for k in range(length):
-                value = _mixed((value ^ tokens[k : k + n]) + np.uint64(0x9E3779B97F4A7C15))
-            halves.append(value)
-        out.append(np.stack(halves, axis=1).view(np.int64))
-    return out
-
-
-def runs_of_group(streams: list[list[str]], host: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct run hashes of a group of pages, and for each whether it stands
-    on 1 of them or on more (2)."""
-    each = [np.unique(h, axis=0) for h in run_hashes(streams, host)]
-    runs, n = np.unique(np.concatenate([*each, np.zeros((0, 2), np.int64)]), axis=0, return_counts=True)
-    return runs, np.minimum(n, 2)
-
-
-def cover_elsewhere(streams: list[list[str]], host: str, elsewhere: np.ndarray, length: int = MIN_RUN) -> list[np.ndarray]:
-    """For each page's tokens, which lie in a run whose hash is in ``elsewhere``."""
-    wanted = set(map(tuple, elsewhere.tolist()))
-    first = np.unique(elsewhere[:, 0])
-    out = []
-    for stream, hashes in zip(streams, run_hashes(streams, host, length), strict=True):
-        covered = np.zeros(len(stream), bool)
-        for at in np.flatnonzero(np.isin(hashes[:, 0], first)).tolist():
-            if tuple(hashes[at].tolist()) in wanted:
-                covered[at : at + length] = True
-        out.append(covered)
-    return out
-
-
-def outer_streams(pages: list[list[tuple[int, str]]]) -> list[list[str]]:
-    """The tokens of each page that stand outside articles."""
-    return [[t for zone, text in blocks if zone != ARTICLE for t in text.split(" ")] for blocks in pages]
-
-
-def blocks_of_group(pages: list[list[tuple[int, str]]]) -> dict[int, int]:
-    """The hashes of the article blocks, and on how many of the pages each is."""
-    count: dict[int, int] = {}
-    for blocks in pages:
-        for text in {text for zone, text in blocks if zone == ARTICLE}:
-            number = _number(text)
-            count[number] = count.get(number, 0) + 1
-    return count
-
-
-def main_texts(pages: list[list[tuple[int, str]]], host: str = "", elsewhere: np.ndarray | None = None, notices: set[int] | None = None) -> list[str]:
-    """The main text of each of a host's pages, from their blocks.  If they are a
-    group of its pages, ``elsewhere`` holds the hashes of the runs that stand on
-    one of them and on pages of other groups, and ``notices`` those of the blocks
-    that are notices on the host."""
-    if notices is None:
-        notices = {b for b, n in blocks_of_group(pages).items() if n >= NOTICE_PAGES and 2 * n > len(pages)}
-    streams = outer_streams(pages)
-    covers = repeated_cover(streams)
-    if elsewhere is not None and len(elsewhere):
-        covers = [a | b for a, b in zip(covers, cover_elsewhere(streams, host, elsewhere), strict=True)]
-    out = []
-    for blocks, covered in zip(pages, covers, strict=True):
-        notice = {text for zone, text in blocks if zone == ARTICLE and notices and _number(text) in notices}
-        if all(text in notice for zone, text in blocks if zone == ARTICLE):
-            notice = set()
-        kept, at = [], 0
-        for zone, text in blocks:
-            if zone == ARTICLE:
-                if text not in notice:
-                    kept.append(text)
-                continue
-            words = text.split(" ")
-            own = covered[at : at + len(words)]
-            at += len(words)
-            if zone == OPEN and (rest := " ".join(w for w, c in zip(words, own.tolist(), strict=True) if not c)):
-                kept.append(rest)
-        out.append("\n".join(kept))
-    return out
+                value = _mixed((value ^ own[tokens[order[begins] + k]]) + np.uint64(0x9E3779B97F4A7C15))
+            halves.append(value.view(np.int64))
+        self.runs = np.stack([*halves, low, high], axis=1) if len(begins) else np.zeros((0, 4), np.int64)
+        several = (low < high)[group] if len(begins) else np.zeros(0, bool)
+        cover = np.zeros(len(tokens) + 1, np.int64)
+        np.add.at(cover, members[several], 1)
+        np.add.at(cover, members[several] + length, -1)
+        covered = np.cumsum(cover[:-1]) > 0
+        self.covered = [covered[f : f + n] for f, n in zip(firsts, sizes)]
+        alone, its = members[~several], group[~several]
+        by = np.argsort(alone)
+        alone, its = alone[by], its[by]
+        cut = np.searchsorted(alone, np.append(firsts, len(tokens)))
+        self.asks = [np.stack((alone[a:b] - f, self.runs[its[a:b], 0], self.runs[its[a:b], 1]), axis=1) for f, a, b in zip(firsts, cut[:-1], cut[1:])]
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def outer_tokens(blocks: list[tuple[int, str]]) -> list[str]:
+    """The tokens of a page that stand outside articles."""
+    return [t for zone, text in blocks if zone != ARTICLE for t in text.split(" ")]
+
+
+def notice_candidates(blocks: list[tuple[int, str]]) -> set[str]:
+    return {text for zone, text in blocks if zone == ARTICLE and text.count(" ") < NOTICE_WORDS}
+
+
+def notice_number(host: str, text: str) -> int:
+    return _number(f"{host}\n{text}", 8) - (1 << 63)
+
+
+def main_text(blocks: list[tuple[int, str]], covered: np.ndarray | None = None, notices: set[str] | frozenset = frozenset()) -> str:
+    """A page's main text.  ``covered``: for each token outside articles whether
+    it lies in a repeated run; ``notices``: article blocks that are notices.
+
+    Notices go only where more of the article's text than theirs is left, and
+    repeats only where some text is left."""
+    article = sum(len(text) for zone, text in blocks if zone == ARTICLE)
+    if 2 * sum(len(text) for zone, text in blocks if zone == ARTICLE and text in notices) > article:
+        notices = frozenset()
+    kept, at, gone = [], 0, False
+    for zone, text in blocks:
+        if zone == ARTICLE:
+            if text not in notices:
+                kept.append(text)
+            continue
+        n = text.count(" ") + 1
+        own = covered[at : at + n] if covered is not None else ()
+        at += n
+        if zone == OPEN:
+            if 2 * int(np.sum(own)) > n:
+                gone = True
+            else:
+                kept.append(text)
+    if gone and not kept:
+        kept = [text for zone, text in blocks if zone == OPEN]
+    return "\n".join(kept)
 
 
 def page_host(url):
@@ -285,65 +333,115 @@ def page_host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def extract_main_text(pages: DataFrame, pages_at_once: int = PAGES_AT_ONCE) -> DataFrame:
+RUN_SCHEMA = (
+    "a long, b long, low long, high long, n long, "  # a run (n null), or a block with the host's number in low and on how many pages in n
+    "key binary, page_id long, url string, zones array<int>, texts array<string>, covered array<int>, ask_at array<int>, ask_a array<long>, ask_b array<long>"  # a page with open text
+)
+
+
+def extract_main_text(pages: DataFrame, array_tokens: int = ARRAY_TOKENS) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page.
 
-    Null html counts as empty and gives an empty text; pages without a host form
-    one host; repeated rows are pages each (a row's own copy counts as another
-    page).  A host with more than ``pages_at_once`` pages is dealt by page id
-    over groups of about that many, so no task holds a whole large host; what is
-    repeated is sought over the whole host all the same.  Runs count as equal by
-    128 bits of hash between groups, by their tokens inside one.  Columns besides page_id, url and html are ignored.
+    Null html counts as empty and gives an empty text; a null page_id or url is
+    kept; pages without a host form one host; repeated rows are pages each, and
+    count as one content where repeats are sought; an empty table gives no row.
+    Runs count as equal by 128 bits of hash between arrays, by their tokens inside
+    one.  Columns besides page_id, url and html are ignored.
     """
-    spark = pages.sparkSession
-    ship(spark)
-    own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), page_host(F.col("url")).alias("host"))
-    large = own.groupBy("host").count().where(F.col("count") > pages_at_once).select("host", F.col("count").alias("pages"), F.ceil(F.col("count") / pages_at_once).cast("int").alias("groups"))
-    if large.count() <= HOT_HOSTS:
-        large = F.broadcast(large)
-
-    def make():
+    scratch = Scratch(pages.sparkSession)
+    html = F.coalesce("html", F.lit(""))
+    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), html)))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), page_host(F.col("url")).alias("host")).withColumns({"key": key, "host_number": F.xxhash64("host")})
+    columns = ["key", "page_id", "url", "host", "html"]
+    nothing = (None,) * 9
+
+    def reading():
         def work(rows):
-            for page, url, host, html in rows:
-                blocks = page_blocks(html)
-                yield page, url, host, [z for z, _ in blocks], [t for _, t in blocks]
+            held, tokens = [], 0
+            blocks_on: dict[tuple[int, int], int] = {}
+            pages_on: dict[int, int] = {}
+
+            def array():
+                runs = HostRuns([one for _, one, _ in held])
+                for a, b, low, high in runs.runs.tolist():
+                    yield (a, b, low, high, None, *nothing)
+                for (page, _, blocks), covered, asks in zip(held, runs.covered, runs.asks, strict=True):
+                    if page is not None:  # a page with open text
+                        at, a, b = asks.T.tolist() if len(asks) else ([], [], [])
+                        yield (None,) * 5 + (*page, [z for z, _ in blocks], [t for _, t in blocks], np.flatnonzero(covered).tolist(), at, a, b)
+
+            for key_, page, url, host, source, number in rows:
+                blocks = page_blocks(source)
+                is_open = any(zone == OPEN for zone, _ in blocks)
+                outer = outer_tokens(blocks)
+                held.append(((key_, page, url) if is_open else None, (host, content_number(blocks), outer), blocks if is_open else ()))
+                tokens += len(outer)
+                pages_on[number] = pages_on.get(number, 0) + 1
+                for text in notice_candidates(blocks):
+                    at = number, notice_number(host, text)
+                    blocks_on[at] = blocks_on.get(at, 0) + 1
+                if tokens >= array_tokens or len(held) >= 20_000:
+                    yield from array()
+                    held, tokens = [], 0
+                if len(blocks_on) > 200_000:
+                    yield from ((block, 0, host_, 0, n, *nothing) for (host_, block), n in blocks_on.items())
+                    blocks_on = {}
+            yield from array()
+            yield from ((block, 0, host_, 0, n, *nothing) for (host_, block), n in blocks_on.items())
+            yield from ((0, 1, host_, 0, n, *nothing) for host_, n in pages_on.items())
 
         return work
 
-    read = arrow_rows(own, ["page_id", "url", "host", "html"], "page_id long, url string, host string, zones array<int>, texts array<string>", make, 256)
-    dealt = read.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("groups", F.lit(1))))
-    rows = dealt.select("host", "part", F.col("groups").isNotNull().alias("grouped"), F.struct("page_id", "url").alias("page"), "zones", "texts")
-
-    def blocks_of(pdf: pd.DataFrame) -> list[list[tuple[int, str]]]:
-        return [list(zip(z.tolist() if hasattr(z, "tolist") else z, t, strict=True)) for z, t in zip(pdf["zones"], pdf["texts"], strict=True)]
-
-    def group_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-        host, part, pages = pdf["host"].iloc[0], pdf["part"].iloc[0], blocks_of(pdf)
-        runs, n = runs_of_group(outer_streams(pages), host)
-        blocks = blocks_of_group(pages)
-        halves = np.array([(b & (2**64 - 1), b >> 64) for b in blocks], np.uint64).reshape(-1, 2).view(np.int64)
-        both = np.concatenate([runs, halves])
-        n = np.concatenate([n, np.fromiter(blocks.values(), np.int64, len(blocks))])
-        return pd.DataFrame({"host": host, "pages": pdf["pages"].iloc[0], "part": part, "block": np.arange(len(n)) >= len(runs), "a": both[:, 0], "b": both[:, 1], "n": n})
-
-    # Runs on several pages of their own group are known there; they only tell the other groups.
-    counted = dealt.where("groups IS NOT NULL").groupBy("host", "part").applyInPandas(group_counts, "host string, pages long, part long, block boolean, a long, b long, n long")
-    parts = F.collect_list(F.when(F.col("block") | (F.col("n") == 1), F.col("part")))
-    summed = counted.groupBy("host", "pages", "block", "a", "b").agg(F.sum("n").alias("n"), parts.alias("parts"))
-    found = summed.where(F.when(F.col("block"), (F.col("n") >= NOTICE_PAGES) & (2 * F.col("n") > F.col("pages"))).otherwise(F.col("n") > 1))
-    told = found.select("host", F.explode("parts").alias("part"), "block", "a", "b")
-
-    def work(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({"page": [], "text": [], "n_chars": []})
-        if pdf["grouped"].iloc[0]:
-            is_block, ab = known["block"].to_numpy(bool), known[["a", "b"]].to_numpy(np.int64)
-            notices = {(b << 64) | a for a, b in ab[is_block].view(np.uint64).tolist()}
-            texts = main_texts(blocks_of(pdf), pdf["host"].iloc[0], ab[~is_block], notices)
-        else:
-            texts = main_texts(blocks_of(pdf))
-        return pd.DataFrame({"page": pdf["page"], "text": texts, "n_chars": [len(t) for t in texts]})
+    seen = scratch.save(arrow_rows(own, [*columns, "host_number"], RUN_SCHEMA, reading, 4096), "runs")
+    # Runs on two contents over all arrays, and what pages with open text ask of them.
+    repeated = seen.where("a IS NOT NULL AND n IS NULL").groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("a", "b")
+    open_pages = seen.where("key IS NOT NULL").drop("a", "b", "low", "high", "n")
+    asked = open_pages.select("key", F.explode(F.arrays_zip("ask_at", "ask_a", "ask_b")).alias("q")).select("key", F.col("q.ask_at").alias("at"), F.col("q.ask_a").alias("a"), F.col("q.ask_b").alias("b"))
+    answers = asked.join(repeated, ["a", "b"]).groupBy("key").agg(F.collect_set("at").alias("elsewhere"))  # of one page's own tokens
+
+    # Notices: blocks on most of a host's pages; at most twice a page's blocks for each host.
+    counts = seen.where("n IS NOT NULL").groupBy(F.col("low").alias("host_number"), "b", "a").agg(F.sum("n").alias("n"))
+    total = counts.where("b = 1").select("host_number", F.col("n").alias("pages"))
+    often = counts.where(f"b = 0 AND n >= {NOTICE_PAGES}").join(total, "host_number").where("2 * n > pages")
+    notices = scratch.save(often.groupBy("host_number").agg(F.collect_set("a").alias("notices")), "notices")
+
+    def closed():
+        def work(rows):
+            for _, page, url, host, source, known in rows:
+                blocks = page_blocks(source)
+                if not any(zone == OPEN for zone, _ in blocks):
+                    text = main_text(blocks, None, noticed(host, blocks, known))
+                    yield page, url, text, len(text)
+
+        return work
+
+    def noticed(host, blocks, known) -> set[str]:
+        return {t for t in notice_candidates(blocks) if notice_number(host, t) in wanted} if known and (wanted := set(known)) else set()
+
+    def opened():
+        def work(rows):
+            for page, url, host, zones, texts, covered, elsewhere, known in rows:
+                blocks = list(zip(zones, texts, strict=True))
+                marks = np.zeros(sum(t.count(" ") + 1 for z, t in blocks if z != ARTICLE), bool)
+                marks[covered] = True
+                for at in elsewhere or ():
+                    marks[at : at + MIN_RUN] = True
+                text = main_text(blocks, marks, noticed(host, blocks, known))
+                yield page, url, text, len(text)
+
+        return work
+
+    result = "page_id long, url string, text string, n_chars long"
+    first = arrow_rows(_with_notices(own, notices), [*columns, "notices"], result, closed, 512)
+    asking = _with_notices(open_pages.join(answers, "key", "left").withColumn("host", page_host(F.col("url"))).withColumn("host_number", F.xxhash64("host")), notices)
+    second = arrow_rows(asking, ["page_id", "url", "host", "zones", "texts", "covered", "elsewhere", "notices"], result, opened, 512)
+    return first.unionByName(second)
+
 
-    both = rows.groupBy("host", "part").cogroup(told.groupBy("host", "part"))
-    done = both.applyInPandas(work, "page struct<page_id long, url string>, text string, n_chars long")
-    return done.select("page.page_id", "page.url", "text", "n_chars")
+def _with_notices(rows: DataFrame, notices: DataFrame) -> DataFrame:
+    """``rows`` with their host's notices: broadcast up to a checked number of
+    hosts, else joined by host, whose pages are dealt over parts."""
+    if notices.limit(BROADCAST_NOTICES + 1).count() <= BROADCAST_NOTICES:
+        return rows.join(F.broadcast(notices), "host_number", "left")
+    salted = notices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["host_number", "salt"], "left")
