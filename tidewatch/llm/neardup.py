@@ -25,6 +25,7 @@ So no link is lost to a cap; what was joined already is not compared again.
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 from math import comb
 
@@ -38,6 +39,7 @@ from .common import Scratch, arrow_rows, claim_memory
 
 SKETCH = 64
 LONG = 32  # classes in a list above which it does not give all its pairs
+BROADCAST_IDS = 2_000_000  # so many class or document numbers at most are broadcast
 
 #: Odd 64-bit multipliers of the published splitmix64 finaliser, and its increment.
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -96,22 +98,30 @@ def _least_shared(draws: int, percent: int) -> int:
     return c
 
 
+def signature(s: np.ndarray) -> tuple[int, int, int, list[int]]:
+    """(size, two hashes, sketch) of a set of :func:`shingles`."""
+    u = _mix(s.view(np.uint64) + _STEP)
+    return len(s), int(u.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_mix(u), initial=np.uint64(0)).astype(np.int64)), s[:SKETCH].tolist()
+
+
 def scan(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n, h1, h2, sketch`` of every row (null text: empty)."""
 
     def make():
-        def work(rows):
-            for doc, text in rows:
-                s = shingles(text, size)
-                u = _mix(s.view(np.uint64) + _STEP)
-                yield doc, len(s), int(u.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(_mix(u), initial=np.uint64(0)).astype(np.int64)), s[:SKETCH].tolist()
-
-        return work
+        return lambda rows: ((doc, *signature(shingles(text, size))) for doc, text in rows)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return arrow_rows(plain, ["doc_id", "text"], "doc_id long, n long, h1 long, h2 long, sketch array<long>", make)
 
 
+def _among(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``key`` stands (``left_anti``: does not stand) in ``ids``, a
+    saved table of distinct numbers.  Up to ``BROADCAST_IDS`` numbers go to the
+    rows; beyond, rows and numbers meet by a shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, how)
+
+
 def _size_ok(percent: int):
     return (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
 
@@ -149,10 +159,12 @@ def _room(percent: int):
     return left * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _likely(pairs: DataFrame, classes: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
     """Pairs whose union sketch does not rule out the similarity."""
-    own = classes.select("cls", "n", "sketch")
-    both = pairs.distinct().join(own.withColumnsRenamed({"cls": "a", "n": "n_a", "sketch": "s_a"}), "a").join(own.withColumnsRenamed({"cls": "b", "n": "n_b", "sketch": "s_b"}), "b")
+    pairs = scratch.save(pairs.distinct(), f"{name}-pairs")
+    ids = scratch.save(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), f"{name}-ids")
+    own = _among(classes.select("cls", "n", "sketch"), ids, "cls")
+    both = pairs.join(own.withColumnsRenamed({"cls": "a", "n": "n_a", "sketch": "s_a"}), "a").join(own.withColumnsRenamed({"cls": "b", "n": "n_b", "sketch": "s_b"}), "b")
 
     def make():
         def work(rows):
@@ -223,14 +235,13 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def _dense_links(classes: DataFrame, hard: DataFrame, texts_of, links: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+def _dense_links(classes: DataFrame, hard: DataFrame, texts: DataFrame, links: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
     """Links among the ``hard`` classes by their full sets; see the module text."""
-    texts = scratch.save(texts_of(hard), "hard-texts")
 
     def make():
         return lambda rows: ((cls, v) for cls, text in rows for v in shingles(text, size).tolist())
 
-    values = scratch.save(arrow_rows(texts, ["cls", "text"], "cls long, v long", make, 8192), "hard-values")
+    values = scratch.save(arrow_rows(_among(texts, hard, "cls"), ["cls", "text"], "cls long, v long", make, 8192), "hard-values")
     ranked = _rare_first(values, classes)
     # position pos can be the first common one only if the rest is large enough for the smallest partner, percent of n
     near = (F.col("n") - F.col("pos")) * 100 >= F.col("n") * percent
@@ -241,7 +252,7 @@ def _dense_links(classes: DataFrame, hard: DataFrame, texts_of, links: DataFrame
     in_long = scratch.save(prefix.join(long.select("v"), "v"), "long-lists")
     heart = in_long.groupBy("v").agg(F.max_by("cls", F.struct("centrality", -F.col("cls"))).alias("heart"))
     star = in_long.join(heart, "v").where("cls <> heart").select(F.least("cls", "heart").alias("a"), F.greatest("cls", "heart").alias("b"))
-    first = scratch.save(_confirmed(_likely(plain.union(star), classes, percent), texts, size, percent), "hard-links")
+    first = scratch.save(_confirmed(_likely(plain.union(star), classes, scratch, "hard-likely", percent), texts, size, percent), "hard-links")
     found = links.union(first)
     if not in_long.limit(1).count():
         return first
@@ -256,7 +267,7 @@ def _dense_links(classes: DataFrame, hard: DataFrame, texts_of, links: DataFrame
     a, b = useful.where("outside").alias("a"), useful.alias("b")
     rest = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.component") != F.col("b.component")) & _size_ok(percent) & _room(percent))
     pairs = rest.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b"))
-    return first.union(_confirmed(_likely(pairs, classes, percent), texts, size, percent))
+    return first.union(_confirmed(_likely(pairs, classes, scratch, "rest-likely", percent), texts, size, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -268,33 +279,58 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     texts) are linked with nothing.  Rows with equal doc_id are rows each, and
     share a component only over their texts; a null doc_id takes no part: its
     component is null, and it is kept.  Columns besides doc_id and text are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result.  Very long texts are one set
+    each, held by the tasks that compare them.
     """
+    return _judged(docs, size, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with their sets' hashes (h1, h2)."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     scratch = Scratch(docs.sparkSession)
     signed = scratch.save(scan(docs, size), "signed")
     linked = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = scratch.save(linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("cls"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
-
-    def texts_of(chosen: DataFrame) -> DataFrame:
-        """(cls, text) for some classes; of repeated ids the row with the class's own set."""
-        plain = docs.select(F.col("doc_id").cast("long").alias("cls"), "text").where(F.col("text").isNotNull())
-        return plain.join(chosen.select("cls").distinct(), "cls")
+    # A class is a distinct set; it has a number of its own, and doc is the smallest document with it.
+    classes = linked.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("doc"), F.min_by("sketch", "doc_id").alias("sketch"))
+    classes = scratch.save(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     pairs, hard = _sketch_lists(classes, scratch, percent)
-    likely = scratch.save(_likely(pairs, classes, percent), "likely")
+    likely = scratch.save(_likely(pairs, classes, scratch, "sketch-likely", percent), "likely")
     scratch.drop("sketch-prefix")
-    texts = texts_of(likely.select(F.col("a").alias("cls")).union(likely.select("b")))
+    chosen = scratch.save(likely.select(F.col("a").alias("cls")).union(likely.select("b")).union(hard).distinct(), "chosen")
+    texts = scratch.save(_texts_of(docs, signed, _among(classes, chosen, "cls"), scratch, size), "texts")
     links = scratch.save(_confirmed(likely, texts, size, percent), "links")
     if hard.limit(1).count():
-        links = links.union(scratch.save(_dense_links(classes, hard, texts_of, links, scratch, size, percent), "dense"))
+        links = links.union(scratch.save(_dense_links(classes, hard, texts, links, scratch, size, percent), "dense"))
     component = components(links, scratch, "final")
-    scratch.drop("likely", "hard-texts", "hard-values", "hard-prefix", "long-lists", "useful")
-    named = classes.select("h1", "h2", "n", "cls").join(component.withColumnsRenamed({"node": "cls"}), "cls", "left").select("h1", "h2", "n", F.coalesce("component", "cls").alias("component"))
+    placed = component.join(classes.select(F.col("cls").alias("node"), "h1", "h2", "n", "doc"), "node")
+    least = placed.groupBy("component").agg(F.min("doc").alias("least"))
+    joined = placed.join(least, "component").select("h1", "h2", "n", "least")
+    named = classes.select("h1", "h2", "n", "doc").join(joined, ["h1", "h2", "n"], "left").select("h1", "h2", "n", F.coalesce("least", "doc").alias("component"))
     out = signed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = scratch.save(out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"), "h1", "h2"), "judged")
+    scratch.drop("likely", "texts", "hard-values", "hard-prefix", "long-lists", "useful", "classes", "signed", "links", "dense", "hard-links", "hard", "chosen")
+    scratch.drop(*[f"{k}-{x}" for k in ("sketch-likely", "hard-likely", "rest-likely") for x in ("pairs", "ids")])
+    return out
+
+
+def _texts_of(docs: DataFrame, signed: DataFrame, chosen: DataFrame, scratch: Scratch, size: int) -> DataFrame:
+    """(cls, text) of some classes: the text of their smallest document whose set
+    is the class's own (of repeated ids another row may have another set)."""
+    wanted = scratch.save(chosen.select("cls", F.col("doc").alias("doc_id"), "h1", "h2", "n"), "wanted")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = plain.join(F.broadcast(wanted) if few else wanted, "doc_id")
+
+    def make():
+        return lambda rows: ((cls, text) for cls, text, n, h1, h2 in rows if signature(shingles(text, size))[:3] == (n, h1, h2))
+
+    texts = arrow_rows(met, ["cls", "text", "n", "h1", "h2"], "cls long, text string", make, 512)
+    again = signed.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return texts.dropDuplicates(["cls"]) if again else texts
 
 
 def _sketch_lists(classes: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -313,7 +349,27 @@ def _sketch_lists(classes: DataFrame, scratch: Scratch, percent: int) -> tuple[D
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; all
-    columns stay.  Of repeated rows each stays if its doc_id is kept."""
-    gone = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the rows whose component has a smaller doc_id; all columns
+    stay, whatever their names.  Of repeated rows each stays if it is kept; of
+    rows with one doc_id and different texts each goes by its own text."""
+    scratch = Scratch(docs.sparkSession)
+    judged = _judged(docs, size, percent)
+    gone = scratch.save(judged.where(~F.col("kept")).select("doc_id", "n_shingles", "h1", "h2").distinct(), "gone")
+    ids = scratch.save(gone.select("doc_id").distinct(), "gone-ids")
+    both = judged.where("kept").select("doc_id").join(ids, "doc_id", "left_semi").limit(1).count()
+    if not both:  # no id has a row that stays and one that goes
+        return _among(docs, ids.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "doc_id", "left_anti")
+    own = f"set_{uuid.uuid4().hex}"
+    signed = docs.withColumn(own, _signature_of(size)(F.col("text")))
+    same = (signed["doc_id"] == gone["doc_id"]) & (signed[own]["n"] == gone["n_shingles"]) & (signed[own]["h1"] == gone["h1"]) & (signed[own]["h2"] == gone["h2"])
+    return signed.join(gone, same, "left_anti").drop(own)
+
+
+def _signature_of(size: int):
+    import pandas as pd
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([signature(shingles(t or "", size))[:3] for t in texts], columns=["n", "h1", "h2"])
+
+    of.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(of, "n long, h1 long, h2 long")
