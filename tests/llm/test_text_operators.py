@@ -224,13 +224,13 @@ CLEAN = ["999.1.1.1", "v1.2.3", "4111111111111112", "1985-13-40", "000-12-3456",
 def test_pii_keeps_formats_and_leaves_the_rest(spark):
     rows = [(k, t) for k, t in enumerate([t for v in PERSONAL.values() for t in v])]
     kinds = [k for k, v in PERSONAL.items() for _ in v]
-    report = pii.pseudonym_report(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
-    again = pii.pseudonym_report(spark.createDataFrame([(r.doc_id, r.text) for r in report], "doc_id long, text string")).orderBy("doc_id").collect()
+    report = pii.pseudonym_report(spark.createDataFrame(rows, "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    again = pii.pseudonym_report(spark.createDataFrame([(r.doc_id, r.text) for r in report], "doc_id long, text string"), "key").orderBy("doc_id").collect()
     for (_, old), new, twice, kind in zip(rows, report, again, kinds, strict=True):
         assert new.kinds == kind and new.n_found == 1 and new.text != old and len(new.text) == len(old)
         assert [c.isdigit() for c in new.text] == [c.isdigit() for c in old] or kind == "secret"
         assert twice.kinds == kind, "a pseudonym is a valid value of its kind"
-    clean = pii.pseudonym_report(spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN)], "doc_id long, text string")).orderBy("doc_id").collect()
+    clean = pii.pseudonym_report(spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN)], "doc_id long, text string"), "key").orderBy("doc_id").collect()
     assert [r.text for r in clean] == CLEAN and all(r.n_found == 0 for r in clean)
 
 
@@ -246,14 +246,14 @@ def test_pii_is_a_permutation(spark):
 def test_secrets_without_digits(spark):
     old = ["sk-" + "abcdefghij" * 2, "AKIA" + "QWERTYUI" * 2, "ghp_" + "abcdef" * 6, "abcdef" * 6]
     docs = spark.createDataFrame([(k, f"my {t} here") for k, t in enumerate(old)], "doc_id long, text string")
-    for (t, r) in zip(old, pii.pseudonym_report(docs).orderBy("doc_id").collect(), strict=True):
+    for (t, r) in zip(old, pii.pseudonym_report(docs, "key").orderBy("doc_id").collect(), strict=True):
         assert r.kinds == "secret" and t not in r.text and len(r.text) == len(t) + 8
 
 
 def test_phones_with_any_area_code(spark):
     old = ["+1 (017) 555-7713", "+1 (117) 155-7713", "(017) 055-7713", "017-555-7713", "1.917.055.7713", "+(017) 555-7713", "+123 456 7890"]
     docs = spark.createDataFrame([(k, f"call {t} now") for k, t in enumerate(old)], "doc_id long, text string")
-    for (t, r) in zip(old, pii.pseudonym_report(docs).orderBy("doc_id").collect(), strict=True):
+    for (t, r) in zip(old, pii.pseudonym_report(docs, "key").orderBy("doc_id").collect(), strict=True):
         assert r.kinds == "phone" and t not in r.text and [c.isdigit() for c in r.text] == [c.isdigit() for c in f"call {t} now"]
     every = spark.range(2000).select(F.format_string("+1 (%03d) 555-7713", F.col("id") % 1000).alias("v")).distinct()
     got = every.select(pii.pseudonym(F.col("v"), "key")["value"].alias("p"))
@@ -262,10 +262,10 @@ def test_phones_with_any_area_code(spark):
 
 def test_pii_links_equal_values_and_handles_edges(spark):
     rows = [(1, "x 161.17.88.162 y 161.17.88.162", "a"), (2, "161.17.88.162", None), (3, None, "b"), (4, "", "c"), (4, "", "c")]
-    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, kinds string"))
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, kinds string"), "key")
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts[1] == f"x {texts[2]} y {texts[2]}" and texts[3] is None and texts[4] == "" and got.columns == ["doc_id", "text", "kinds"] and got.count() == 5
-    assert pii.pseudonymise(got.limit(0)).count() == 0
+    assert pii.pseudonymise(got.limit(0), "key").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -313,3 +313,28 @@ def test_forest_equals_its_trees_walked_one_by_one():
                 at = 2 * at + (2 if row[f[at]] > c[at] else 1)
             total += v[at - len(f)]
         assert forest.margin(row[None])[0] == pytest.approx(total)
+
+
+def test_one_id_with_two_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(4, " ".join(words), 1), (4, "quite another text of its own here", 2), (3, " ".join([*words, "more"]), 3), (3, " ".join([*words, "more"]), 4), (9, "x y", 5)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n long")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, 4).collect())
+    assert got == [(3, 58, 3, True), (3, 58, 3, True), (4, 4, 4, True), (4, 57, 3, False), (9, 1, 9, True)]
+    kept = neardup.keep_one(docs, 4)
+    assert sorted(r.n for r in kept.collect()) == [2, 3, 4, 5] and kept.columns == docs.columns
+
+
+@pytest.mark.parametrize("ids", [2_000_000, 0])
+def test_a_passage_in_every_document(spark, monkeypatch, ids):
+    """A common passage puts all documents in one long list; ids = 0: all by shuffles."""
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", ids)
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = []
+    for k in range(60):
+        own = " ".join(f"o{k}-{j}" for j in range(rng.choice([0, 2, 5, 40])))
+        texts += [f"{own} {passage}", f"{own} {passage} end{k}"]
+    texts.append(" ".join(f"q{j}" for j in range(50_000)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts), 4).collect()}
+    assert got == dict(enumerate(brute_components(texts, 4, 80)))

@@ -10,15 +10,35 @@ The network works on strings of any length: each character has an alphabet (its
 each round one half is shifted, character by character and modulo its alphabet,
 by a key stream drawn from the other half.  Each round can be undone, so the
 whole is a permutation of the strings of one mask.  Dates are permuted by their
-day in a 400-year cycle, addresses by their octets.
+day in a 400-year cycle, addresses by their octets, social security numbers by
+their place among the valid ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+KEY_SETTING = "spark.tidewatch.pii.key"
+
+
+@lru_cache(1)
+def _own_key() -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret key of a session: its setting ``spark.tidewatch.pii.key``.
+
+    Where that is unset, a random key that holds for this driver process and is
+    kept nowhere: values stay linked within an application, and the next one gives
+    others.
+    """
+    return spark.conf.get(KEY_SETTING, None) or _own_key()
 
 #: Mask letters and their alphabets; any other mask letter leaves its character as it is.
 ALPHABETS = {
@@ -35,7 +55,8 @@ ALPHABETS = {
 
 # Patterns; each is a whole value between characters that can't continue it.
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-EMAIL = r"[\p{L}\p{N}][\p{L}\p{N}._%+\-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?\.)+\p{L}{2,}"
+# Each starts at few places and looks a bounded way ahead, so time is linear in the text (names up to 256 characters, domains of up to 126 labels of 63).
+EMAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+\-]{0,255}+@(?:[\p{L}\p{N}][\p{L}\p{N}\-]{0,62}+(?<!-)\.){1,126}\p{L}{2,63}"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)"
 DATE = r"(?<![\d./\-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d/\-]|\.\d)"
 SSN = r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d\-])"
@@ -173,6 +194,25 @@ def _ip(v: Column, key: str) -> Column:
 CYCLE, CYCLE_START = (189, 773), "1800-01-01"
 
 
+def _ssn(v: Column, key: str) -> Column:
+    """Another valid number: its place among the 898 areas (1 to 899 but 666)
+    times 99 groups, and among the 9,999 serials."""
+
+    def of(parts: Column) -> Column:
+        area, group, serial = (parts[k].cast("int") for k in range(3))
+        pair = permute_pair((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1, serial - 1, (898 * 99, 9999), f"{key}|ssn")
+
+        def put(q: Column) -> Column:
+            at = F.floor(q["x"] / 99) + 1
+            moved = at + F.when(at >= 666, 1).otherwise(0)
+            numbers = ((moved, 3), (q["x"] % 99 + 1, 2), (q["y"] + 1, 4))
+            return F.concat_ws("-", *[F.lpad(n.cast("string"), width, "0") for n, width in numbers])
+
+        return _let(pair, put)
+
+    return _let(F.split(v, "-"), of)
+
+
 def _date_as(v: Column, form: str, key: str) -> Column:
     """The date of another day of its 400-year cycle, or null if ``v`` is none."""
     days = CYCLE[0] * CYCLE[1]
@@ -255,7 +295,6 @@ def pseudonym(match: Column, key: str) -> Column:
     def of_kind(kind: Column) -> Column:
         mask = (
             F.when(kind == "email", _email_mask(match))
-            .when(kind == "ssn", F.regexp_replace(match, r"\d", "d"))
             .when(kind == "secret", _secret_mask(match))
             .when((kind == "iban") & _iban_valid(match), F.concat(F.lit("===="), class_mask(F.substr(match, F.lit(5)))))
             .when(kind == "phone", _phone_mask(match))
@@ -263,13 +302,10 @@ def pseudonym(match: Column, key: str) -> Column:
         )
 
         def masked(m: Column) -> Column:
-            once = lambda v: permute(v, m, F.concat(F.lit(key + "|"), kind))
-            # A social security number walks the permutation until it is valid again; the others take one step.
-            steps = F.sequence(F.lit(1), F.when(kind == "ssn", 8).otherwise(1))
-            moved = F.reduce(steps, match, lambda acc, r: F.when((r > 1) & acc.rlike(f"^{SSN}$"), acc).otherwise(once(acc)))
+            moved = permute(match, m, F.concat(F.lit(key + "|"), kind))
             return _let(moved, lambda v: F.when(kind == "card", _card_closed(v)).when(kind == "iban", _iban_closed(v)).otherwise(v))
 
-        value = F.when(kind == "ip", _ip(match, key)).when(kind == "date", _date(match, key)).otherwise(_let(mask, lambda m: F.when(m.isNull(), match).otherwise(masked(m))))
+        value = F.when(kind == "ip", _ip(match, key)).when(kind == "date", _date(match, key)).when(kind == "ssn", _ssn(match, key)).otherwise(_let(mask, lambda m: F.when(m.isNull(), match).otherwise(masked(m))))
         return F.struct(kind.alias("kind"), value.alias("value"))
 
     return _let(named, of_kind)
@@ -283,31 +319,43 @@ def pseudonymise_text(text: Column, key: str) -> Column:
 
     def put(ms: Column) -> Column:
         made = F.transform(ms, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new")))
+        both = F.struct(made.alias("made"), F.split(text, PATTERN, -1).alias("between"))
 
-        def join(q: Column) -> Column:
-            between = F.split(text, PATTERN, -1)
+        def join(b: Column) -> Column:
+            q, between = b["made"], b["between"]
             whole = F.concat(between[0], F.array_join(F.transform(q, lambda m, i: F.concat(m["new"]["value"], F.element_at(between, i + 2))), ""))
             changed = F.filter(q, lambda m: m["old"] != m["new"]["value"])
             return F.struct(whole.alias("text"), F.transform(changed, lambda m: m["new"]["kind"]).alias("kinds"))
 
-        return F.when(F.size(ms) == 0, nothing).otherwise(_let(made, join))
+        return F.when(F.size(ms) == 0, nothing).otherwise(_let(both, join))
 
     return _let(found, put)
 
 
-def pseudonymise(docs: DataFrame, key: str = "tidewatch", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with the personal data in ``text_col`` under pseudonyms.
 
-    All other columns stay as they are.  Null text stays null; a text without
-    personal data stays as it is; equal values get equal pseudonyms in every row.
-    A ``key`` must be kept secret: whoever has it can undo the permutation.
+    All other columns stay as they are, whatever their names.  Null text stays
+    null; a text without personal data stays as it is; equal values get equal
+    pseudonyms in every row; an empty table stays empty.  Time is linear in the
+    text, and a row is one value, so a very long text is worked on in one task.
+    The ``key`` must be kept secret (see :func:`session_key`): whoever has it can
+    undo the permutation.
     """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     return docs.withColumn(text_col, pseudonymise_text(F.col(text_col), key)["text"])
 
 
-def pseudonym_report(docs: DataFrame, key: str = "tidewatch") -> DataFrame:
+def pseudonym_report(docs: DataFrame, key: str) -> DataFrame:
     """``doc_id, text, n_found, kinds`` of every document; kinds is the sorted
-    list of what was found, comma-separated (empty: nothing)."""
+    list of what was found, comma-separated (empty: nothing).
+
+    Null text stays null with nothing found; null and repeated ids are rows each;
+    columns besides doc_id and text are ignored; an empty table gives no row.
+    """
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     done = docs.select("doc_id", pseudonymise_text(F.col("text"), key).alias("done"))
     kinds = F.coalesce(F.col("done.kinds"), F.array().cast("array<string>"))
     return done.select("doc_id", F.col("done.text").alias("text"), F.size(kinds).cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct(kinds)), ",").alias("kinds"))

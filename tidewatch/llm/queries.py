@@ -45,7 +45,7 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonym_report(table(spark, sf_dir, "documents"))
+    return pii.pseudonym_report(table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
