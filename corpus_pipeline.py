@@ -27,7 +27,7 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data under pseudonyms."""
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii.session_key(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
