@@ -121,11 +121,51 @@ def test_run_ledger(spark, tmp_path):
     assert scalars.config_hash({"a": 1, "b": 2}) == scalars.config_hash({"b": 2, "a": 1})
     with pytest.raises(ValueError, match="hash"):
         ledger.log_run(spark, path, {}, {}, seed=1, data_snapshot_hash="")
-    ledger.append_row(spark, path, {"timestamp": "t", "metrics": {}})
-    with pytest.raises(Exception, match="missing fields"):
+    assert all("NaN" in r.metrics for r in runs), "what is not finite stays so"
+    whole = {"timestamp": "t", "git_sha": "s", "config_hash": "c", "data_snapshot_hash": "d", "seed": 1, "config": {}, "metrics": {}}
+    ledger.append_row(spark, path, whole)
+    with pytest.raises(Exception, match="missing fields: notes"):
         ledger.read_runs(spark, path).collect()
 
 
+def test_suite_records_and_live_rows_are_logged(spark, tmp_path):
+    runs, live = f"file://{tmp_path}/runs", f"file://{tmp_path}/live"
+    records = spark.createDataFrame([("b", 0.5, [0.1, 0.2]), ("a", None, [0.3, None])], "name string, auc double, auc_ci90 array<double>")
+    assert ledger.log_records(spark, runs, records, {"suite": "x"}, seed=3, data_snapshot_hash="h") == 2
+    assert sorted((r.notes, json.loads(r.metrics)["auc"], json.loads(r.config)["strategy"]) for r in ledger.read_runs(spark, runs).collect()) == [("a", None, "a"), ("b", 0.5, "b")]
+    row = spark.createDataFrame([("2024-05-01", 0.7, 1, dt.date(2024, 5, 15))], "asof string, prob double, signal int, label_resolves_after date")
+    got = ledger.append_live(spark, live, runs, row, {"kind": "gbm"}, seed=3, data_snapshot_hash="h")
+    assert got["label_resolves_after"] == "2024-05-15" and ledger.run_count(spark, runs) == 3
+    ledger.append_live(spark, live, runs, row.withColumn("asof", F.lit("2024-05-02")), {"kind": "gbm"}, seed=3, data_snapshot_hash="h")
+    assert sorted(r.asof for r in ledger.read_merged(spark, live).collect()) == ["2024-05-01", "2024-05-02"]
+    with pytest.raises(ValueError, match="already"):
+        ledger.append_live(spark, live, runs, row, {"kind": "gbm"}, seed=3, data_snapshot_hash="h")
+
+
+def test_book_is_built_and_frozen(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(8)]
+    rows = [(s, d, 100.0 + k * (1 + j) if (s, k) != ("b", 2) else 900.0) for j, s in enumerate("ab") for k, d in enumerate(days)]
+    positions = spark.createDataFrame([("a", 1.0, 10.0), ("b", 3.0, 10.0), ("gone", 2.0, 10.0)], "series string, shares double, price double")
+    listing = snapshots.freeze_book(spark.createDataFrame(rows, "series string, date date, close double"), positions, base, manifest={"weights_asof": "2024-01-09"})
+    assert list(snapshots.read_manifest(spark, base, "book")["target_weights"]) == ["b", "gone", "a"] and listing["target_weights"]["b"] == 0.5
+    assert listing["excluded"] == ["gone"] and listing["cut_dates"] == {"b": "2024-01-04"} and listing["rows"] == 7
+    assert snapshots.load(spark, base, "book").columns == ["date", "BOOK_close", "n_names"]
+    with pytest.raises(snapshots.SnapshotError, match="frozen"):
+        snapshots.freeze_book(spark.createDataFrame(rows, "series string, date date, close double"), positions, base)
+
+
+def test_csv_snapshots_keep_what_is_missing_and_are_verified(spark, tmp_path):
+    path = f"file://{tmp_path}/s.csv"
+    df = spark.createDataFrame([(dt.date(2024, 1, 2), None, 2), (dt.date(2024, 1, 1), 1.25, 1)], "date date, BOOK_close double, n_names int")
+    snapshots.write_csv_snapshot(df, path)
+    sha = snapshots.file_hash(spark, f"{path}/*.csv")
+    got = [tuple(r) for r in snapshots.load_csv(spark, f"{path}/*.csv", panel.BOOK_SCHEMA, sha).collect()]
+    assert got == [(dt.date(2024, 1, 1), 1.25, 1), (dt.date(2024, 1, 2), None, 2)]
+    with pytest.raises(snapshots.SnapshotError, match="manifest"):
+        snapshots.load_csv(spark, f"{path}/*.csv", panel.BOOK_SCHEMA, "0" * 64)
+
+
 def test_prediction_stream_appends_once(spark, tmp_path):
     src, out, ck = (f"{tmp_path}/{n}" for n in ("src", "out", "ck"))
     spark.createDataFrame([("2024-05-01", 0.9), ("2024-05-02", 0.1)], "asof string, rank double").write.json(src)

@@ -8,23 +8,23 @@ from tidewatch.operators import bootstrap, folds, integrity, metrics, ml
 
 
 @pytest.mark.parametrize(("n", "k"), [(800, 5), (600, 4), (500, 3)])
-def test_folds_are_purged_and_tile_the_tail(n, k):
-    got = folds.purged_folds(n, k)
+def test_folds_are_purged_and_tile_the_tail(spark, n, k):
+    got = sorted(folds.purged_folds(spark, n, n_folds=k).collect())
     assert got[0].test_start == 150 and got[-1].test_end == n
     assert all(a.test_end == b.test_start for a, b in zip(got, got[1:], strict=False))
     assert all(f.train_end + 20 == f.test_start and f.train_end - 1 + 10 < f.test_start for f in got)
 
 
-def test_too_few_rows():
+def test_too_few_rows(spark):
     with pytest.raises(ValueError, match="too few"):
-        folds.purged_folds(100)
+        folds.purged_folds(spark, 100)
 
 
 def test_fold_table_equals_the_ranges(spark):
     df = spark.range(607).withColumn("series", F.lit("X"))
     got = sorted((r.fold, r.train_end, r.test_start, r.test_end) for r in folds.folds_of(df, ["series"]).collect())
-    assert got == [(f.k, f.train_end, f.test_start, f.test_end) for f in folds.purged_folds(607)]
-    assert integrity.folds_leak(folds.fold_table(spark, folds.purged_folds(607))).count() == 0
+    assert got == sorted(tuple(r) for r in folds.purged_folds(spark, 607).collect())
+    assert integrity.folds_leak(folds.purged_folds(spark, 607)).count() == 0
 
 
 def rows_of(spark, y, p, s=None, r=None):
@@ -78,7 +78,25 @@ def test_bootstrap_matches_numpy(spark):
         values.append(np.mean((p[idx] - y[idx]) ** 2))
     assert (got.lo, got.hi) == pytest.approx(tuple(np.quantile(values, [0.05, 0.95])))
     custom = bootstrap.block_bootstrap_ci(rows_of(spark, y, p), bootstrap.python_metric(lambda a, b: np.mean((a - b) ** 2)), n_boot=50, seed=7).head()
-    assert custom.lo == pytest.approx(got.lo)
+    assert custom.lo == pytest.approx(got.lo) and got.point == pytest.approx(np.mean((p - y) ** 2))
+
+
+def test_hashed_starts_need_no_driver(spark, monkeypatch):
+    got = bootstrap.hashed_starts(spark, 95, 400, seed=3).toPandas()
+    assert len(got) == 400 * 5 and got.start.between(0, 94).all() and got.start.nunique() == 95
+    assert got.equals(bootstrap.hashed_starts(spark, 95, 400, seed=3).toPandas())
+    monkeypatch.setattr(bootstrap, "DRAWN_ROWS", 100)
+    with pytest.raises(ValueError, match="hashed_starts"):
+        bootstrap.drawn_starts(spark, 95, 400)
+
+
+@pytest.mark.parametrize("values", ["spread", "one", "infinite"])
+def test_auc_in_ranges_of_scores(spark, monkeypatch, values):
+    monkeypatch.setattr(metrics, "RANGES", 7)
+    rng = np.random.default_rng(12)
+    y = rng.integers(0, 2, 300).astype(float)
+    p = {"spread": np.round(rng.normal(0, 5, 300), 1), "one": np.full(300, 0.5), "infinite": np.where(rng.random(300) < 0.1, np.inf, rng.random(300))}[values]
+    assert metrics.auc(rows_of(spark, y, p)).head().auc == pytest.approx(brute_auc(y, p))
 
 
 def test_the_metric_record_has_both_intervals(spark):
@@ -114,9 +132,9 @@ def test_whole_bootstrap_runs_every_series(spark, monkeypatch):
     own = {s: (rng.integers(0, 2, n).astype(float), rng.random(n)) for s, n in (("A", 65), ("N", 50))}
     rows = [(s, i, float(a), float(b), float(b > 0.5)) for s, (y, p) in own.items() for i, (a, b) in enumerate(zip(y, p, strict=True))]
     monkeypatch.setattr(queries, "signal_rows", lambda spark, d: spark.createDataFrame(rows, "series string, i long, y double, p double, s double"))
-    ci = {r.series: r for r in queries.QUERIES["bootstrap_ci_whole"](spark, "").collect()}
-    diff = {r.series: r for r in queries.QUERIES["auc_diff_whole"](spark, "").collect()}
-    assert set(ci) == set(diff) == set(own) and queries.QUERIES["bootstrap_sample_whole"](spark, "").count() == 2 * bootstrap.N_BOOT
+    ci = {r.series: r for r in queries.QUERIES["bootstrap_ci"](spark, "").collect()}
+    diff = {r.series: r for r in queries.QUERIES["auc_diff"](spark, "").collect()}
+    assert set(ci) == set(diff) == set(own) and queries.QUERIES["bootstrap_sample"](spark, "").count() == 2 * bootstrap.N_BOOT
     for s, (y, p) in own.items():
         n, brier, better = len(y), [], []
         for rep in range(bootstrap.N_BOOT):
@@ -167,7 +185,7 @@ def test_walk_forward_is_blind_to_later_rows(spark):
 
     def probs(values):
         df = spark.createDataFrame(pd.DataFrame({"i": np.arange(n), "x": values, "y": y}))
-        got = ml.walk_forward(folds.assign(df, folds.fold_table(spark, folds.purged_folds(n)), []), ["x"], [], "logistic").toPandas()
+        got = ml.walk_forward(folds.assign(df, folds.purged_folds(spark, n), []), ["x"], [], "logistic").toPandas()
         return got[got.fold == 0].sort_values("i").prob.to_numpy()
 
     garbled = x.copy()

@@ -157,12 +157,6 @@ def trailing_rank(x: Column | str, n: int, over: Over) -> Column:
     return F.when((F.count(x).over(frame) == n) & x.isNotNull(), share)
 
 
-def mid_rank(x: Column | str, by: tuple[str, ...] = ()) -> Column:
-    """The mean rank of tied values."""
-    ties = Window.partitionBy(*by, x)
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count(F.lit(1)).over(ties) - 1) / 2
-
-
 def is_above(x: Column, y: Column) -> Column:
     """1.0 or 0.0; missing counts as not above."""
     return F.coalesce((x > y).cast("double"), F.lit(0.0))

@@ -78,10 +78,3 @@ def last_value(x: Column | str, date: Column | str = "date") -> Column:
     """Aggregate: the last value that is there."""
     x, d = (F.col(v) if isinstance(v, str) else v for v in (x, date))
     return F.max_by(x, F.when(x.isNotNull(), d))
-
-
-def lookback_filter(df: DataFrame, since: str, rows: int, date: str = "date") -> DataFrame:
-    """A scan-side filter for scoring from ``since`` on: dates so far back that
-    ``rows`` trading days fit, so windows see their history and nothing else is
-    read.  Filter exactly afterwards."""
-    return df.where(F.col(date) >= F.date_sub(F.lit(since).cast("date"), rows * 7 // 5 + 15))

@@ -19,18 +19,31 @@ from .metrics import auc, brier_of
 
 BLOCK_LEN, N_BOOT, ALPHA = 20, 2000, 0.10
 BROADCAST_ROWS = 1_000_000
+DRAWN_ROWS = 5_000_000  # block starts made on the driver at most
 
 
 def drawn_starts(spark: SparkSession, n: int, n_boot: int = N_BOOT, block_len: int = BLOCK_LEN, seed: int = 0) -> DataFrame:
-    """``rep, k, start``: uniform starts from 0 to n - 1."""
+    """``rep, k, start``: uniform starts from 0 to n - 1.
+
+    Up to ``DRAWN_ROWS`` of them are numpy's own sequence; more are not made here
+    (:func:`hashed_starts` makes any number, on the executors)."""
     import pandas as pd
 
+    if n_boot * ceil(n / block_len) > DRAWN_ROWS:
+        raise ValueError("so many starts are drawn by hashed_starts")
     rng, blocks = np.random.default_rng(seed), ceil(n / block_len)
     starts = np.concatenate([rng.integers(0, n, size=blocks) for _ in range(n_boot)])
     frame = pd.DataFrame({"rep": np.repeat(np.arange(n_boot), blocks), "k": np.tile(np.arange(blocks), n_boot), "start": starts})
     return spark.createDataFrame(frame, "rep int, k int, start long")
 
 
+def hashed_starts(spark: SparkSession, n: int, n_boot: int = N_BOOT, block_len: int = BLOCK_LEN, seed: int = 0) -> DataFrame:
+    """The same for series of any length: each start is a hash of the seed and
+    its place, so nothing is made on the driver."""
+    each = spark.range(n_boot).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(ceil(n / block_len) - 1))).alias("k"))
+    return each.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(n)))
+
+
 def stepped_starts(spark: SparkSession, n: int, n_boot: int, block_len: int = BLOCK_LEN) -> DataFrame:
     """The same by a fixed rule, for checks in other engines."""
     reps = spark.range(n_boot).select(F.col("id").cast("int").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(ceil(n / block_len) - 1))).alias("k"))
@@ -79,10 +92,11 @@ def interval(values: DataFrame, alpha: float = ALPHA) -> DataFrame:
 
 
 def block_bootstrap_ci(rows: DataFrame, metric, starts: DataFrame | None = None, n_boot: int = N_BOOT, block_len: int = BLOCK_LEN, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
-    """Interval of a metric over rows (i from 0, y, p)."""
+    """``point, lo, hi, n_valid`` of a metric over rows (i from 0, y, p)."""
     n = rows.count()
     starts = drawn_starts(rows.sparkSession, n, n_boot, block_len, seed) if starts is None else starts
-    return interval(metric(resampled(rows, starts, n, block_len), ["rep"]), alpha)
+    point = metric(rows.withColumn("rep", F.lit(-1)), ["rep"]).select(F.col("value").alias("point"))
+    return point.join(interval(metric(resampled(rows, starts, n, block_len), ["rep"]), alpha), how="cross")  # one row each
 
 
 def intervals_by_key(rows: DataFrame, keys: list[str], n_boot: int = N_BOOT, block_len: int = BLOCK_LEN, alpha: float = ALPHA, seed: int = 0, order: str = "i") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..functions.windows import Over
 
+#: The names of the features, in order.
 MARKET_FEATURES = (
     "rv10", "rv21", "rv63", "rv10_chg5", "rv_ratio_10_63", "volofvol21", "vix", "vix_slope", "vix_chg5", "vrp", "credit_ratio_chg21", "credit_ratio_chg5", "qqq_rv10", "iwm_rv10",
     "dd_from_peak63", "ret21", "ret5", "skew63", "range5",

@@ -29,6 +29,12 @@ def prefix_variance(df: DataFrame, build: Callable[[DataFrame], DataFrame], colu
 PREFIXES = (300, 500)
 
 
+def prefix_places(df: DataFrame, position: str = "i") -> list[int]:
+    """The rows that :func:`prefix_variances` checks, ascending."""
+    last = df.agg(F.max(position)).head()[0]
+    return [] if last is None else sorted({at for at in (*PREFIXES, last - 1, last) if 0 <= at <= last})
+
+
 def prefix_variances(df: DataFrame, build: Callable[[DataFrame], DataFrame], columns: list[str], position: str = "i") -> DataFrame:
     """:func:`prefix_variance` at the rows of :data:`PREFIXES` and at the last two.
 
@@ -36,9 +42,8 @@ def prefix_variances(df: DataFrame, build: Callable[[DataFrame], DataFrame], col
     nature; the row before it is the last that can show a leak.  A panel too
     short for a row of :data:`PREFIXES` is checked at the others.
     """
-    last = df.agg(F.max(position)).head()[0]
-    places = sorted({at for at in (*PREFIXES, *(() if last is None else (last - 1, last))) if last is not None and 0 <= at <= last})
-    out = prefix_variance(df, build, columns, last if last is not None else 0, position=position)
+    places = prefix_places(df, position)
+    out = prefix_variance(df, build, columns, places[-1] if places else 0, position=position)
     for at in places[:-1]:
         out = out.unionByName(prefix_variance(df, build, columns, at, position=position))
     return out

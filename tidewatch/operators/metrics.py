@@ -16,6 +16,7 @@ from ..functions.windows import ANNUAL_DAYS, Over
 #: Daily cost of a hedge, cost of a switch, share of a fall that a hedge captures.
 BLEED, SWITCH, CAPTURE = 0.0002, 0.0010, 0.5
 HORIZON, LOOKBACK = 10, 10
+RANGES = 1000
 
 
 def _by(df: DataFrame, keys: list[str]):
@@ -26,12 +27,22 @@ def auc(df: DataFrame, keys: list[str] | None = None, y: str = "y", p: str = "p"
     """``keys, auc``: rank statistic with mid-ranks for ties; NULL for one class.
 
     Rows are first counted for each distinct score, so the ranking sorts distinct
-    scores only.
+    scores only.  Without keys these are ranked in ``RANGES`` ranges of equal width
+    side by side, each after the sum of those below it.
     """
     keys = keys or []
     each = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, p).agg(F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = each.withColumn("mid", below + (F.col("n") + 1) / 2)
+    before = lambda within, order: F.coalesce(F.sum("n").over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if keys:
+        ranked = each.withColumn("mid", before(keys, p) + (F.col("n") + 1) / 2)
+    else:
+        ends = df.agg(F.min(p).alias("_least"), F.max(p).alias("_most"))  # one row
+        width = (F.col("_most") - F.col("_least")).cast("double")
+        place = F.floor((F.col(p) - F.col("_least")) / width * RANGES).cast("int")
+        placed = each.join(F.broadcast(ends), how="cross").withColumn("_range", F.when((width > 0) & (width < float("inf")), place).otherwise(0))
+        sums = placed.groupBy("_range").agg(F.sum("n").alias("n"))
+        base = sums.select("_range", before([], "_range").alias("_base"))  # RANGES rows at most
+        ranked = placed.join(F.broadcast(base), "_range").withColumn("mid", F.col("_base") + before(["_range"], p) + (F.col("n") + 1) / 2)
     sums = _by(ranked, keys).agg(F.sum(F.col("pos") * F.col("mid")).alias("ranks"), F.sum("pos").alias("n1"), F.sum("n").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     return sums.select(*keys, F.when((n1 > 0) & (n0 > 0), (F.col("ranks") - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0.0))).alias("auc"))

@@ -90,7 +90,7 @@ featured AS (SELECT *, {roll('stddev_samp(c1)', 'c1', 21, part=W)} AS volofvol21
 WIDE_LABEL = f"""w1 AS (SELECT *, CASE WHEN count(spy) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) = 10 THEN stddev_pop(spy) OVER (ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) * {S252} END AS rv_fwd,
   {roll('quantile_cont(rv10, 0.75)', 'rv10', 252, part=W)} AS rv_thresh FROM featured),
 judged AS (SELECT *, (rv_fwd > rv_thresh)::INT::DOUBLE AS label FROM w1)"""
-BOOK_STEPS = f"""b0 AS (SELECT *, ln(QQQ_close) - ln({lag('QQQ_close', 1, W)}) AS bk, ln(SPY_close) - ln({lag('SPY_close', 1, W)}) AS spy FROM panel),
+BOOK_STEPS = f"""b0 AS (SELECT *, ln(QQQ_close) - ln({lag('QQQ_close', 1, W)}) AS bk, ln(SPY_close) - ln({lag('SPY_close', 1, W)}) AS spy, HYG_close / LQD_close AS credit FROM panel),
 b1 AS (SELECT *, {vol('bk', 10, W)} AS brv10, {vol('bk', 21, W)} AS brv21, {vol('bk', 63, W)} AS brv63, QQQ_close / ({roll('max(QQQ_close)', 'QQQ_close', 63, part=W)}) - 1 AS bdd_from_peak63, {vol('spy', 10, W)} AS spy_rv10,
   ({roll('covar_samp(bk, spy)', 'bk + spy', 63, part=W)}) / ({roll('var_samp(spy)', 'spy', 63, part=W)}) AS beta63 FROM b0)"""
 CUT = "cuts AS (SELECT series, max(date) AS cut_date FROM (SELECT *, abs(ln(close) - ln(lag(close) OVER (PARTITION BY series ORDER BY date))) AS j FROM obars) WHERE j > 2.0 GROUP BY 1)"
@@ -105,9 +105,16 @@ SELECT series, thr, round({NPS}, 6) AS nps, round(avg(s), 6) AS on_frac, round(c
 LEADS = """marked AS (SELECT *, lag(y) OVER (PARTITION BY series ORDER BY i) AS y0, max(CASE WHEN s = 0 THEN i END) OVER (PARTITION BY series ORDER BY i) AS off, min(i) OVER (PARTITION BY series ORDER BY i) AS first FROM rows_),
 onsets AS (SELECT series, CASE WHEN s = 1 THEN least(i - coalesce(off, first - 1) - 1, 10) END AS lead FROM marked WHERE y = 1 AND y0 = 0)"""
 BAND = "CASE WHEN {x} >= {c} THEN {c_lo} WHEN {x} >= {b} THEN {b_lo} WHEN {x} >= 0 THEN {a_lo} END"
-BOOT = """base AS (SELECT i, y, p, s AS p_base FROM rows_ WHERE series = 'A'), size AS (SELECT count(*) AS n FROM base),
-starts AS (SELECT rep, k, (rep * 7919 + k * 104729) % n AS start, n FROM range(40) a(rep), size, range(100000) b(k) WHERE k < ceil(n / 20.0)),
-sample AS (SELECT rep, b.* FROM (SELECT rep, (start + j) % n AS i FROM starts, range(20) c(j) WHERE k * 20 + j < n) x JOIN base b USING (i))"""
+BOOT = """base AS (SELECT series, i, y, p, s AS p_base FROM rows_), size AS (SELECT series, count(*) AS n FROM base GROUP BY 1),
+starts AS (SELECT series, rep, k, (rep * 7919 + k * 104729) % n AS start, n FROM range(2000) a(rep), size, range(100000) b(k) WHERE k < ceil(n / 20.0)),
+sample AS (SELECT x.rep, b.* FROM (SELECT series, rep, (start + j) % n AS i FROM starts, range(20) c(j) WHERE k * 20 + j < n) x JOIN base b USING (series, i))"""
+
+
+def unrounded_auc(source: str, keys: str, y: str = "y", p: str = "p") -> str:
+    return auc_sql(source, keys, y, p).replace("round(", "(").replace(", 6) AS auc", ") AS auc")
+
+
+WIDE_NAMES = ("urgent", "high", "medium", "unspecified", "low")
 
 
 def round_all(names, digits: int = 6) -> str:
@@ -131,11 +138,13 @@ ORACLE: dict[str, str] = {
     "index_level": simple({"level": f"100 * exp(sum(lr) {over('UNBOUNDED PRECEDING', 'CURRENT ROW')})"}),
     "labels": with_(BARS, LABELLED) + f"SELECT series, date, {round_all(('rv_trail', 'rv_thresh', 'rv_fwd', 'mdd_fwd'))}, label FROM labelled",
     "features": with_(PANEL, FEATURE_STEPS) + f"SELECT date, {round_all(MARKET_FEATURES)} FROM featured",
-    "book_features": with_(PANEL, BOOK_STEPS) + f"SELECT date, {round_all(('brv10', 'brv21', 'bdd_from_peak63', 'spy_rv10', 'beta63'))}, round(brv10 / nullif(brv63, 0), 6) AS brv_ratio_10_63, round(brv10 - {lag('brv10', 5, W)}, 6) AS brv10_chg5 FROM b1",
+    "book_features": with_(PANEL, BOOK_STEPS) + f"""SELECT date, {round_all(('brv10', 'brv21', 'bdd_from_peak63', 'spy_rv10', 'beta63'))}, round(brv10 / nullif(brv63, 0), 6) AS brv_ratio_10_63, round(brv10 - {lag('brv10', 5, W)}, 6) AS brv10_chg5,
+  round(VIX_close, 6) AS vix, round(VIX_close / VIX3M_close - 1, 6) AS vix_slope, round({chg('VIX_close', 5, W)}, 6) AS vix_chg5, round({chg('credit', 21, W)}, 6) AS credit_ratio_chg21 FROM b1""",
     "rolling_beta": with_(PANEL, BOOK_STEPS) + "SELECT date, round(beta63, 6) AS beta63 FROM b1",
     "panel_build": with_(PANEL) + f"SELECT date, {round_all(COLUMNS)} FROM panel",
-    "wide_panel": with_(ORDERS, """j AS (SELECT a.date, a.close AS urgent, b.close AS high, c.close AS low FROM obars a LEFT JOIN obars b ON b.date = a.date AND b.series = '2-HIGH' LEFT JOIN obars c ON c.date = a.date AND c.series = '5-LOW' WHERE a.series = '1-URGENT'),
-f AS (SELECT date, """ + ", ".join(FILL.format(c=c) for c in ("urgent", "high", "low")) + " FROM j)") + f"SELECT date, {round_all(('urgent', 'high', 'low'))} FROM f WHERE urgent IS NOT NULL AND high IS NOT NULL AND low IS NOT NULL",
+    "wide_panel": with_(ORDERS, "j AS (SELECT a.date, a.close AS urgent, b.close AS high, c.close AS medium, d.close AS unspecified, e.close AS low FROM obars a "
+        + " ".join(f"LEFT JOIN obars {t} ON {t}.date = a.date AND {t}.series = '{v}'" for t, v in (("b", "2-HIGH"), ("c", "3-MEDIUM"), ("d", "4-NOT SPECIFIED"), ("e", "5-LOW"))) + " WHERE a.series = '1-URGENT')",
+        "f AS (SELECT date, " + ", ".join(FILL.format(c=c) for c in WIDE_NAMES) + " FROM j)") + f"SELECT date, {round_all(WIDE_NAMES)} FROM f WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in WIDE_NAMES),
     "panel_split": with_(BARS, SPLIT) + "SELECT * FROM split",
     "clean_suffix": with_(ORDERS, CUT, CLEAN) + "SELECT series, date, round(close, 6) AS close, cut_date FROM clean",
     "dedup_last": "SELECT o_orderpriority AS series, o_orderdate::DATE AS date, round(arg_max(o_totalprice, o_orderkey), 6) AS close, max(o_orderkey) AS pos FROM orders GROUP BY 1, 2",
@@ -166,10 +175,15 @@ daily AS (SELECT date, sum(CASE WHEN lr IS NOT NULL THEN weight END) AS ws, sum(
     "lead_times": with_(SIGNALS, LEADS) + "SELECT series, count(*) AS n_onsets, count(*) FILTER (lead IS NULL) AS n_missed, round(quantile_cont(lead, 0.5), 6)::DOUBLE AS lead_median, round(avg(lead), 6) AS lead_mean FROM onsets GROUP BY 1",
     "threshold_scan": SCAN,
     "calibration_bins": with_(SIGNALS) + "SELECT series, least(floor(p * 3), 2)::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS observed FROM rows_ GROUP BY 1, 2",
-    "evaluate_strategy": with_(SIGNALS, LEADS, "o AS (SELECT series, count(*) AS n_onsets, count(*) FILTER (lead IS NULL) AS n_missed FROM onsets GROUP BY 1)") + "SELECT r.series, count(*) AS n, any_value(n_onsets) AS n_onsets, any_value(n_missed) AS n_missed, round(avg(y), 4) AS base_rate, round(avg(s), 4) AS hedge_on_frac FROM rows_ r JOIN o USING (series) GROUP BY 1",
+    "evaluate_strategy": with_(SIGNALS, LEADS, "o AS (SELECT series, count(*) AS n_onsets, count(*) FILTER (lead IS NULL) AS n_missed, quantile_cont(lead, 0.5)::DOUBLE AS lead_median, avg(lead) AS lead_mean FROM onsets GROUP BY 1)",
+        "seen AS (SELECT *, lag(s) OVER (PARTITION BY series ORDER BY i) AS before FROM rows_)", "ranked AS (" + unrounded_auc("rows_", "series") + ")")
+    + f"""SELECT r.series, round(coalesce(sum(s * y) / nullif(sum(s), 0), 0), 4) AS precision, round(coalesce(sum(s * y) / nullif(sum(y), 0), 0), 4) AS recall, round(avg((s = 0 AND y = 1)::INT) / greatest(avg(y), 1e-9), 4) AS false_negative_rate,
+  round(avg((s = 1 AND y = 0)::INT), 4) AS false_positive_days_frac, round(avg(y), 4) AS base_rate, round(avg(s), 4) AS hedge_on_frac, count(*) AS n, round(avg((p - y) * (p - y)), 4) AS brier, round({NPS}, 5) AS nps,
+  round(count(*) / 10.0, 1)::DOUBLE AS n_eff, round(any_value(auc), 4) AS auc, any_value(n_onsets) AS n_onsets, any_value(n_missed) AS n_missed, any_value(lead_median) AS lead_median, round(any_value(lead_mean), 6) AS lead_mean
+  FROM seen r JOIN o USING (series) JOIN ranked USING (series) GROUP BY 1""",
     "staleness_auc": with_(PANEL, FEATURE_STEPS, WIDE_LABEL, "base AS (SELECT * FROM judged WHERE label IS NOT NULL)",
         "late AS (" + " UNION ALL ".join(f"SELECT label AS y, '{f}' AS feature, {k} AS lag, lag({f}, {k}) OVER (ORDER BY date) AS p FROM base" for f in SMALL_FEATURES for k in (0, 1, 5)) + ")") + auc_sql("late", "feature, lag"),
-    "prefix_invariance": "SELECT n_nationkey AS i FROM nation WHERE false",
+    "prefix_invariance": with_(PANEL) + "SELECT i, date, 0::BIGINT AS changed FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM panel) WHERE i IN (300, 500, n - 2, n - 1)",
     "series_audit": "SELECT DISTINCT o_orderpriority AS series FROM orders WHERE o_orderpriority = '5-LOW'",
     "ledger_audit": "SELECT event_type AS data_snapshot_hash, count(*) AS runs FROM events WHERE event_type = 'view' GROUP BY 1",
     "folds_leak": with_(SIGNALS, FOLDS) + "SELECT series, fold FROM folds WHERE train_end - 1 + 10 >= test_start",
@@ -184,9 +198,9 @@ daily AS (SELECT date, sum(CASE WHEN lr IS NOT NULL THEN weight END) AS ws, sum(
     + f"round({roll('avg(x)', 'x', 24, part='PARTITION BY event_type ', order='hour')}, 6) AS mean24, round(x / ({roll('max(x)', 'x', 24, part='PARTITION BY event_type ', order='hour')}) - 1, 6) AS below_peak24 FROM h".replace("ORDER BY hour", "ORDER BY h.hour"),
     "tail_rows": with_(PANEL) + "SELECT date, round(SPY_close, 6) AS SPY_close FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS k FROM panel) WHERE k BETWEEN 11 AND 15",
     "last_values": with_(BARS) + "SELECT series, round(arg_max(close, date) FILTER (dayofweek(date) <> 5), 6) AS last_close FROM bars GROUP BY 1",
-    "bootstrap_sample": with_(SIGNALS, BOOT) + auc_sql("sample", "rep"),
-    "bootstrap_ci": with_(SIGNALS, BOOT) + "SELECT round(quantile_cont(v, 0.05), 6) AS lo, round(quantile_cont(v, 0.95), 6) AS hi, count(v) AS n_valid FROM (SELECT rep, avg((p - y) * (p - y)) AS v FROM sample GROUP BY 1)",
-    "auc_diff": with_(SIGNALS, BOOT, "m AS (" + auc_sql("sample", "rep").replace("round(", "(").replace(", 6) AS auc", ") AS auc") + ")", "b AS (" + auc_sql("sample", "rep", "y", "p_base").replace("round(", "(").replace(", 6) AS auc", ") AS auc") + ")",
-        "one AS (SELECT 1 AS g, * FROM base)", "wm AS (" + auc_sql("one", "g") .replace("round(", "(").replace(", 6) AS auc", ") AS auc") + ")", "wb AS (" + auc_sql("one", "g", "y", "p_base").replace("round(", "(").replace(", 6) AS auc", ") AS auc") + ")")
-    + "SELECT round(any_value(wm.auc - wb.auc), 6) AS auc_diff, round(avg((m.auc - b.auc <= 0)::INT), 6) AS p_raw, count(*) AS n_valid FROM m JOIN b USING (rep), wm, wb WHERE m.auc IS NOT NULL AND b.auc IS NOT NULL",
+    "bootstrap_sample": with_(SIGNALS, BOOT) + auc_sql("sample", "series, rep"),
+    "bootstrap_ci": with_(SIGNALS, BOOT, "whole AS (SELECT series, avg((p - y) * (p - y)) AS point FROM base GROUP BY 1)")
+    + "SELECT series, round(any_value(point), 6) AS point, round(quantile_cont(v, 0.05), 6) AS lo, round(quantile_cont(v, 0.95), 6) AS hi, count(v) AS n_valid FROM (SELECT series, rep, avg((p - y) * (p - y)) AS v FROM sample GROUP BY 1, 2) JOIN whole USING (series) GROUP BY 1",
+    "auc_diff": with_(SIGNALS, BOOT, "m AS (" + unrounded_auc("sample", "series, rep") + ")", "b AS (" + unrounded_auc("sample", "series, rep", "y", "p_base") + ")", "wm AS (" + unrounded_auc("base", "series") + ")", "wb AS (" + unrounded_auc("base", "series", "y", "p_base") + ")")
+    + "SELECT m.series, round(any_value(wm.auc - wb.auc), 6) AS auc_diff, round(avg((m.auc - b.auc <= 0)::INT), 6) AS p_raw, count(*) AS n_valid FROM m JOIN b ON m.series = b.series AND m.rep = b.rep JOIN wm ON wm.series = m.series JOIN wb ON wb.series = m.series WHERE m.auc IS NOT NULL AND b.auc IS NOT NULL GROUP BY 1",
 }

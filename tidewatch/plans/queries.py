@@ -17,7 +17,7 @@ from ..functions.bands import band, band_by_rank
 from ..functions.scalars import add_business_days_10, row_digest
 from ..functions.windows import Over
 from ..operators import align, baselines, book, bootstrap, folds, integrity, metrics, ml
-from ..operators.features import MARKET_FEATURES, SMALL_FEATURES, with_book_features, with_market_features
+from ..operators.features import BOOK_FEATURES, MARKET_FEATURES, SMALL_FEATURES, with_book_features, with_market_features
 from ..operators.labels import with_labels, with_returns
 from ..sources import panel as panels
 from ..sources.snapshots import content_hash, manifest_stats
@@ -87,8 +87,8 @@ def q_features(spark, d):
 
 
 def q_book_features(spark, d):
-    index = panel(spark, d).withColumnRenamed("QQQ_close", "BOOK_close")
-    return with_book_features(index).select("date", *[r6(f) for f in ("brv10", "brv21", "brv_ratio_10_63", "brv10_chg5", "bdd_from_peak63", "spy_rv10", "beta63")])
+    book_, market = _book(spark, d)
+    return with_book_features(book_.join(market, "date")).select("date", *[r6(f) for f in BOOK_FEATURES])
 
 
 def q_rolling_beta(spark, d):
@@ -102,8 +102,9 @@ def q_panel_build(spark, d):
 
 def q_wide_panel(spark, d):
     """J1 from the long form: the anchor's dates, filled over three rows."""
-    wide = align.wide_panel(order_bars(spark, d), "1-URGENT", ["1-URGENT", "2-HIGH", "5-LOW"], ("close",))
-    return wide.select("date", r6("`1-URGENT_close`", "urgent"), r6("`2-HIGH_close`", "high"), r6("`5-LOW_close`", "low"))
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+    wide = align.wide_panel(order_bars(spark, d), "1-URGENT", list(names), ("close",))
+    return wide.select("date", *[r6(f"`{k}_close`", v) for k, v in names.items()])
 
 
 def q_panel_split(spark, d):
@@ -225,7 +226,8 @@ def q_calibration(spark, d):
 
 
 def q_evaluate(spark, d):
-    return metrics.evaluate_strategy(signal_rows(spark, d), ["series"]).select("series", "n", "n_onsets", "n_missed", "base_rate", "hedge_on_frac")
+    """The record but its drawn intervals, which SQL cannot draw."""
+    return metrics.evaluate_strategy(signal_rows(spark, d), ["series"]).withColumn("lead_mean", F.round("lead_mean", 6)).drop("auc_ci90", "brier_ci90")
 
 
 def q_staleness(spark, d):
@@ -234,8 +236,11 @@ def q_staleness(spark, d):
 
 
 def q_prefix_invariance(spark, d):
+    """Of the rows that are checked, how many of the features' rows change: none."""
     df = align.positioned(panel(spark, d))
-    return integrity.prefix_variances(df, with_market_features, list(MARKET_FEATURES)).select("i")
+    changed = integrity.prefix_variances(df, with_market_features, list(MARKET_FEATURES)).groupBy("i").agg(F.count(F.lit(1)).alias("changed"))
+    checked = spark.createDataFrame([(at,) for at in integrity.prefix_places(df)], "i long")
+    return df.select("i", "date").join(F.broadcast(checked), "i").join(changed, "i", "left").select("i", "date", F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))
 
 
 def q_series_audit(spark, d):
@@ -299,33 +304,9 @@ def q_last_values(spark, d):
     return bars(spark, d).withColumn("gap", F.when(F.dayofweek("date") != 6, F.col("close"))).groupBy("series").agg(r6(align.last_value("gap"), "last_close"))
 
 
-def first_series(spark, d):
-    rows = signal_rows(spark, d).where("series = 'A'").select("i", "y", "p", F.col("s").alias("p_base"))
-    return rows.cache(), 40
-
-
-def q_bootstrap_sample(spark, d):
-    rows, reps = first_series(spark, d)
-    n = rows.count()
-    sample = bootstrap.resampled(rows, bootstrap.stepped_starts(spark, n, reps), n)
-    return bootstrap.metric_auc(sample, ["rep"]).select("rep", r6("value", "auc"))
-
-
-def q_bootstrap_ci(spark, d):
-    rows, reps = first_series(spark, d)
-    out = bootstrap.block_bootstrap_ci(rows, bootstrap.metric_brier, bootstrap.stepped_starts(spark, rows.count(), reps))
-    return out.select(r6("lo"), r6("hi"), "n_valid")
-
-
-def q_auc_diff(spark, d):
-    rows, reps = first_series(spark, d)
-    out = bootstrap.auc_difference(rows, starts=bootstrap.stepped_starts(spark, rows.count(), reps))
-    return out.select(r6("auc_diff"), r6("p_raw"), "n_valid")
-
-
 def of_each_series(spark, d, run):
     """``run(rows, starts, n)`` over the rows of each series, with N_BOOT replicates."""
-    rows = signal_rows(spark, d).select("series", "i", "y", "p", F.col("s").alias("p_base")).cache()
+    rows = signal_rows(spark, d).select("series", "i", "y", "p", F.col("s").alias("p_base"))
     out = None
     for series, n in sorted(tuple(r) for r in rows.groupBy("series").count().collect()):
         own = rows.where(F.col("series") == series).drop("series")
@@ -334,17 +315,17 @@ def of_each_series(spark, d, run):
     return out
 
 
-def q_bootstrap_sample_whole(spark, d):
+def q_bootstrap_sample(spark, d):
     run = lambda rows, starts, n: bootstrap.metric_auc(bootstrap.resampled(rows, starts, n), ["rep"])
     return of_each_series(spark, d, run).select("series", "rep", r6("value", "auc"))
 
 
-def q_bootstrap_ci_whole(spark, d):
+def q_bootstrap_ci(spark, d):
     run = lambda rows, starts, n: bootstrap.block_bootstrap_ci(rows, bootstrap.metric_brier, starts)
-    return of_each_series(spark, d, run).select("series", r6("lo"), r6("hi"), "n_valid")
+    return of_each_series(spark, d, run).select("series", r6("point"), r6("lo"), r6("hi"), "n_valid")
 
 
-def q_auc_diff_whole(spark, d):
+def q_auc_diff(spark, d):
     run = lambda rows, starts, n: bootstrap.auc_difference(rows, starts=starts)
     return of_each_series(spark, d, run).select("series", r6("auc_diff"), r6("p_raw"), "n_valid")
 
@@ -417,7 +398,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_resolve_date": q_resolve_date, "manifest_stats": q_manifest_stats, "row_digest": q_row_digest, "content_hash": q_content_hash, "snapshot_union": q_snapshot_union, "bonferroni": q_bonferroni,
     "event_series": q_event_series, "tail_rows": q_tail, "last_values": q_last_values,
     "bootstrap_sample": q_bootstrap_sample, "bootstrap_ci": q_bootstrap_ci, "auc_diff": q_auc_diff,
-    "bootstrap_sample_whole": q_bootstrap_sample_whole, "bootstrap_ci_whole": q_bootstrap_ci_whole, "auc_diff_whole": q_auc_diff_whole,
     "logistic_walk_forward": q_logistic, "gbm_walk_forward": q_gbm, "walk_forward_suite": q_walk_forward_suite, "holdout_suite": q_holdout_suite, "adaptive_suite": q_adaptive_suite,
     "book_suite": q_book_suite, "live_market_row": q_live_market, "live_book_row": q_live_book,
 }

@@ -58,8 +58,8 @@ def baseline_rows(dataset: DataFrame, price: str = "SPY_close", warmup: str = "e
 def model_rows(dataset: DataFrame, features: list[str], kind: str, threshold: float | None = 0.5, name: str | None = None) -> DataFrame:
     """Out-of-sample rows of one model.  ``threshold`` None: the adaptive signal."""
     spark = dataset.sparkSession
-    ranges = folds.purged_folds(dataset.count())
-    probs = ml.walk_forward(folds.assign(dataset, folds.fold_table(spark, ranges), []), list(features), [], kind)
+    ranges = folds.purged_folds(spark, dataset.count())
+    probs = ml.walk_forward(folds.assign(dataset, ranges, []), list(features), [], kind)
     rows = dataset.select("i", "date", "y", "r").join(probs.select("i", F.col("prob").alias("p")), "i")
     if threshold is None:
         rows = baselines.with_adaptive_signal(rows, "p", Over("i", ()), "s").drop("s_threshold")
@@ -84,20 +84,34 @@ def with_model_tests(rows: DataFrame, models: list[str], rule: str, runs: int |
 COLUMNS = ["i", "date", "y", "r", "name", "s", "p"]
 
 
-def walk_forward_suite(panel: DataFrame) -> DataFrame:
+def _made(records: DataFrame, *cached: DataFrame) -> DataFrame:
+    """The records of a suite, one row for each strategy, worked out; what was
+    cached for them is released."""
+    rows, spark = records.collect(), records.sparkSession
+    for df in cached:
+        df.unpersist()
+    return spark.createDataFrame(rows, records.schema)
+
+
+def walk_forward_suite(panel: DataFrame, runs: int | None = None) -> DataFrame:
     """One metric record for each of three rules and two models."""
     data = market_dataset(panel).cache()
     rows = baseline_rows(data).select(COLUMNS)
     for kind in ("logistic", "gbm"):
         rows = rows.unionByName(model_rows(data, list(MARKET_FEATURES), kind).select(COLUMNS))
-    return with_model_tests(rows.cache(), ["logistic", "gbm"], "persistence")
+    rows = rows.cache()
+    return _made(with_model_tests(rows, ["logistic", "gbm"], "persistence", runs), rows, data)
 
 
-def adaptive_suite(panel: DataFrame) -> DataFrame:
-    """Small-feature models with the adaptive signal."""
+def adaptive_suite(panel: DataFrame, runs: int | None = None) -> DataFrame:
+    """Small-feature models with the adaptive signal, against persistence."""
     data = market_dataset(panel).cache()
-    a, b = (model_rows(data, list(SMALL_FEATURES), k, None, f"{k}_small4_adaptive").select(COLUMNS) for k in ("logistic", "gbm"))
-    return metrics.evaluate_strategy(a.unionByName(b).cache(), ["name"], seed=SEED)
+    names = [f"{k}_small4_adaptive" for k in ("logistic", "gbm")]
+    rows = baseline_rows(data, names=("persistence",)).select(COLUMNS)
+    for kind, name in zip(("logistic", "gbm"), names, strict=True):
+        rows = rows.unionByName(model_rows(data, list(SMALL_FEATURES), kind, None, name).select(COLUMNS))
+    rows = rows.cache()
+    return _made(with_model_tests(rows, names, "persistence", runs), rows, data)
 
 
 def holdout_rows(panel: DataFrame, kind: str = "gbm", tail: int = 251) -> DataFrame:
@@ -122,16 +136,19 @@ def holdout_rows(panel: DataFrame, kind: str = "gbm", tail: int = 251) -> DataFr
     return out
 
 
-def holdout_suite(panel: DataFrame, kind: str = "gbm") -> DataFrame:
-    return with_model_tests(holdout_rows(panel, kind).cache(), [f"{kind}_small4_frozen"], "persistence")
+def holdout_suite(panel: DataFrame, kind: str = "gbm", runs: int | None = None) -> DataFrame:
+    """The frozen model and three rules on the rows after the boundary."""
+    rows = holdout_rows(panel, kind).cache()
+    return _made(with_model_tests(rows, [f"{kind}_small4_frozen"], "persistence", runs), rows)
 
 
-def book_suite(book: DataFrame, market: DataFrame) -> DataFrame:
+def book_suite(book: DataFrame, market: DataFrame, runs: int | None = None) -> DataFrame:
     """Persistence and the adaptive logistic model on a portfolio."""
     data = book_dataset(book, market).cache()
     rule = baseline_rows(data, "BOOK_close", names=("persistence",)).withColumn("name", F.lit("book_persistence")).select(COLUMNS)
     model = model_rows(data, list(BOOK_FEATURES), "logistic", None, "book_logistic_adaptive").select(COLUMNS)
-    return with_model_tests(rule.unionByName(model).cache(), ["book_logistic_adaptive"], "book_persistence")
+    rows = rule.unionByName(model).cache()
+    return _made(with_model_tests(rows, ["book_logistic_adaptive"], "book_persistence", runs), rows, data)
 
 
 def model_against_rule(model: DataFrame, rule: DataFrame, runs: int, n_boot: int = bootstrap.N_BOOT, seed: int = SEED) -> DataFrame:

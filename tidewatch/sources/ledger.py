@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import math
-import subprocess
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,36 +11,23 @@ from pyspark.sql import functions as F
 from ..functions.scalars import config_hash
 from .snapshots import exists
 
-REQUIRED = ("timestamp", "git_sha", "config_hash", "data_snapshot_hash", "seed", "config", "metrics")
+REQUIRED = ("timestamp", "git_sha", "config_hash", "data_snapshot_hash", "seed", "notes", "config", "metrics")
 TEXT_SCHEMA = "timestamp string, git_sha string, config_hash string, data_snapshot_hash string, seed bigint, notes string, config string, metrics string"
 
 
-def git_sha() -> str:
-    try:
-        return subprocess.run(["git", "rev-parse", "HEAD"], capture_output=True, text=True, timeout=10).stdout.strip() or "unknown"
-    except (OSError, subprocess.TimeoutExpired):
-        return "unknown"
-
-
-def _plain(value):
-    if isinstance(value, float) and not math.isfinite(value):
-        return None
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    return [_plain(v) for v in value] if isinstance(value, (list, tuple)) else value
-
-
 def append_row(spark: SparkSession, path: str, row: dict) -> None:
-    """One JSON line, as a new part file of the directory ``path``."""
-    line = json.dumps(_plain(row), sort_keys=True, default=str)
+    """One JSON line, as a new part file of the directory ``path``.  Numbers that
+    are not finite stand as NaN and Infinity."""
+    line = json.dumps(row, sort_keys=True, default=str)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(path)
 
 
-def log_run(spark: SparkSession, path: str, config: dict, metrics: dict, *, seed: int, data_snapshot_hash: str, notes: str = "", sha: str | None = None) -> dict:
+def log_run(spark: SparkSession, path: str, config: dict, metrics: dict, *, seed: int, data_snapshot_hash: str, notes: str = "", sha: str = "unknown") -> dict:
+    """Append a run; ``sha`` is the revision of the code that made it."""
     if not data_snapshot_hash:
         raise ValueError("a run needs the hash of its data")
     row = {
-        "timestamp": datetime.now(UTC).isoformat(), "git_sha": sha or git_sha(), "config_hash": config_hash(config), "data_snapshot_hash": data_snapshot_hash, "seed": seed, "notes": notes,
+        "timestamp": datetime.now(UTC).isoformat(), "git_sha": sha, "config_hash": config_hash(config), "data_snapshot_hash": data_snapshot_hash, "seed": seed, "notes": notes,
         "config": config, "metrics": metrics,
     }
     append_row(spark, path, row)
@@ -64,6 +49,28 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(checked.alias("timestamp"), *[F.col(f"r.{c}").alias(c) for c in fields[1:]])
 
 
+def log_records(spark: SparkSession, path: str, records: DataFrame, config: dict, *, seed: int, data_snapshot_hash: str, sha: str = "unknown") -> int:
+    """Log each metric record of a suite (one row for each strategy) as a run."""
+    rows = [r.asDict(recursive=True) for r in records.orderBy("name").collect()]  # a few strategies
+    for r in rows:
+        log_run(spark, path, {**config, "strategy": r["name"]}, r, seed=seed, data_snapshot_hash=data_snapshot_hash, notes=r["name"], sha=sha)
+    return len(rows)
+
+
+def append_live(spark: SparkSession, predictions: str, runs: str, row: DataFrame, config: dict, *, seed: int, data_snapshot_hash: str, sha: str = "unknown") -> dict:
+    """Append a live row to the ledger of predictions, and log it as a run.  A row
+    that stands there already (same asof and configuration) is refused."""
+    live = {k: str(v) if hasattr(v, "isoformat") else v for k, v in row.head().asDict(recursive=True).items()}
+    live["config"] = config_hash(config)
+    if exists(spark, predictions):
+        before = read_merged(spark, predictions)
+        if before.where((F.col("asof") == live["asof"]) & (F.col("config") == live["config"])).limit(1).count():
+            raise ValueError(f"{live['asof']} is predicted already")
+    append_row(spark, predictions, live)
+    log_run(spark, runs, config, live, seed=seed, data_snapshot_hash=data_snapshot_hash, notes="live", sha=sha)
+    return live
+
+
 def run_count(spark: SparkSession, path: str) -> int:
     """The number of runs so far, for multiple-testing adjustment."""
     return read_runs(spark, path).count()

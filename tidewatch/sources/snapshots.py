@@ -63,7 +63,7 @@ def write_csv_snapshot(df: DataFrame, path: str, date: str = "date") -> None:
     spark = df.sparkSession
     if exists(spark, path):
         raise SnapshotError(f"{path} is frozen")
-    text = df.select(*[F.format_string("%.6f", F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields])
+    text = df.select(*[F.when(F.col(f.name).isNotNull(), F.format_string("%.6f", F.col(f.name))).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in df.schema.fields])
     text.coalesce(1).sortWithinPartitions(date).write.mode("errorifexists").option("header", True).csv(path)
 
 
@@ -78,7 +78,7 @@ def freeze(df: DataFrame, base: str, name: str, manifest: dict | None = None, da
     held = spark.read.parquet(path)
     stats = manifest_stats(held, date).head()
     out = {**(manifest or {}), "rows": stats["rows"], "start": str(stats["start"]), "end": str(stats["end"]), "sha256": content_hash(held).head()[0], "columns": held.columns}
-    write_text(spark, listing, json.dumps(out, sort_keys=True, indent=2, default=str))
+    write_text(spark, listing, json.dumps(out, indent=2, default=str))  # in the order given
     return out
 
 
@@ -102,6 +102,31 @@ def load(spark: SparkSession, base: str, name: str, verify: bool = True) -> Data
     return df
 
 
+def load_csv(spark: SparkSession, path: str, schema: str, sha256: str) -> DataFrame:
+    """A CSV snapshot, read only if its one file has the hash that is expected."""
+    from .panel import read_csv_panel
+
+    if file_hash(spark, path) != sha256:
+        raise SnapshotError(f"{path} is not what its manifest says")
+    return read_csv_panel(spark, path, schema)
+
+
+def freeze_book(bars: DataFrame, positions: DataFrame, base: str, name: str = "book", jump_cut: float = 0.7, manifest: dict | None = None) -> dict:
+    """Build a portfolio index and freeze it: its manifest holds the target
+    weights, largest first, the date each series was cut at, and the positions
+    without bars."""
+    from ..operators import align, book
+
+    weight = book.weights(positions)
+    cuts = align.clean_suffix(bars, jump_cut).groupBy("series").agg(F.max("cut_date").alias("cut")).where("cut IS NOT NULL")
+    excluded = positions.select("series").join(bars.select("series").distinct(), "series", "left_anti")
+    listing = {
+        **(manifest or {}), "target_weights": dict(book.target_weights(weight)), "cut_dates": {r.series: str(r.cut) for r in cuts.orderBy("series").collect()},
+        "excluded": [r.series for r in excluded.orderBy("series").collect()],
+    }
+    return freeze(book.book_index(bars, weight, jump_cut), base, name, listing)
+
+
 def freeze_split(panel: DataFrame, base: str, months: int = 18) -> dict:
     """``dev`` and ``holdout`` snapshots either side of the boundary date."""
     from ..operators.align import split_by_date
