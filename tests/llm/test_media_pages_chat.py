@@ -95,17 +95,24 @@ def test_composition_by_hand():
 
 def test_damaged_files_do_not_crash(spark):
     data = gif.encode(gif.padded("some text " * 500)[1])
-    for k in range(13, len(data), 97):
-        gif.decode(data[:k])
-        bad = bytearray(data)
-        bad[k] ^= 0x55
-        try:
-            gif.decode(bytes(bad))
-        except (ValueError, IndexError, struct.error):
-            pass
+    small = gif.encode(gif.padded("some text " * 50)[1])
+    for file, places in ((data, range(13, len(data), 97)), (small, range(13, len(small)))):
+        for k in places:
+            gif.decode(file[:k])
+            bad = bytearray(file)
+            bad[k] ^= 0x55
+            try:
+                gif.decode(bytes(bad))
+            except ValueError:
+                pass
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0)
+    with pytest.raises(ValueError, match="too large"):
+        gif.decode(huge)
+    with pytest.raises(ValueError, match="too large"):
+        gif.decode(b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x08\0\0")
     with pytest.raises(ValueError, match="GIF"):
         gif.decode(b"PNG")
-    media = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"no"))], "doc_id long, media binary")
+    media = spark.createDataFrame([(1, bytearray(data)), (2, None), (3, bytearray(b"no")), (4, bytearray(huge)), (5, bytearray(data[:14]))], "doc_id long, media binary")
     got = gif.decode_frames(media).collect()
     assert {r.media_id for r in got} == {1} and sum(len(r.rgb) for r in got) > 0 and all(sum(r.histogram) == r.width * r.height for r in got)
 

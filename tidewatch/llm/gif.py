@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -212,8 +213,18 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def decode(data: bytes) -> list[Frame]:
+MOST_PIXELS = 1 << 25  # of a canvas or a frame's rectangle, unless a reader asks for more
+
+
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> list[Frame]:
     """The frames of a GIF, composed; ValueError if it is none."""
+    return list(frames_of(data, most_pixels))
+
+
+def frames_of(data: bytes, most_pixels: int = MOST_PIXELS) -> Iterator[Frame]:
+    """The frames one by one.  A file that is cut gives those before the cut, the
+    last as far as its samples go.  ValueError if it is no GIF, or if its canvas
+    or a frame has more than ``most_pixels`` pixels."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF file")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -221,15 +232,18 @@ def decode(data: bytes) -> list[Frame]:
     if flags & 0x80:
         n = 2 << (flags & 7)
         shared, at = _palette(data, at, n), at + 3 * n
+    if width * height > most_pixels:
+        raise ValueError(f"a canvas of {width} x {height} is too large")
     canvas = np.zeros((height, width, 3), np.uint8)
     if shared is not None and background < len(shared):
         canvas[:] = shared[background]
     empty = canvas[:1, :1].copy() if canvas.size else canvas
-    frames: list[Frame] = []
     delay, disposal, transparent, clock = 0, 0, None, 0
     while at < len(data) and data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
+            if at + 2 > len(data):
+                break
             body, after = _blocks(data, at + 2)
             if data[at + 1] == 0xF9 and len(body) >= 4:
                 packed, delay, index = struct.unpack_from("<BHB", body)
@@ -244,6 +258,10 @@ def decode(data: bytes) -> list[Frame]:
         if packed & 0x80:
             n = 2 << (packed & 7)
             palette, at = _palette(data, at, n), at + 3 * n
+        if at >= len(data):
+            break
+        if w * h > most_pixels:
+            raise ValueError(f"a frame of {w} x {h} is too large")
         size = data[at]
         stream, at = _blocks(data, at + 1)
         samples = np.zeros(w * h, np.uint8)
@@ -266,14 +284,13 @@ def decode(data: bytes) -> list[Frame]:
         else:
             shown = part != transparent
             area[shown] = colours[shown]
-        frames.append(Frame(canvas.copy(), clock, delay * 10, samples, palette))
+        yield Frame(canvas.copy(), clock, delay * 10, samples, palette)
         clock += delay * 10
         if disposal == 2 and canvas.size:
             area[:] = empty
         elif held is not None:
             canvas = held
         delay, disposal, transparent = 0, 0, None
-    return frames
 
 
 def _palette(data: bytes, at: int, n: int) -> np.ndarray:
@@ -321,23 +338,26 @@ def encode_documents(docs: DataFrame) -> DataFrame:
 FRAME_SCHEMA = "media_id long, frame int, start_ms long, duration_ms long, width int, height int, rgb binary, histogram array<long>"
 
 
-def decode_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+def decode_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """One row per shown frame: times, canvas (RGB bytes), colour histogram.
 
-    Null media, and bytes that are no GIF, give no frame; repeated rows give
-    their frames each.
+    Null media, and bytes that are no GIF, give no frame; a file that is cut or
+    asks for more than ``most_pixels`` gives the frames before that; repeated rows
+    give their frames each.  A task holds one frame at a time.
     """
 
     def make():
         def work(rows):
             for key, data in rows:
-                try:
-                    frames = decode(data or b"")
-                except ValueError:
-                    continue
-                for k, f in enumerate(frames):
+                frames, k = frames_of(data or b"", most_pixels), 0
+                while True:
+                    try:
+                        f = next(frames)
+                    except (StopIteration, ValueError):
+                        break
                     h, w = f.rgb.shape[:2]
                     yield key, k, f.start_ms, f.duration_ms, w, h, f.rgb.tobytes(), colour_histogram(f.rgb).tolist()
+                    k += 1
 
         return work
 
