@@ -31,6 +31,11 @@ class Template:
     )
 
 
+    def __post_init__(self):
+        if not (self.begin.startswith("<|") and self.end.startswith("<|")) or self.begin in self.end:
+            raise ValueError("marks begin with '<|', which is escaped inside texts, and the end mark does not hold the begin mark")
+
+
 CHATML = Template()
 
 
