@@ -141,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **params) ->
     At most ``max_rows`` labelled documents are used, those with the smallest
     hash of their id; their statistics (not their texts) come to the driver.
     Labels that are null are left out; a document with several labels counts
-    with the smallest, one with several rows counts by each.
+    with the smallest, one with several rows by the row of the smallest
+    statistics, so that no more than ``max_rows`` rows ever come.
     """
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -153,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **params) ->
     def make():
         return lambda it: ((doc, quality, statistics(text)) for doc, quality, text in it)
 
-    got = arrow_rows(rows, ["doc_id", "quality", "text"], "doc_id long, quality int, x array<double>", make).toPandas()
+    got = arrow_rows(rows, ["doc_id", "quality", "text"], "doc_id long, quality int, x array<double>", make).groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
     got = got.sort_values("doc_id", kind="stable")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return train(x, got["quality"].to_numpy(float), **params)
@@ -183,34 +184,29 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document."""
+    """``doc_id, held_out, score, predicted`` of every document.
+
+    Null text scores as the empty text; a null doc_id is kept, with held_out null;
+    repeated rows are rows each; columns besides doc_id and text are ignored; an
+    empty table gives no row.  Without labels every score is the same.
+    """
     done = score(docs, fit(docs, labels, max_rows))
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
-    """The documents that score at least ``threshold``, with all their columns."""
-    forest = fit(docs, labels, max_rows)
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    place = names.index("text")
-
-    def make():
-        def work(rows):
-            held = []
+    """The documents that score at least ``threshold``, with all their columns of
+    whatever name and type; only the text goes to Python.
 
-            def passed():
-                scores = forest.score(np.array([statistics(r[place] or "") for r in held]))
-                return [r for r, s in zip(held, scores.tolist(), strict=True) if s >= threshold]
+    Nulls, repeated rows and empty tables as in :func:`classify`.
+    """
+    import pandas as pd
 
-            for row in rows:
-                held.append(row)
-                if len(held) == 512:
-                    yield from passed()
-                    held = []
-            if held:
-                yield from passed()
+    forest = fit(docs, labels, max_rows)
 
-        return work
+    def of(texts: pd.Series) -> pd.Series:
+        stats = np.array([statistics(t or "") for t in texts], float).reshape(len(texts), len(FEATURES))
+        return pd.Series(np.concatenate([forest.score(stats[k : k + 512]) for k in range(0, len(stats), 512)] or [np.zeros(0)]))
 
-    return arrow_rows(docs, names, schema, make, 512)
+    of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return docs.where(F.pandas_udf(of, "double")(F.col("text")) >= threshold)
