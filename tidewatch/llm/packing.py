@@ -5,9 +5,13 @@ of each document is packed best-fit decreasing: the longest piece first, each
 into the open sequence with the least room that still holds it, found by a
 segment tree indexed by remaining capacity.
 
-Documents are dealt by a hash of their id into groups of about
-``docs_per_group``; each group is packed by itself, so no task sees more than a
-group and the padding is that of one open sequence for each group.
+Pieces are dealt by a hash of what they are and of the input partition they come
+from into groups of about ``docs_per_group`` documents' pieces, so rows of one id,
+or repeated rows, do not all meet.  Each group is packed by itself: no task sees
+more than a group, and the padding is that of one open sequence for each group.
+
+A sequence is padded to the window, unless its length is a power of two, which
+needs no padding.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ from .tokenize import encoded
 
 NO_ID = -(1 << 63)  # stands for a null doc_id while pandas holds the rows
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
+PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long, padded_length long"
+
+PACKED_COLUMNS = [c.split(" ")[0] for c in PACKED_SCHEMA.split(", ")]
 
 
 class CapacityTree:
@@ -96,10 +102,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> Da
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048, docs_per_group: int = 1000) -> DataFrame:
     """One row per piece, with its sequence and offset there.
 
-    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.  Null
-    text counts as empty (one id, the end); repeated rows are packed each; a null
-    doc_id is kept.  ``sequence_id`` is group * 2**32 + number, the same in every
-    run.  Columns besides doc_id and text are ignored.
+    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
+    padded_length`` (of the sequence).  Null text counts as empty (one id, the
+    end); repeated rows are packed each; a null doc_id is kept; a very long text
+    is cut into windows; an empty table gives no row.  ``sequence_id`` is group *
+    2**32 + number, the same in every run over equally partitioned input.  Columns
+    besides doc_id and text are ignored.
     """
     groups = max(1, docs.select("doc_id").count() // docs_per_group)
 
@@ -108,7 +116,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
         placed = best_fit_decreasing(pdf["length"].tolist(), window)
         first = int(pdf["pack_group"].iloc[0]) << 32
         pdf = pdf.assign(sequence_id=[first + s for s, _ in placed], offset=[o for _, o in placed])
-        return pdf.drop(columns="pack_group")
+        used = pdf.groupby("sequence_id")["length"].transform("sum")
+        return pdf.assign(padded_length=used.where((used & (used - 1)) == 0, window)).drop(columns=["pack_group"])[PACKED_COLUMNS]
 
-    dealt = pieces(docs, tokenizer_path, end_id, window).withColumn("pack_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    dealt = pieces(docs, tokenizer_path, end_id, window).withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
     return dealt.groupBy("pack_group").applyInPandas(pack, PACKED_SCHEMA).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
