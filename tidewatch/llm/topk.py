@@ -30,7 +30,7 @@ from .common import _arrow_schema
 BLOCK = 4096
 QUERIES = 1024
 SLOT_BLOCKS = 16  # candidate blocks of one slot, about
-DEPTHS = (0.25, 0.5, 0.75, 0.9)  # shares of each list read before each test
+DEPTHS = (0.7, 0.9)  # shares of each list read before each test
 _FEW = 4  # times k: so many open candidates end the reading
 
 def quantised(vectors: DataFrame, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
