@@ -441,7 +441,7 @@ def extract_main_text(pages: DataFrame, array_tokens: int = ARRAY_TOKENS) -> Dat
 def _with_notices(rows: DataFrame, notices: DataFrame) -> DataFrame:
     """``rows`` with their host's notices: broadcast up to a checked number of
     hosts, else joined by host, whose pages are dealt over parts."""
-    if notices.limit(BROADCAST_NOTICES + 1).count() <= BROADCAST_NOTICES:
+    if notices.count() <= BROADCAST_NOTICES:
         return rows.join(F.broadcast(notices), "host_number", "left")
     salted = notices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["host_number", "salt"], "left")

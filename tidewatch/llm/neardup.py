@@ -118,7 +118,7 @@ def _among(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     """``rows`` whose ``key`` stands (``left_anti``: does not stand) in ``ids``, a
     saved table of distinct numbers.  Up to ``BROADCAST_IDS`` numbers go to the
     rows; beyond, rows and numbers meet by a shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = ids.count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, key, how)
 
 
@@ -322,7 +322,7 @@ def _texts_of(docs: DataFrame, signed: DataFrame, chosen: DataFrame, scratch: Sc
     is the class's own (of repeated ids another row may have another set)."""
     wanted = scratch.save(chosen.select("cls", F.col("doc").alias("doc_id"), "h1", "h2", "n"), "wanted")
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").isNotNull())
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = wanted.count() <= BROADCAST_IDS
     met = plain.join(F.broadcast(wanted) if few else wanted, "doc_id")
 
     def make():
