@@ -81,6 +81,27 @@ def test_bootstrap_matches_numpy(spark):
     assert custom.lo == pytest.approx(got.lo) and got.point == pytest.approx(np.mean((p - y) ** 2))
 
 
+@pytest.mark.parametrize("fast", [100_000, 0])
+def test_short_and_long_series_give_the_same_replicates(spark, monkeypatch, fast):
+    monkeypatch.setattr(bootstrap, "FAST_ROWS", fast)
+    rng = np.random.default_rng(9)
+    y, p, base = rng.integers(0, 2, 70).astype(float), np.round(rng.random(70), 1), rng.random(70)
+    rows = rows_of(spark, y, [None if k == 5 else v for k, v in enumerate(p)]).withColumn("p_base", F.element_at(F.array(*[F.lit(float(b)) for b in base]), (F.col("i") + 1).cast("int")))
+    gen, aucs, briers, worse = np.random.default_rng(7), [], [], []
+    for _ in range(60):
+        idx = np.concatenate([np.arange(s, s + 20) % 70 for s in gen.integers(0, 70, size=4)])[:70]
+        known = idx[idx != 5]
+        aucs.append(brute_auc(y[known], p[known]))
+        briers.append(np.mean((p[known] - y[known]) ** 2))
+        worse.append(brute_auc(y[known], p[known]) - brute_auc(y[idx], base[idx]) <= 0)
+    for metric, values in ((bootstrap.metric_auc, aucs), (bootstrap.metric_brier, briers)):
+        got = bootstrap.block_bootstrap_ci(rows, metric, n_boot=60, seed=7).head()
+        assert (got.lo, got.hi, got.n_valid) == pytest.approx((*np.quantile(values, [0.05, 0.95]), 60))
+    assert bootstrap.auc_difference(rows, n_boot=60, seed=7).head().p_raw == pytest.approx(np.mean(worse))
+    whole = bootstrap.intervals_by_key(rows, [], n_boot=60, seed=7).head()
+    assert (whole.auc_lo, whole.brier_hi) == pytest.approx((np.quantile(aucs, 0.05), np.quantile(briers, 0.95)))
+
+
 def test_hashed_starts_need_no_driver(spark, monkeypatch):
     got = bootstrap.hashed_starts(spark, 95, 400, seed=3).toPandas()
     assert len(got) == 400 * 5 and got.start.between(0, 94).all() and got.start.nunique() == 95

@@ -1,9 +1,11 @@
 """Circular block bootstrap of metrics, and multiple-testing adjustment.
 
-A replicate is a list of block starts; the start table is small (replicates x
-blocks) and made on the driver by numpy's generator, one call a replicate, so that
-published intervals can be met to the last digit.  Rows meet their replicates by
-a join on position, and metrics run over all replicates at once.
+A replicate is a list of block starts, drawn by numpy's generator, one call a
+replicate, so that published intervals can be met to the last digit.  A series of
+up to ``FAST_ROWS`` rows goes to its replicates as arrays: a replicate is then how
+often it takes each row, and AUC and Brier score are sums over rows in order of
+score.  Longer series, and other metrics, meet their replicates by a join on
+position, and metrics run over all replicates at once; the values are the same.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .metrics import auc, brier_of
 
 BLOCK_LEN, N_BOOT, ALPHA = 20, 2000, 0.10
 BROADCAST_ROWS = 1_000_000
+FAST_ROWS = 100_000
 DRAWN_ROWS = 5_000_000  # block starts made on the driver at most
 
 
@@ -58,6 +62,50 @@ def resampled(rows: DataFrame, starts: DataFrame, n: int, block_len: int = BLOCK
     return index.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, position)
 
 
+def replicate_values(y: np.ndarray, p: np.ndarray, starts: np.ndarray, block_len: int = BLOCK_LEN) -> tuple[np.ndarray, np.ndarray]:
+    """(AUC, Brier score) of each replicate; NaN where there is none.  ``starts``:
+    replicates x blocks; rows whose y or p is NaN do not count."""
+    n, known = len(y), ~(np.isnan(y) | np.isnan(p))
+    order = np.flatnonzero(known)[np.argsort(p[known], kind="stable")]
+    ranked, label = p[order], y[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(order) else np.zeros(0, np.int64)
+    error = (ranked - label) ** 2
+    aucs, briers = np.full(len(starts), np.nan), np.full(len(starts), np.nan)
+    at_once = max(1, 2_000_000 // max(1, n))
+    for k in range(0, len(starts) if len(order) else 0, at_once):
+        part = starts[k : k + at_once]
+        rows = ((part[:, :, None] + np.arange(block_len)).reshape(len(part), -1)[:, :n]) % n
+        times = np.bincount((rows + n * np.arange(len(part))[:, None]).ravel(), minlength=n * len(part)).reshape(len(part), n)[:, order].astype(float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            briers[k : k + at_once] = times @ error / times.sum(axis=1)
+            above, below = (np.add.reduceat(times * w, first, axis=1) for w in (label, 1 - label))
+            under = np.cumsum(below, axis=1) - below / 2
+            aucs[k : k + at_once] = (above * under).sum(axis=1) / (above.sum(axis=1) * below.sum(axis=1))
+    return aucs, briers
+
+
+def _values_of(rows: DataFrame, starts: DataFrame, scores: list[str], block_len: int) -> DataFrame:
+    """``rep`` and ``<score>_auc``, ``<score>_brier`` of the replicates of a short
+    series; NULL where there is none."""
+    import pandas as pd
+
+    held = rows.select("i", "y", *scores).toPandas().sort_values("i")  # FAST_ROWS at most
+    y, p = held["y"].to_numpy(float), {s: held[s].to_numpy(float) for s in scores}
+
+    def run(parts):
+        for part in parts:
+            drawn = np.array(part["drawn"].tolist(), np.int64).reshape(len(part), -1)
+            out = {"rep": part["rep"]}
+            for s in scores:
+                out[f"{s}_auc"], out[f"{s}_brier"] = replicate_values(y, p[s], drawn, block_len)
+            yield pd.DataFrame(out)
+
+    ship(rows.sparkSession)
+    listed = starts.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("k", "start"))).alias("s")).select("rep", F.col("s.start").alias("drawn"))
+    made = listed.mapInPandas(run, "rep int, " + ", ".join(f"{s}_{m} double" for s in scores for m in ("auc", "brier")))
+    return made.select("rep", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in made.columns[1:]])
+
+
 def metric_auc(sample: DataFrame, keys: list[str]) -> DataFrame:
     return auc(sample, keys).withColumnRenamed("auc", "value")
 
@@ -96,7 +144,12 @@ def block_bootstrap_ci(rows: DataFrame, metric, starts: DataFrame | None = None,
     n = rows.count()
     starts = drawn_starts(rows.sparkSession, n, n_boot, block_len, seed) if starts is None else starts
     point = metric(rows.withColumn("rep", F.lit(-1)), ["rep"]).select(F.col("value").alias("point"))
-    return point.join(interval(metric(resampled(rows, starts, n, block_len), ["rep"]), alpha), how="cross")  # one row each
+    kind = {metric_auc: "p_auc", metric_brier: "p_brier"}.get(metric)
+    if kind and n <= FAST_ROWS:
+        values = _values_of(rows, starts, ["p"], block_len).select("rep", F.col(kind).alias("value"))
+    else:
+        values = metric(resampled(rows, starts, n, block_len), ["rep"])
+    return point.join(interval(values, alpha), how="cross")  # one row each
 
 
 def intervals_by_key(rows: DataFrame, keys: list[str], n_boot: int = N_BOOT, block_len: int = BLOCK_LEN, alpha: float = ALPHA, seed: int = 0, order: str = "i") -> DataFrame:
@@ -107,14 +160,15 @@ def intervals_by_key(rows: DataFrame, keys: list[str], n_boot: int = N_BOOT, blo
     """
     from pyspark.sql.window import Window
 
+    sizes = sorted(r[0] for r in rows.groupBy(*keys).count().select("count").distinct().collect())
+    if not sizes or sizes[-1] <= FAST_ROWS:
+        return _short_intervals(rows, keys, n_boot, block_len, alpha, seed, order)
     by = Window.partitionBy(*keys)
     placed = rows.withColumns({"i": (F.row_number().over(by.orderBy(order)) - 1).cast("long"), "n": F.count(F.lit(1)).over(by)}).select(*keys, "n", "i", "y", "p")
     starts = None
-    for n in sorted(r[0] for r in rows.groupBy(*keys).count().select("count").distinct().collect()):
+    for n in sizes:
         one = drawn_starts(rows.sparkSession, n, n_boot, block_len, seed).withColumn("n", F.lit(n).cast("long"))
         starts = one if starts is None else starts.unionByName(one)
-    if starts is None:
-        starts = rows.sparkSession.createDataFrame([], "rep int, k int, start long, n long")
     each = starts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block_len - 1)))).where(F.col("k") * block_len + F.col("j") < F.col("n"))
     sample = each.select("n", "rep", F.pmod(F.col("start") + F.col("j"), F.col("n")).alias("i")).join(placed, ["n", "i"])
     out = None
@@ -126,14 +180,44 @@ def intervals_by_key(rows: DataFrame, keys: list[str], n_boot: int = N_BOOT, blo
     return out
 
 
+def _short_intervals(rows: DataFrame, keys: list[str], n_boot: int, block_len: int, alpha: float, seed: int, order: str) -> DataFrame:
+    """:func:`intervals_by_key` where each key's rows are few: a task for each key
+    draws the same starts and keeps how often each replicate takes a row."""
+    import pandas as pd
+
+    names = ["auc_lo", "auc_hi", "brier_lo", "brier_hi"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("order_")
+        n, rng = len(pdf), np.random.default_rng(seed)
+        starts = np.stack([rng.integers(0, n, size=ceil(n / block_len)) for _ in range(n_boot)])
+        out = {k: [pdf[k].iloc[0]] for k in keys}
+        for name, values in zip(("auc", "brier"), replicate_values(pdf["y"].to_numpy(float), pdf["p"].to_numpy(float), starts, block_len), strict=True):
+            finite = values[np.isfinite(values)]
+            out[f"{name}_lo"], out[f"{name}_hi"] = ([float(np.quantile(finite, q)) if len(finite) else None] for q in (alpha / 2, 1 - alpha / 2))
+        return pd.DataFrame(out)
+
+    ship(rows.sparkSession)
+    kept = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kept}, " * bool(keys) + ", ".join(f"{c} double" for c in names)
+    return rows.select(*keys, F.col(order).alias("order_"), "y", "p").groupBy(*keys).applyInPandas(run, schema)
+
+
 def auc_difference(rows: DataFrame, model: str = "p", base: str = "p_base", starts: DataFrame | None = None, n_boot: int = N_BOOT, seed: int = 0) -> DataFrame:
     """``auc_diff, p_raw, n_valid``: both scores on the same replicates; p is the
     share of replicates in which the model is not better.  Replicates of one
     class are left out."""
     n = rows.count()
     starts = drawn_starts(rows.sparkSession, n, n_boot, BLOCK_LEN, seed) if starts is None else starts
+    if n <= FAST_ROWS:
+        per = _values_of(rows, starts, [model, base], BLOCK_LEN).select("rep", F.col(f"{model}_auc").alias("m"), F.col(f"{base}_auc").alias("b"))
+        return _difference(rows, per, model, base)
     sample = resampled(rows.select("i", "y", F.explode(F.array(F.struct(F.lit("m").alias("w"), F.col(model).alias("p")), F.struct(F.lit("b").alias("w"), F.col(base).alias("p")))).alias("e")).select("i", "y", "e.w", "e.p"), starts, n)
     per = auc(sample, ["rep", "w"]).groupBy("rep").agg(F.max(F.when(F.col("w") == "m", F.col("auc"))).alias("m"), F.max(F.when(F.col("w") == "b", F.col("auc"))).alias("b"))
+    return _difference(rows, per, model, base)
+
+
+def _difference(rows: DataFrame, per: DataFrame, model: str, base: str) -> DataFrame:
     p = per.where("m IS NOT NULL AND b IS NOT NULL").agg(F.avg((F.col("m") - F.col("b") <= 0).cast("double")).alias("p_raw"), F.count(F.lit(1)).alias("n_valid"))
     whole = auc(rows, [], "y", model).select(F.col("auc").alias("am")).join(auc(rows, [], "y", base).select(F.col("auc").alias("ab")), how="cross")  # one row each
     return whole.select((F.col("am") - F.col("ab")).alias("auc_diff")).join(p, how="cross")
