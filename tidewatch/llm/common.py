@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -68,6 +69,14 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 _memory: dict = {}
 
 
@@ -114,7 +123,7 @@ def arrow_rows(
                 held = []
         if held:
             yield _batch(held, arrow)
-        pa.default_memory_pool().release_unused()  # workers live on, and others need the memory
+        give_back()
 
     return df.select(*columns).mapInArrow(run, schema)
 

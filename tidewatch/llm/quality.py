@@ -14,10 +14,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, claim_memory, doc_text
+from .common import arrow_rows, claim_memory, doc_text, give_back
 
 FEATURES = (
     "log_bytes", "letters", "upper", "digits", "spaces", "newlines", "stops", "commas", "exclaims", "symbols", "pipes", "quotes_brackets", "not_ascii",
@@ -196,17 +197,21 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_row
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 20_000) -> DataFrame:
     """The documents that score at least ``threshold``, with all their columns of
-    whatever name and type; only the text goes to Python.
+    whatever name and type, which pass as Arrow columns.
 
     Nulls, repeated rows and empty tables as in :func:`classify`.
     """
-    import pandas as pd
-
     forest = fit(docs, labels, max_rows)
-
-    def of(texts: pd.Series) -> pd.Series:
-        stats = np.array([statistics(t or "") for t in texts], float).reshape(len(texts), len(FEATURES))
-        return pd.Series(np.concatenate([forest.score(stats[k : k + 512]) for k in range(0, len(stats), 512)] or [np.zeros(0)]))
-
-    of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return docs.where(F.pandas_udf(of, "double")(F.col("text")) >= threshold)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts, good = batch.column(place), []
+            for k in range(0, len(texts), 512):
+                part = [statistics(t or "") for t in texts.slice(k, 512).to_pylist()]
+                good += (forest.score(np.array(part)) >= threshold).tolist()
+            yield batch.filter(pa.array(good, pa.bool_()))
+        give_back()
+
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names of any kind pass
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
