@@ -399,3 +399,19 @@ def test_another_template(spark):
     df = spark.createDataFrame([(1, 0, "human", "a<|done|>"), (1, 1, "bot", "b"), (1, 2, "tool", "c")], "conv_id long, turn long, role string, text string")
     got = chat.format_conversations(df, t).select("*", chat.read_turns(F.col("formatted"), t).alias("back"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).head()
     assert got.valid and [tuple(x) for x in got.back] == [("human", "a<|done|>"), ("bot", "b"), ("tool", "c")] and got.loss == "bc"
+
+
+def test_chat_with_long_texts_and_refused_marks(spark):
+    long = "<|im_end|>\\ long text é " * 40_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (-1, 0, "user", "own")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.chat_digests(df).collect()}
+    assert got[1].loss_chars == len(long) and got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[-1].n_turns == 1
+    for marks in ({"begin": "[T]"}, {"end": "\n"}, {"end": "<|im_start|>"}):
+        with pytest.raises(ValueError, match="marks"):
+            chat.Template(**marks)
+
+
+def test_top_k_of_few_rows_with_repeated_ids(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 1.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.divisible_queries(df, 20, 20).collect())
+    assert got == [(20, 1, 3, 2048), (20, 2, 3, 2048)]

@@ -68,3 +68,21 @@ def test_stages_against_brute_force(spark):
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     whole = corpus_pipeline.run(spark, SMALL).toPandas()
     assert sorted(map(tuple, whole[key].values.tolist())) == sorted(map(tuple, packed[key].values.tolist()))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
+def test_stages_on_odd_tables(spark):
+    """Nulls, repeated rows, columns with clashing names, and an empty table."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(30)
+    text = docs.first().text
+    odd = docs.unionByName(docs.limit(3)).selectExpr("doc_id", "text", "lang", "source", "n_chars", "doc_id AS cls", "text AS kept", "array(doc_id) AS sketch", "n_chars AS score", "lang AS n", "source AS h1")
+    more = spark.createDataFrame([(None, text, None), (10**12, None, "x"), (10**12, "", "x"), (10**12 + 1, text + " extra", "x")], "doc_id long, text string, lang string")
+    odd = odd.unionByName(more, allowMissingColumns=True)
+    for rows in (odd, odd.limit(0)):
+        at = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, at, SMALL).cache()
+            assert after.columns == odd.columns and after.count() <= at.count(), name
+            at = after
+        packed = corpus_pipeline.STAGES[-1][1](spark, at, SMALL)
+        assert packed.select("doc_id").distinct().count() == at.select("doc_id").distinct().count()

@@ -338,3 +338,89 @@ def test_a_passage_in_every_document(spark, monkeypatch, ids):
     texts.append(" ".join(f"q{j}" for j in range(50_000)))
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(documents(spark, texts), 4).collect()}
     assert got == dict(enumerate(brute_components(texts, 4, 80)))
+
+
+def plain_boosting(x, y, trees, depth, rate, bins, l2, least):
+    """Margins of Newton boosting with every split tried one by one."""
+    share = (y.sum() + 1) / (len(y) + 2)
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    edges = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(x.shape[1])]
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = p - y, p * (1 - p)
+        nodes = [list(range(len(y)))]
+        for _ in range(depth):
+            parts = []
+            for rows in nodes:
+                best, cut = 1e-9, None
+                for f in range(x.shape[1]):
+                    for e in edges[f]:
+                        left, right = [k for k in rows if x[k, f] <= e], [k for k in rows if x[k, f] > e]
+                        if h[left].sum() >= least and h[right].sum() >= least:
+                            gain = g[left].sum() ** 2 / (h[left].sum() + l2) + g[right].sum() ** 2 / (h[right].sum() + l2) - g[rows].sum() ** 2 / (h[rows].sum() + l2)
+                            if gain > best + 1e-12:
+                                best, cut = gain, (left, right)
+                parts += cut or (rows, [])
+            nodes = parts
+        for rows in nodes:
+            if rows:
+                margin[rows] -= rate * g[rows].sum() / (h[rows].sum() + l2)
+    return margin
+
+
+def test_boosting_against_every_split_tried():
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(70, 3))
+    y = (x[:, 0] + x[:, 1] ** 2 + rng.normal(0, 0.5, 70) > 0.7).astype(float)
+    params = {"trees": 4, "depth": 3, "rate": 0.3, "bins": 9, "l2": 1.0, "least": 1.0}
+    np.testing.assert_allclose(quality.train(x, y, **params).margin(x), plain_boosting(x, y, **params), atol=1e-9)
+
+
+def plain_statistics(text):
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    share = lambda chars: sum(raw.count(bytes([c])) for c in chars) / max(1, len(raw))
+    of_words = lambda good: sum(map(bool, map(good, words))) / max(1, len(words))
+    letters = bytes(range(65, 91)) + bytes(range(97, 123))
+    triples = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    return [
+        np.log1p(len(raw)), share(letters), share(bytes(range(65, 91))), share(b"0123456789"), share(b" "), share(b"\n"), share(b"."), share(b","), share(b"!?"), share(b"#$%&*@^~_+=<>"), share(b"|"),
+        share(b"\"'()[]{}"), share(bytes(range(128, 256))), np.log1p(len(words)), sum(map(len, words)) / max(1, len(words)), len(set(words)) / max(1, len(words)),
+        max((words.count(w) for w in words), default=0) / max(1, len(words)), len(set(triples)) / max(1, len(words) - 2), np.log1p(len(lines)), len(set(lines)) / len(lines), max(map(len, lines)) / max(1, len(raw)),
+        sum(x.endswith((".", "!", "?")) for x in lines) / len(lines), of_words(lambda w: len(w) <= 2), of_words(lambda w: len(w) >= 12), of_words(lambda w: len(w) > 1 and w.isupper()),
+        of_words(lambda w: not w[-1].isalnum() and w[-1] not in ".,;:"),
+    ]
+
+
+def test_statistics_by_plain_counting():
+    for text in ["", " ", "One. Two!\nTHREE four, 5 | (six)\n\nOne. Two!", "é漢字 wörter " * 9, *odd_texts(50, 4)]:
+        np.testing.assert_allclose(quality.statistics(text), plain_statistics(text), atol=1e-12, err_msg=text)
+
+
+def test_kept_rows_keep_columns_of_any_kind(spark):
+    docs, labels = quality_tables(spark, 60)
+    odd = docs.select("doc_id", "text", F.array("doc_id").alias("a`b"), F.struct("text").alias("x y"), F.lit(None).cast("binary").alias("score"))
+    odd = odd.unionByName(odd.limit(1).withColumn("text", F.lit(None).cast("string"))).unionByName(odd.limit(2))
+    got = quality.keep_good(odd, labels, 0.0)
+    assert got.schema == odd.schema and got.count() == 63 and quality.keep_good(odd.limit(0), labels).count() == 0
+    again = quality.fit(docs.unionByName(docs).unionByName(docs), labels)
+    assert (again.values == quality.fit(docs, labels).values).all()
+
+
+def test_bpe_and_token_files_on_odd_tables(spark, library):
+    rows = spark.createDataFrame([(None, "null id"), (5, None), (5, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_tokens) for r in bpe.round_trip_digests(rows, PATH).collect())
+    assert got == [(-1, len(library.encode("null id", add_special_tokens=False).ids)), (5, 0), (5, 0)]
+    assert bpe.encode_documents(rows.limit(0), PATH).count() == 0
+    long = spark.createDataFrame([(1, "a b"), (2, "some words " * 5000), (None, "c")], "doc_id long, text string")
+    index = sorted(token_files.token_file_index(long, PATH, 2, segment_ids=100).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in index] == [None, 1, 2] and index[2].n_tokens > 100 and index[2].start == index[1].start + index[1].n_tokens
+
+
+def test_packing_of_repeated_ids_and_powers_of_two(spark):
+    docs = spark.createDataFrame([(None, f"word {k}") for k in range(40)] + [(7, "x y z " * 900)] * 3, "doc_id long, text string").repartition(4)
+    got = packing.pack_documents(docs, PATH, 1, window=256, docs_per_group=5).toPandas()
+    assert got.length.sum() == got.drop_duplicates(["sequence_id", "offset"]).length.sum()
+    for _, part in got.groupby("sequence_id"):
+        used = part.length.sum()
+        assert set(part.padded_length) == {used if used & (used - 1) == 0 else 256} and used <= 256
+    assert (got.sequence_id >> 32).nunique() > 1

@@ -253,8 +253,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """``doc_id`` and ``ids`` (binary, little-endian unsigned 32-bit) of every
     whole text.
 
-    Null text counts as empty and gives no ids; repeated rows give repeated
-    results; columns besides doc_id and text are ignored.
+    Null text counts as empty and gives no ids; a null doc_id is kept; repeated
+    rows give repeated results; an empty table gives no row; columns besides
+    doc_id and text are ignored.
     """
 
     def make():

@@ -63,7 +63,8 @@ def format_turns(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     conversation before its (escaped) text, ``text_chars`` that text's; ``loss``
     whether the text trains; ``legal`` whether the state machine allows the turn.
     Null role and text count as empty; turns of equal number (null first) go by
-    role, then text; repeated rows stay.  Extra columns are ignored.
+    role, then text; repeated rows stay.  A text of any length is one value.
+    Extra columns are ignored.
     """
     w = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     plain = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

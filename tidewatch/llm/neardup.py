@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import uuid
 from functools import lru_cache
-from math import comb
+from math import comb, log
 
 import numpy as np
 import xxhash
@@ -56,7 +56,7 @@ class _Words(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -145,6 +145,12 @@ def _rare_first(values: DataFrame, classes: DataFrame, limit: int | None = None)
     return shared.withColumn("pos", listed - F.count(F.lit(1)).over(by_class) + place)
 
 
+def _band(percent: int):
+    """The number of a set's band of size: a little wider than the ratio that the
+    similarity allows, so that such sizes are at most one band apart."""
+    return F.col("n") if percent == 100 else F.floor(F.log(F.col("n")) / (log(100 / percent) * (1 + 1e-9)))
+
+
 def _pairs_within(postings: DataFrame, short: DataFrame, percent: int, extra=None) -> DataFrame:
     """(a, b) with a < b that share a short list and fit in size."""
     own = postings.join(short.select("v"), "v")
@@ -264,8 +270,10 @@ def _dense_links(classes: DataFrame, hard: DataFrame, texts: DataFrame, links: D
     useful = scratch.save(
         placed.join(main, "v").where((F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("n") + smallest) * percent).select("v", "cls", "n", "pos", "component", (F.col("component") != F.col("main")).alias("outside")), "useful"
     )
-    a, b = useful.where("outside").alias("a"), useful.alias("b")
-    rest = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.component") != F.col("b.component")) & _size_ok(percent) & _room(percent))
+    # Classes of one list meet by bands of size: sizes that may go together lie in one band or in neighbouring ones.
+    banded = useful.withColumn("band", _band(percent))
+    a, b = banded.where("outside").alias("a"), banded.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("b")
+    rest = a.join(b, (F.col("a.v") == F.col("b.v")) & (F.col("a.band") == F.col("b.near")) & (F.col("a.component") != F.col("b.component")) & _size_ok(percent) & _room(percent))
     pairs = rest.select(F.least("a.cls", "b.cls").alias("a"), F.greatest("a.cls", "b.cls").alias("b"))
     return first.union(_confirmed(_likely(pairs, classes, scratch, "rest-likely", percent), texts, size, percent))
 

@@ -49,6 +49,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the control conversation -1; rows of the table that
+    have this number themselves are turns of the same conversation."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text"))
     return chat.chat_digests(turns.unionByName(control))
