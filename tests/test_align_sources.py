@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import bands, scalars
+from tidewatch.functions.windows import Over
 from tidewatch.operators import align, book, metrics
 from tidewatch.plans import suites
 from tidewatch.sources import ledger, panel, snapshots
@@ -188,6 +189,6 @@ def test_published_portfolio_numbers(spark):
     assert (got.nps, got.n_onsets, got.n_missed, got.lead_median, got.lead_mean) == (0.18223, 29, 19, 7.5, 6.0)
     from tidewatch.operators import bootstrap
 
-    own = align.positioned(rows.select("date", "y", "p"))
+    own = align.positioned(rows.select("date", "y", "p"), Over(by=()))
     ci = bootstrap.block_bootstrap_ci(own, bootstrap.metric_auc, seed=20260813).head()
     assert (round(ci.lo, 4), round(ci.hi, 4)) == (0.5619, 0.7082)

@@ -18,10 +18,11 @@ def wide_panel(bars: DataFrame, anchor: str, names: list[str], fields: tuple[str
     """
     cells = [F.max(F.when(F.col("series") == s, F.col(f))).alias(f"{s}_{f}") for s in names for f in fields]
     wide = bars.where(F.col("series").isin(names)).groupBy("date").agg(F.bool_or(F.col("series") == anchor).alias("_anchor"), *cells).where("_anchor").drop("_anchor")
-    return fill_and_drop(wide, [f"{s}_{f}" for s in names for f in fields], fill_limit, over)
+    return fill_and_drop(wide, [f"{s}_{f}" for s in names for f in fields], over, fill_limit)
 
 
-def fill_and_drop(panel: DataFrame, columns: list[str], limit: int = 3, over: Over = Over(by=())) -> DataFrame:
+def fill_and_drop(panel: DataFrame, columns: list[str], over: Over, limit: int = 3) -> DataFrame:
+    """Gaps filled from at most ``limit`` rows before; rows that still miss a value go."""
     return panel.withColumns({c: w.filled(c, limit, over) for c in columns}).dropna("any", subset=columns)
 
 
@@ -59,8 +60,8 @@ def split_by_date(panel: DataFrame, months: int = 18, date: str = "date") -> Dat
     return panel.join(F.broadcast(edge), how="cross").withColumn("part", F.when(F.col(date) <= F.col("boundary"), "dev").otherwise("holdout"))  # edge is one row
 
 
-def drop_last(df: DataFrame, k: int, over: Over = Over(by=())) -> DataFrame:
-    """Without the last k rows (of each series)."""
+def drop_last(df: DataFrame, k: int, over: Over) -> DataFrame:
+    """Without the last k rows of each of the series that ``over`` tells apart."""
     back = Window.partitionBy(*over.by).orderBy(F.col(over.order).desc())
     return df.withColumn("_k", F.row_number().over(back)).where(F.col("_k") > k).drop("_k")
 
@@ -69,8 +70,9 @@ def last_rows(df: DataFrame, k: int, date: str = "date") -> DataFrame:
     return df.orderBy(F.col(date).desc()).limit(k)
 
 
-def positioned(df: DataFrame, over: Over = Over(by=()), name: str = "i") -> DataFrame:
-    """Dense row positions from 0, in order."""
+def positioned(df: DataFrame, over: Over, name: str = "i") -> DataFrame:
+    """Dense row positions from 0, in order, of each of the series that ``over``
+    tells apart.  One series is counted in one task."""
     return df.withColumn(name, (F.row_number().over(over.sorted()) - 1).cast("long"))
 
 

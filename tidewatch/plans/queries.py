@@ -45,7 +45,7 @@ def raw_panel(spark, d):
 
 
 def panel(spark, d):
-    return align.fill_and_drop(raw_panel(spark, d), list(panels.PANEL_COLUMNS))
+    return align.fill_and_drop(raw_panel(spark, d), list(panels.PANEL_COLUMNS), WIDE)
 
 
 def order_bars(spark, d):
@@ -237,7 +237,7 @@ def q_staleness(spark, d):
 
 def q_prefix_invariance(spark, d):
     """Of the rows that are checked, how many of the features' rows change: none."""
-    df = align.positioned(panel(spark, d))
+    df = align.positioned(panel(spark, d), WIDE)
     changed = integrity.prefix_variances(df, with_market_features, list(MARKET_FEATURES)).groupBy("i").agg(F.count(F.lit(1)).alias("changed"))
     checked = spark.createDataFrame([(at,) for at in integrity.prefix_places(df)], "i long")
     return df.select("i", "date").join(F.broadcast(checked), "i").join(changed, "i", "left").select("i", "date", F.coalesce("changed", F.lit(0)).cast("long").alias("changed"))

@@ -20,22 +20,26 @@ FROZEN_THRESHOLD = 0.20
 RANK_IN, RANK_OUT = 0.75, 0.0
 
 
+def _positioned(df: DataFrame, over: Over = PANEL) -> DataFrame:
+    return align.positioned(df, over)
+
+
 def market_dataset(panel: DataFrame) -> DataFrame:
     """Labels, features and forward returns, complete rows only, with ``i``."""
     df = with_market_features(with_labels(panel, "SPY_close", PANEL)).withColumn("r", w.return_ahead("SPY_close", HORIZON, PANEL))
-    return align.positioned(df.dropna("any", subset=["label", "rv_trail", "rv_thresh", "rv_fwd", "mdd_fwd", "r", *MARKET_FEATURES]).withColumnRenamed("label", "y"))
+    return _positioned(df.dropna("any", subset=["label", "rv_trail", "rv_thresh", "rv_fwd", "mdd_fwd", "r", *MARKET_FEATURES]).withColumnRenamed("label", "y"))
 
 
 def book_dataset(book: DataFrame, market: DataFrame) -> DataFrame:
     df = with_labels(book.join(market, "date"), "BOOK_close", PANEL)
     df = with_book_features(df).withColumn("r", w.return_ahead("BOOK_close", HORIZON, PANEL))
-    return align.positioned(df.dropna("any", subset=["label", "rv_trail", "rv_thresh", "rv_fwd", "mdd_fwd", "r", *BOOK_FEATURES]).withColumnRenamed("label", "y"))
+    return _positioned(df.dropna("any", subset=["label", "rv_trail", "rv_thresh", "rv_fwd", "mdd_fwd", "r", *BOOK_FEATURES]).withColumnRenamed("label", "y"))
 
 
 def book_only_dataset(book: DataFrame) -> DataFrame:
     """The same without market columns (persistence needs none)."""
     df = with_labels(book, "BOOK_close", PANEL).withColumn("r", w.return_ahead("BOOK_close", HORIZON, PANEL))
-    return align.positioned(df.dropna("any", subset=["label", "r"]).withColumnRenamed("label", "y"))
+    return _positioned(df.dropna("any", subset=["label", "r"]).withColumnRenamed("label", "y"))
 
 
 def baseline_rows(dataset: DataFrame, price: str = "SPY_close", warmup: str = "eval", names: tuple[str, ...] = ("persistence", "term_structure", "trailing_pctl")) -> DataFrame:
@@ -124,10 +128,10 @@ def holdout_rows(panel: DataFrame, kind: str = "gbm", tail: int = 251) -> DataFr
     before = panel.join(F.broadcast(edge), F.col("date") <= F.col("edge"), "left_semi")
     complete = ["label", *SMALL_FEATURES]
     train = with_market_features(with_labels(before, "SPY_close", PANEL)).dropna("any", subset=complete)
-    train = align.positioned(align.drop_last(train, folds.EMBARGO, PANEL).withColumnRenamed("label", "y"))
+    train = _positioned(align.drop_last(train, folds.EMBARGO, PANEL).withColumnRenamed("label", "y"))
     whole = baselines.with_term_structure(baselines.with_trailing_pctl(baselines.with_persistence(panel, "SPY_close", PANEL), "SPY_close", PANEL))
     whole = with_market_features(with_labels(whole, "SPY_close", PANEL)).withColumn("r", w.return_ahead("SPY_close", HORIZON, PANEL))
-    after = align.positioned(whole.join(F.broadcast(edge), F.col("date") > F.col("edge"), "left_semi").dropna("any", subset=[*complete, "r"]).withColumnRenamed("label", "y"))
+    after = _positioned(whole.join(F.broadcast(edge), F.col("date") > F.col("edge"), "left_semi").dropna("any", subset=[*complete, "r"]).withColumnRenamed("label", "y"))
     model = after.join(ml.frozen(train, after, list(SMALL_FEATURES), kind), "i").withColumn("p", F.col("prob")).withColumn("s", (F.col("p") >= FROZEN_THRESHOLD).cast("double")).withColumn("name", F.lit(f"{kind}_small4_frozen"))
     rules = [after.withColumns({"name": F.lit(n), "s": F.col(n), "p": F.col(n)}).select(COLUMNS) for n in ("persistence", "term_structure", "trailing_pctl")]
     out = model.select(COLUMNS)
@@ -154,7 +158,7 @@ def book_suite(book: DataFrame, market: DataFrame, runs: int | None = None) -> D
 def model_against_rule(model: DataFrame, rule: DataFrame, runs: int, n_boot: int = bootstrap.N_BOOT, seed: int = SEED) -> DataFrame:
     """``auc_diff, p_raw, n_valid, p_bonferroni, skill_claimed`` on common rows."""
     both = model.select("i", "y", "p").join(rule.select("i", F.col("p").alias("p_base")), "i")
-    rows = align.positioned(both.withColumnRenamed("i", "at"), Over("at", ())).drop("at")
+    rows = _positioned(both.withColumnRenamed("i", "at"), Over("at", ())).drop("at")
     out = bootstrap.auc_difference(rows, n_boot=n_boot, seed=seed)
     p = bootstrap.bonferroni(F.col("p_raw"), runs)
     return out.withColumn("p_bonferroni", p).withColumn("skill_claimed", p < bootstrap.SKILL)
@@ -163,8 +167,8 @@ def model_against_rule(model: DataFrame, rule: DataFrame, runs: int, n_boot: int
 def scored_tail(df: DataFrame, features: list[str], kind: str, label: str, n: int = baselines.RANK_WINDOW + 1) -> DataFrame:
     """The last n feature-complete rows scored by a model fitted on all labelled
     rows; ``prob`` beside them."""
-    train = align.positioned(df.dropna("any", subset=[label, *features]).withColumnRenamed(label, "y"))
-    tail = align.positioned(align.last_rows(df.dropna("any", subset=features), n).drop("i"))
+    train = _positioned(df.dropna("any", subset=[label, *features]).withColumnRenamed(label, "y"))
+    tail = _positioned(align.last_rows(df.dropna("any", subset=features), n).drop("i"))
     return tail.join(ml.frozen(train, tail, features, kind), "i")
 
 
