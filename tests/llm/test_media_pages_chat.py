@@ -269,7 +269,7 @@ def test_mirrors_keep_their_text(spark):
     assert got[1] == got[2] == got[4] == got[5] == whole and got[3] == "And more."  # what two contents share, a third tells from its own
 
 
-@pytest.mark.parametrize("tokens", [400_000, 200, 1])
+@pytest.mark.parametrize("tokens", [400_000, 1])
 def test_repeats_are_found_over_the_whole_of_a_large_host(spark, tokens):
     rng = random.Random(2)
     passages = [" ".join(f"s{j}-{t}" for t in range(rng.randint(4, 9))) for j in range(40)]
