@@ -97,7 +97,7 @@ class LibraryEncoder:
     memory starts anew, which changes the time only.
     """
 
-    def __init__(self, path: str, remember: int = 1_500_000, remember_bytes: int = 48_000_000):
+    def __init__(self, path: str, remember: int = 400_000, remember_bytes: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer, pre_tokenizers
@@ -232,7 +232,7 @@ def loaded(path: str) -> LibraryEncoder:
     return _loaded[path]
 
 
-def encoded(rows, path: str, at_once: int = 1_000_000):
+def encoded(rows, path: str, at_once: int = 400_000):
     """(row, ids) for rows whose last field is the text; texts go to the encoder
     in groups of about ``at_once`` characters."""
     encoder, held, chars = loaded(path), [], 0
