@@ -94,7 +94,7 @@ class LibraryEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     ``remember`` bounds the chunks kept, and ``remember_bytes`` their text; a full
-    memory starts anew, which changes the time only.
+    memory keeps what is common, or starts anew, which changes the time only.
     """
 
     def __init__(self, path: str, remember: int = 400_000, remember_bytes: int = 16_000_000):
@@ -134,6 +134,7 @@ class LibraryEncoder:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes, ascending; the chunk each stands for
         self.text, self.ids = _Pool(np.uint8), _Pool(np.uint32)
         self.spans = np.zeros((0, 4), np.int64)  # of each chunk: its text's place and length, its ids' place and number
+        self.hits = np.zeros(0, np.int32)  # in how many batches each chunk stood
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
@@ -167,11 +168,16 @@ class LibraryEncoder:
         known = self._places(distinct)
         fresh = np.flatnonzero(known < 0)
         if len(fresh):
-            if len(self.keys) + len(fresh) > self.limit or self.text.used + int(lengths[first[fresh]].sum()) > self.limit_bytes:
-                self.forget()
-                fresh = np.arange(len(distinct))
+            if self._full(len(fresh), lengths[first[fresh]]):
+                self._keep_common()
+                known = self._places(distinct)
+                fresh = np.flatnonzero(known < 0)
+                if self._full(len(fresh), lengths[first[fresh]]):
+                    self.forget()
+                    fresh = np.arange(len(distinct))
             self._learn(distinct[fresh], blob, raw, starts[first[fresh]], lengths[first[fresh]])
             known = self._places(distinct)
+        self.hits[known] += 1
         spans = self.spans[known[which]]
         if not np.array_equal(spans[:, 1], lengths) or not np.array_equal(self.text.data[ragged(spans[:, 0], lengths)], raw):
             return self._whole([r.decode() for r in raws])  # two chunks of one hash
@@ -180,6 +186,25 @@ class LibraryEncoder:
         bounds = before[np.searchsorted(starts, np.concatenate(([0], text_ends)))].tolist()
         return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
+    def _full(self, chunks: int, lengths: np.ndarray) -> bool:
+        return len(self.keys) + chunks > self.limit or self.text.used + int(lengths.sum()) > self.limit_bytes
+
+    def _keep_common(self) -> None:
+        """Forget the chunks that stood in few batches, so that half is free again."""
+        least = 2
+        while np.count_nonzero(self.hits >= least) > self.limit // 2 or int(self.spans[self.hits >= least, 1].sum()) > self.limit_bytes // 2:
+            least *= 2
+        kept = self.hits >= least
+        now = np.cumsum(kept) - 1
+        still = kept[self.place]
+        self.keys, self.place = self.keys[still], now[self.place[still]]
+        spans, self.hits = self.spans[kept], self.hits[kept] // 2
+        text, ids = self.text.data[ragged(spans[:, 0], spans[:, 1])], self.ids.data[ragged(spans[:, 2], spans[:, 3])]
+        self.text, self.ids = _Pool(np.uint8), _Pool(np.uint32)
+        self.text.add(text)
+        self.ids.add(ids)
+        self.spans = np.stack((np.cumsum(spans[:, 1]) - spans[:, 1], spans[:, 1], np.cumsum(spans[:, 3]) - spans[:, 3], spans[:, 3]), axis=1)
+
     def _places(self, hashes: np.ndarray) -> np.ndarray:
         """The chunk of each hash, or -1."""
         if not len(self.keys):
@@ -219,6 +244,7 @@ class LibraryEncoder:
         at = np.searchsorted(self.keys, hashes)
         self.keys, self.place = np.insert(self.keys, at, hashes), np.insert(self.place, at, len(self.spans) + np.arange(len(hashes)))
         self.spans = np.concatenate((self.spans, new))
+        self.hits = np.concatenate((self.hits, np.zeros(len(new), np.int32)))
 
 
 _loaded: dict[str, LibraryEncoder] = {}
