@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, html_text, neardup, packing, pii, quality, token_files, topk
+from . import bpe, chat, gif, html_text, neardup, packing, pii, quality, repair, spelling, token_files, topk
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -60,8 +60,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), PACKING_END, window=2048)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), least=5, times=3, every=97)
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_main_text, op4_token_files, op5_gif, op6_topk, op7_near_dup, op8_pii, op9_chat, op10_packing)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_main_text, op4_token_files, op5_gif, op6_topk, op7_near_dup, op8_pii, op9_chat, op10_packing, op11_spelling, op12_repair)}
 
 
 OP6_SQL = """
