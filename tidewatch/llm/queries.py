@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, html_text, neardup, packing, pii, quality, repair, spelling, token_files, topk
+from . import bpe, chat, gif, html_text, neardup, neighbours, packing, pii, quality, repair, spelling, token_files, topk
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,8 +68,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.approximate_neighbours(table(spark, sf_dir, "embeddings"), by=20, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_main_text, op4_token_files, op5_gif, op6_topk, op7_near_dup, op8_pii, op9_chat, op10_packing, op11_spelling, op12_repair)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_main_text, op4_token_files, op5_gif, op6_topk, op7_near_dup, op8_pii, op9_chat, op10_packing, op11_spelling, op12_repair, op13_neighbours)}
 
 
 OP6_SQL = """
