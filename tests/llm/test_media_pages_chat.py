@@ -283,18 +283,47 @@ def test_repeats_are_found_over_the_whole_of_a_large_host(spark, tokens):
     assert got == sorted(zip([r[0] for r in rows], plain_texts(rows)))
 
 
-def test_what_repeats_decides_on_article_pages_too(spark, monkeypatch):
+def test_what_repeats_decides_beside_an_article_too(spark):
     page = lambda k: f"<div>Note {k} stands {k} outside {k} alone{k}</div><div>Our shop has many good things for you</div><article><p>Text {k} of its own.</p><p>Write to us today!</p><p>{'Quoted words' if k < 4 else k}</p></article>"
     rows = [(k, f"http://h.example/{k}", page(k)) for k in range(9)]
     rows += [(20 + k, f"http://copies.example/{k}", "<article><p>One text</p></article>") for k in range(10)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for most in (100_000, 0):  # notices broadcast, and joined by parts of hosts
-        monkeypatch.setattr(html_text, "BROADCAST_NOTICES", most)
-        got = {r.page_id: r.text for r in html_text.extract_main_text(pages, 30 if most else 400_000).collect()}
-        assert got[3] == "Note 3 stands 3 outside 3 alone3\nText 3 of its own.\nQuoted words" and got[8].endswith("own.\n8")
+    for tokens in (30, 400_000):
+        got = {r.page_id: r.text for r in html_text.extract_main_text(pages, tokens).collect()}
+        assert got[3] == "Note 3 stands 3 outside 3 alone3\nText 3 of its own.\nWrite to us today!\nQuoted words" and got[8].endswith("own.\nWrite to us today!\n8")
         assert got[20] == "One text"
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 40])
+def test_headings_of_all_articles_stay_however_many_pages(spark, n):
+    rows = [(k, f"http://cook.example/{k}", f"<nav>Home</nav><article><h1>Cake {k}</h1><h2>Ingredients</h2><p>Flour {k}</p><h2>Method of work</h2><p>Bake {k}</p></article>") for k in range(n)]
+    for r in html_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r.text == f"Cake {r.page_id}\nIngredients\nFlour {r.page_id}\nMethod of work\nBake {r.page_id}"
+
+
+def text_of(source):
+    return html_text.main_text(html_text.page_blocks(source))
+
+
+def test_forms_around_pages_keep_their_articles():
+    body = "<p>One long text of the page, as written.</p><p>And more.</p>"
+    whole = "One long text of the page, as written.\nAnd more."
+    assert text_of(f'<form id="aspnetForm"><div id="content">{body}</div></form>') == whole
+    assert text_of(f"<form><article>{body}</article><button>Send</button></form>") == whole
+    assert text_of(f'<form action="/"><nav>Home</nav><div class="sidebar">Side</div>{body}<input value="x"></form>') == whole
+    assert text_of(f"<article>{body}<form>Your name <input></form></article>") == whole
+    assert text_of(f"<div>{body}</div><form>Search <input></form>") == whole
+    assert text_of(f'<main>{body}</main><section class="comments"><article>A reader wrote.</article></section>') == whole
+
+
+def test_classes_inside_articles_count_as_whole_names():
+    for name in ("social-history", "search-and-rescue", "fed-commentary", "noticed", "alert-levels-of-1990"):
+        assert text_of(f'<article><p>One.</p><p class="{name}">Two.</p></article>') == "One.\nTwo."
+        assert text_of(f'<article><p>One.</p><section id="{name}">Two.</section></article>') == "One.\nTwo."
+    for name in ("comments", "comment-list", "shareButtons", "related_posts", "ad-slot", "x newsletter-signup", "cookie-notice"):
+        assert text_of(f'<article><p>One.</p><div class="{name}">Two.</div></article>') == "One."
+
+
 def vectors(spark, n=300, dim=8, seed=0):
     rng = np.random.default_rng(seed)
     rows = [(k, [float(x) for x in rng.normal(0, 0.3, dim)]) for k in range(n)]

@@ -1,9 +1,12 @@
 """Main text of web pages by markup zones and suffix arrays over hosts.
 
 A page is read as blocks of text in page order, each in a zone: *boilerplate*
-where its element says so (nav, footer, aside, form, ...) or a word of its class,
-id or role does beside other text, *article* inside ``article`` or ``main``,
-*open* elsewhere.  Blocks outside articles form the page's token stream.
+where its element says so (nav, footer, aside, form controls, ...) or a word of its
+class, id or role does beside other text, *article* inside ``article`` or ``main``,
+*open* elsewhere.  A form may wrap a whole page: an article inside it counts, and
+on a page without one a form that holds by far the most text is open.  Inside an
+article a class counts only if all words of a name speak of boilerplate.  Blocks
+outside articles form the page's token stream.
 
 The streams of a host's pages are concatenated, a suffix array with the lengths of
 common prefixes is built over them, and runs of at least ``MIN_RUN`` tokens that
@@ -17,9 +20,8 @@ is never held in one.  Runs that repeat within an array are decided there; the
 others of a page are looked up among those that repeat over all tasks.
 
 Boilerplate goes; an open block goes if most of its tokens are covered, beside an
-article too, and stays whole otherwise.  Article blocks stay, repeated or not; only
-a short block that stands word for word on most of a host's pages goes as a
-notice.  A page never loses all its text to repeats.
+article too, and stays whole otherwise.  Article blocks stay, repeated or not.  A
+page never loses all its text to repeats.
 """
 
 from __future__ import annotations
@@ -36,14 +38,11 @@ from .common import Scratch, arrow_rows
 
 MIN_RUN = 6
 ARRAY_TOKENS = 400_000  # of one suffix array, about
-NOTICE_PAGES, NOTICE_WORDS = 8, 40  # a block of so many words at most, on so many pages at least and on most of the host's, is a notice
-BROADCAST_NOTICES = 100_000  # hosts with notices that are broadcast at most
-SALTS = 64  # parts of a host's pages where notices are joined without broadcast
 
-BOILER, OPEN, ARTICLE, SOFT = 0, 1, 2, 3
+BOILER, OPEN, ARTICLE, SOFT, FORM = 0, 1, 2, 3, 4
 
 #: Elements of HTML by what they mean for the main text.
-BOILER_TAGS = frozenset("nav footer aside form button select dialog menu noscript template svg iframe object canvas audio video head map datalist".split())
+BOILER_TAGS = frozenset("nav footer aside button select dialog menu noscript template svg iframe object canvas audio video head map datalist".split())
 RAW_TAGS = frozenset("script style title textarea xmp noembed noframes".split())
 INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +53,11 @@ BOILER_WORDS = frozenset(
     "signup skip social sponsor sponsored subscribe teaser toolbar topbar widget alert".split()
 )
 HEADER_WORDS = frozenset({"header"})
+#: Words that go with those: inside an article a name of other words besides says nothing.
+COMPANION_WORDS = frozenset(
+    "area bar block bottom box button buttons card container content count counter grid group icon icons inner item items label left link links list main media module new outer panel post posts right row "
+    "section slot story stories text thread title tool tools top unit user wrap wrapper".split()
+)
 #: Words before one of those that turn its meaning: ``has-sidebar`` is no sidebar.
 TURNING_WORDS = frozenset("has have no not non with without hide hides show shows is".split())
 
@@ -67,11 +71,12 @@ _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS}
 def _class_words(value: str, in_article: bool) -> bool:
     """Whether a class, id or role marks what is not the article."""
     for name in value.split():
-        before = ""
-        for word in map(str.lower, _WORDS.findall(name)):
-            if (word in BOILER_WORDS or (not in_article and word in HEADER_WORDS)) and before not in TURNING_WORDS:
-                return True
-            before = word
+        words = list(map(str.lower, _WORDS.findall(name)))
+        marks = [w in BOILER_WORDS or not in_article and w in HEADER_WORDS for w in words]
+        if in_article and not all(m or w in COMPANION_WORDS for m, w in zip(marks, words, strict=True)):
+            continue
+        if any(m and (not k or words[k - 1] not in TURNING_WORDS) for k, m in enumerate(marks)):
+            return True
     return False
 
 
@@ -82,6 +87,8 @@ def _zone_inside(tag: str, attributes: str, zone: int) -> int:
     if tag in BOILER_TAGS or tag == "header" and zone != ARTICLE:
         return BOILER
     own = ARTICLE if tag in ("article", "main") else zone
+    if tag == "form":
+        own = SOFT if zone == ARTICLE else FORM
     if not attributes or tag in ("html", "body"):
         return own
     for name, value in _ATTRIBUTE.findall(attributes):
@@ -182,13 +189,16 @@ def page_blocks(source: str) -> list[tuple[int, str]]:
 
 
 def _settled(blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """Class words count beside other text only: on a page without article they
-    never take what is by far the largest part of its text."""
-    size = [0] * 4
+    """Class words and forms count beside other text only: on a page without
+    article they never take what is by far the largest part of its text."""
+    size = [0] * 5
     for zone, text in blocks:
         size[zone] += len(text)
-    soft = OPEN if not size[ARTICLE] and size[SOFT] > 4 * size[OPEN] else BOILER
-    return [(soft if zone == SOFT else zone, text) for zone, text in blocks]
+    form = OPEN if not size[ARTICLE] and size[FORM] > 4 * size[OPEN] else BOILER
+    free = size[OPEN] + size[FORM] * (form == OPEN)
+    soft = OPEN if not size[ARTICLE] and size[SOFT] > 4 * free else BOILER
+    now = {SOFT: soft, FORM: form}
+    return [(now.get(zone, zone), text) for zone, text in blocks]
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,28 +302,13 @@ def outer_tokens(blocks: list[tuple[int, str]]) -> list[str]:
     return [t for zone, text in blocks if zone != ARTICLE for t in text.split(" ")]
 
 
-def notice_candidates(blocks: list[tuple[int, str]]) -> set[str]:
-    return {text for zone, text in blocks if zone == ARTICLE and text.count(" ") < NOTICE_WORDS}
-
-
-def notice_number(host: str, text: str) -> int:
-    return _number(f"{host}\n{text}", 8) - (1 << 63)
-
-
-def main_text(blocks: list[tuple[int, str]], covered: np.ndarray | None = None, notices: set[str] | frozenset = frozenset()) -> str:
+def main_text(blocks: list[tuple[int, str]], covered: np.ndarray | None = None) -> str:
     """A page's main text.  ``covered``: for each token outside articles whether
-    it lies in a repeated run; ``notices``: article blocks that are notices.
-
-    Notices go only where more of the article's text than theirs is left, and
-    repeats only where some text is left."""
-    article = sum(len(text) for zone, text in blocks if zone == ARTICLE)
-    if 2 * sum(len(text) for zone, text in blocks if zone == ARTICLE and text in notices) > article:
-        notices = frozenset()
+    it lies in a repeated run; repeats go only where some text is left."""
     kept, at, gone = [], 0, False
     for zone, text in blocks:
         if zone == ARTICLE:
-            if text not in notices:
-                kept.append(text)
+            kept.append(text)
             continue
         n = text.count(" ") + 1
         own = covered[at : at + n] if covered is not None else ()
@@ -334,7 +329,7 @@ def page_host(url):
 
 
 RUN_SCHEMA = (
-    "a long, b long, low long, high long, n long, "  # a run (n null), or a block with the host's number in low and on how many pages in n
+    "a long, b long, low long, high long, "  # a run
     "key binary, page_id long, url string, zones array<int>, texts array<string>, covered array<int>, ask_at array<int>, ask_a array<long>, ask_b array<long>"  # a page with open text
 )
 
@@ -345,103 +340,75 @@ def extract_main_text(pages: DataFrame, array_tokens: int = ARRAY_TOKENS) -> Dat
     Null html counts as empty and gives an empty text; a null page_id or url is
     kept; pages without a host form one host; repeated rows are pages each, and
     count as one content where repeats are sought; an empty table gives no row.
+    Markup cut off lasts to the page's end, and a very long page is read in linear
+    time by the task that holds it.
     Runs count as equal by 128 bits of hash between arrays, by their tokens inside
     one.  Columns besides page_id, url and html are ignored.
     """
     scratch = Scratch(pages.sparkSession)
     html = F.coalesce("html", F.lit(""))
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), html)))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), page_host(F.col("url")).alias("host")).withColumns({"key": key, "host_number": F.xxhash64("host")})
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), page_host(F.col("url")).alias("host")).withColumn("key", key)
     columns = ["key", "page_id", "url", "host", "html"]
     nothing = (None,) * 9
 
     def reading():
         def work(rows):
             held, tokens = [], 0
-            blocks_on: dict[tuple[int, int], int] = {}
-            pages_on: dict[int, int] = {}
 
             def array():
                 runs = HostRuns([one for _, one, _ in held])
                 for a, b, low, high in runs.runs.tolist():
-                    yield (a, b, low, high, None, *nothing)
+                    yield (a, b, low, high, *nothing)
                 for (page, _, blocks), covered, asks in zip(held, runs.covered, runs.asks, strict=True):
                     if page is not None:  # a page with open text
                         at, a, b = asks.T.tolist() if len(asks) else ([], [], [])
-                        yield (None,) * 5 + (*page, [z for z, _ in blocks], [t for _, t in blocks], np.flatnonzero(covered).tolist(), at, a, b)
+                        yield (None,) * 4 + (*page, [z for z, _ in blocks], [t for _, t in blocks], np.flatnonzero(covered).tolist(), at, a, b)
 
-            for key_, page, url, host, source, number in rows:
+            for key_, page, url, host, source in rows:
                 blocks = page_blocks(source)
                 is_open = any(zone == OPEN for zone, _ in blocks)
                 outer = outer_tokens(blocks)
                 held.append(((key_, page, url) if is_open else None, (host, content_number(blocks), outer), blocks if is_open else ()))
                 tokens += len(outer)
-                pages_on[number] = pages_on.get(number, 0) + 1
-                for text in notice_candidates(blocks):
-                    at = number, notice_number(host, text)
-                    blocks_on[at] = blocks_on.get(at, 0) + 1
                 if tokens >= array_tokens or len(held) >= 20_000:
                     yield from array()
                     held, tokens = [], 0
-                if len(blocks_on) > 200_000:
-                    yield from ((block, 0, host_, 0, n, *nothing) for (host_, block), n in blocks_on.items())
-                    blocks_on = {}
             yield from array()
-            yield from ((block, 0, host_, 0, n, *nothing) for (host_, block), n in blocks_on.items())
-            yield from ((0, 1, host_, 0, n, *nothing) for host_, n in pages_on.items())
 
         return work
 
-    seen = scratch.save(arrow_rows(own, [*columns, "host_number"], RUN_SCHEMA, reading, 4096), "runs")
+    seen = scratch.save(arrow_rows(own, columns, RUN_SCHEMA, reading, 4096), "runs")
     # Runs on two contents over all arrays, and what pages with open text ask of them.
-    repeated = seen.where("a IS NOT NULL AND n IS NULL").groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("a", "b")
-    open_pages = seen.where("key IS NOT NULL").drop("a", "b", "low", "high", "n")
+    repeated = seen.where("a IS NOT NULL").groupBy("a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("a", "b")
+    open_pages = seen.where("key IS NOT NULL").drop("a", "b", "low", "high")
     asked = open_pages.select("key", F.explode(F.arrays_zip("ask_at", "ask_a", "ask_b")).alias("q")).select("key", F.col("q.ask_at").alias("at"), F.col("q.ask_a").alias("a"), F.col("q.ask_b").alias("b"))
     answers = asked.join(repeated, ["a", "b"]).groupBy("key").agg(F.collect_set("at").alias("elsewhere"))  # of one page's own tokens
 
-    # Notices: blocks on most of a host's pages; at most twice a page's blocks for each host.
-    counts = seen.where("n IS NOT NULL").groupBy(F.col("low").alias("host_number"), "b", "a").agg(F.sum("n").alias("n"))
-    total = counts.where("b = 1").select("host_number", F.col("n").alias("pages"))
-    often = counts.where(f"b = 0 AND n >= {NOTICE_PAGES}").join(total, "host_number").where("2 * n > pages")
-    notices = scratch.save(often.groupBy("host_number").agg(F.collect_set("a").alias("notices")), "notices")
-
     def closed():
         def work(rows):
-            for _, page, url, host, source, known in rows:
+            for page, url, source in rows:
                 blocks = page_blocks(source)
                 if not any(zone == OPEN for zone, _ in blocks):
-                    text = main_text(blocks, None, noticed(host, blocks, known))
+                    text = main_text(blocks)
                     yield page, url, text, len(text)
 
         return work
 
-    def noticed(host, blocks, known) -> set[str]:
-        return {t for t in notice_candidates(blocks) if notice_number(host, t) in wanted} if known and (wanted := set(known)) else set()
-
     def opened():
         def work(rows):
-            for page, url, host, zones, texts, covered, elsewhere, known in rows:
+            for page, url, zones, texts, covered, elsewhere in rows:
                 blocks = list(zip(zones, texts, strict=True))
                 marks = np.zeros(sum(t.count(" ") + 1 for z, t in blocks if z != ARTICLE), bool)
                 marks[covered] = True
                 for at in elsewhere or ():
                     marks[at : at + MIN_RUN] = True
-                text = main_text(blocks, marks, noticed(host, blocks, known))
+                text = main_text(blocks, marks)
                 yield page, url, text, len(text)
 
         return work
 
     result = "page_id long, url string, text string, n_chars long"
-    first = arrow_rows(_with_notices(own, notices), [*columns, "notices"], result, closed, 512)
-    asking = _with_notices(open_pages.join(answers, "key", "left").withColumn("host", page_host(F.col("url"))).withColumn("host_number", F.xxhash64("host")), notices)
-    second = arrow_rows(asking, ["page_id", "url", "host", "zones", "texts", "covered", "elsewhere", "notices"], result, opened, 512)
+    first = arrow_rows(own, ["page_id", "url", "html"], result, closed, 512)
+    second = arrow_rows(open_pages.join(answers, "key", "left"), ["page_id", "url", "zones", "texts", "covered", "elsewhere"], result, opened, 512)
     return first.unionByName(second)
-
-
-def _with_notices(rows: DataFrame, notices: DataFrame) -> DataFrame:
-    """``rows`` with their host's notices: broadcast up to a checked number of
-    hosts, else joined by host, whose pages are dealt over parts."""
-    if notices.count() <= BROADCAST_NOTICES:
-        return rows.join(F.broadcast(notices), "host_number", "left")
-    salted = notices.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(salted, ["host_number", "salt"], "left")
