@@ -8,7 +8,8 @@ into pre-tokens and go to the library in long lists, and what it gives is
 remembered.  A remembered chunk is compared byte by byte with each chunk that
 takes its ids, so a clash of hashes cannot change a result.
 
-Any other file, and any text that holds one of the file's added tokens, goes
+A text of more than ``2 * PART`` characters goes through this part by part.  Any
+other file, and any text that holds one of the file's added tokens, goes
 through the library's ``encode_batch`` on whole texts.  The ids are those of
 ``encode(text, add_special_tokens=False)`` either way, with the file's own
 truncation and padding turned off.
@@ -28,6 +29,7 @@ from .common import claim_memory
 _BASE = 0x9E3779B97F4A7C15 | 1  # an odd number: it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _FIRST = 1 << 16
+PART = 400_000  # characters of a long text that are hashed and looked up at once, about
 
 
 class _Powers:
@@ -118,7 +120,8 @@ class LibraryEncoder:
         self.words = Tokenizer(self.whole.model)  # the model alone, over pre-tokens between spaces
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.encode_words = getattr(self.words, "encode_batch_fast", self.words.encode_batch)
-        self.findall = regex.compile(SPLIT_PATTERN).findall
+        pattern = regex.compile(SPLIT_PATTERN)
+        self.findall, self.finditer = pattern.findall, pattern.finditer
         self.printable = np.array([ord(alphabet[b]) for b in range(256)], "<u2")
         self.printable[255] = 32  # no UTF-8 holds this byte: it parts the pre-tokens
         self.widths = np.zeros(1 + max(model["vocab"].values()), np.int64)
@@ -139,6 +142,9 @@ class LibraryEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.by_chunk:
             return self._whole(texts)
+        if any(len(t) > 2 * PART for t in texts):
+            short = iter(self.encode_batch([t for t in texts if len(t) <= 2 * PART]))
+            return [self._long(t) if len(t) > 2 * PART else next(short) for t in texts]
         raws = [t.encode() for t in texts]
         blob = b"".join(raws)
         if any(s.encode() in blob for s in self.specials):
@@ -150,6 +156,30 @@ class LibraryEncoder:
             return [next(out) if m else next(rest) for m in marked]
         return self._by_chunk(raws, blob)
 
+    def _long(self, text: str) -> bytes:
+        """A long text by parts that end where a chunk does."""
+        if any(s in text for s in self.specials):
+            return self._whole([text])[0]
+        out, at = bytearray(), 0
+        while at < len(text):
+            end = _cut(text, at + PART)
+            if end - at > 4 * PART:  # hardly a space in it: its pre-tokens go to the library as they come
+                out += self._streamed(text, at, end)
+            else:
+                out += self._by_chunk([text[at:end].encode()])[0]
+            at = end
+        return bytes(out)
+
+    def _streamed(self, text: str, at: int, end: int) -> bytes:
+        out, held, chars = bytearray(), [], 0
+        for m in self.finditer(text, at, end):
+            held.append(m.group())
+            chars += len(held[-1])
+            if chars >= PART:
+                out += self._of_pieces(held).tobytes()
+                held, chars = [], 0
+        return bytes(out + self._of_pieces(held).tobytes())
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
 
@@ -226,14 +256,7 @@ class LibraryEncoder:
                 add(chunk[-1])
             else:
                 several(findall(chunk))
-        ids = [np.zeros(0, np.uint32)]
-        for k in range(0, len(pieces), 100_000):
-            groups = []
-            for j in range(k, min(k + 100_000, len(pieces)), 1000):
-                parted = np.frombuffer("\udcff".join(pieces[j : min(j + 1000, k + 100_000)]).encode("utf-8", "surrogateescape"), np.uint8)
-                groups.append(self.printable[parted].tobytes().decode("utf-16-le"))
-            ids += [np.array(e.ids, np.uint32) for e in self.encode_words(groups, add_special_tokens=False)]
-        ids = np.concatenate(ids)
+        ids = self._of_pieces(pieces)
         covered, ends = np.cumsum(self.widths[ids]), np.cumsum(lengths)
         stop = np.searchsorted(covered, ends) + 1  # ids up to each chunk's end: a byte is a token's own, so ends meet
         if not np.array_equal(covered[stop - 1], ends):
@@ -247,6 +270,28 @@ class LibraryEncoder:
         self.hits = np.concatenate((self.hits, np.zeros(len(new), np.int32)))
 
 
+    def _of_pieces(self, pieces: list[str]) -> np.ndarray:
+        """The ids of pre-tokens, one after another."""
+        ids = [np.zeros(0, np.uint32)]
+        for k in range(0, len(pieces), 100_000):
+            groups = []
+            for j in range(k, min(k + 100_000, len(pieces)), 1000):
+                parted = np.frombuffer("\udcff".join(pieces[j : min(j + 1000, k + 100_000)]).encode("utf-8", "surrogateescape"), np.uint8)
+                groups.append(self.printable[parted].tobytes().decode("utf-16-le"))
+            ids += [np.array(e.ids, np.uint32) for e in self.encode_words(groups, add_special_tokens=False)]
+        return np.concatenate(ids)
+
+
+def _cut(text: str, at: int) -> int:
+    """The first place from ``at`` on where a chunk begins: a space behind a
+    character that is no white space."""
+    while 0 <= (at := text.find(" ", at)):
+        if not text[at - 1].isspace():
+            return at
+        at += 1
+    return len(text)
+
+
 _loaded: dict[str, LibraryEncoder] = {}
 
 
