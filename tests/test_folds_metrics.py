@@ -107,8 +107,31 @@ def test_hashed_starts_need_no_driver(spark, monkeypatch):
     assert len(got) == 400 * 5 and got.start.between(0, 94).all() and got.start.nunique() == 95
     assert got.equals(bootstrap.hashed_starts(spark, 95, 400, seed=3).toPandas())
     monkeypatch.setattr(bootstrap, "DRAWN_ROWS", 100)
-    with pytest.raises(ValueError, match="hashed_starts"):
-        bootstrap.drawn_starts(spark, 95, 400)
+    place = ["rep", "k", "start"]
+    assert sorted(map(tuple, bootstrap.drawn_starts(spark, 95, 400, seed=3).select(place).collect())) == sorted(map(tuple, got[place].to_numpy().tolist()))
+
+
+@pytest.mark.parametrize("n", [60_000, 200_000])
+def test_any_number_of_rows_with_the_defaults(spark, n):
+    """The longer series goes the way of long series."""
+    rows = spark.range(n).select(F.col("id").alias("i"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("double").alias("y"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)) / 50).alias("p"))
+    boot = bootstrap.N_BOOT if n <= bootstrap.FAST_ROWS else 20
+    whole = rows.select(F.avg(F.pow(F.col("p") - F.col("y"), 2))).head()[0]
+    ends = bootstrap.intervals_by_key(rows, [], n_boot=boot).head()
+    assert ends.brier_lo < whole < ends.brier_hi and ends.brier_hi - ends.brier_lo < 0.01 and 0.48 < ends.auc_lo < ends.auc_hi < 0.52
+    both = rows.withColumn("p_base", 1 - F.col("p")).withColumn("k", F.lit("a")).unionByName(rows.where("i < 500").withColumn("p_base", F.col("p")).withColumn("k", F.lit("b")))
+    diff = {r.k: r for r in bootstrap.auc_difference(both, n_boot=20, keys=["k"]).collect()}
+    assert diff["b"].p_raw == 1 and diff["b"].auc_diff == 0 and diff["a"].n_valid == 20
+
+
+def test_starts_of_several_sizes(spark):
+    sizes = spark.createDataFrame([("a", 95), ("b", 40), ("c", 95)], "key string, n long")
+    for rule in ("drawn", "stepped", "hashed"):
+        got = bootstrap.starts_of(sizes, ["key"], 6, 20, rule, 3).toPandas().sort_values(["key", "rep", "k"])
+        own = {k: g.start.to_numpy().reshape(6, -1) for k, g in got.groupby("key")}
+        assert (own["a"] == own["c"]).all() and own["b"].shape == (6, 2) and got.start.between(0, got.n - 1).all()
+        if rule != "hashed":
+            assert (own["b"] == bootstrap.start_matrix(rule, 40, 6, 20, 3)).all()
 
 
 @pytest.mark.parametrize("values", ["spread", "one", "infinite"])

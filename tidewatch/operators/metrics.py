@@ -94,10 +94,11 @@ def effective_n(n: Column, horizon: int = HORIZON) -> Column:
     return n / F.lit(float(horizon))
 
 
-def evaluate_strategy(df: DataFrame, keys: list[str] | None = None, order: str = "i", seed: int = 0) -> DataFrame:
+def evaluate_strategy(df: DataFrame, keys: list[str] | None = None, order: str = "i", seed: int = 0, rule: str = "drawn") -> DataFrame:
     """One row for each key: the whole metric record, rounded (4 places; net
     protection 5; effective n 1).  Columns y, p, s, r as above.  The 90 %
-    intervals auc_ci90 and brier_ci90 are of N_BOOT block bootstrap replicates."""
+    intervals auc_ci90 and brier_ci90 are of N_BOOT block bootstrap replicates,
+    their starts made by ``rule``."""
     from .bootstrap import intervals_by_key  # which needs this module
 
     keys = keys or []
@@ -107,7 +108,7 @@ def evaluate_strategy(df: DataFrame, keys: list[str] | None = None, order: str =
     out = _by(scored, keys).agg(*[v.alias(k) for k, v in plain.items()], F.round(brier_of(), 4).alias("brier"), F.round(net_protection_of(), 5).alias("nps"), F.round(effective_n(F.count(F.lit(1))), 1).alias("n_eff"))
     a, t = auc(df, keys).withColumn("auc", F.round("auc", 4)), lead_times(df, keys, order)
     ends = lambda m: F.array(F.round(f"{m}_lo", 4), F.round(f"{m}_hi", 4)).alias(f"{m}_ci90")
-    ci = intervals_by_key(df, keys, seed=seed, order=order).select(*keys, ends("auc"), ends("brier"))
+    ci = intervals_by_key(df, keys, seed=seed, order=order, rule=rule).select(*keys, ends("auc"), ends("brier"))
     if keys:
         return out.join(a, keys, "left").join(t, keys, "left").join(ci, keys, "left")
     return out.join(F.broadcast(a), how="cross").join(F.broadcast(t), how="cross").join(F.broadcast(ci), how="cross")  # one row each

@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 from .bootstrap import BLOCK_LEN
 
+PLACES = 12  # statistics are equal if they agree to so many decimal places
+
 
 def block_sums(rows: DataFrame, keys: list[str], block_len: int = BLOCK_LEN) -> DataFrame:
     """``keys, name, n, start, whole, last``: sums of ``d`` over the circular block
@@ -61,12 +63,12 @@ def reality_check(rows: DataFrame, starts: DataFrame, keys: list[str] | None = N
     reps = replicate_means(rows, starts, keys, block_len)
     if studentise:
         spread = reps.groupBy(*by).agg(F.stddev_pop(F.col("mean")).alias("sd"))
-        whole = whole.join(spread, by, "left").withColumn("scale", F.when(F.col("sd") > 0, 1 / F.col("sd")).otherwise(0.0))
+        whole = whole.join(spread, by, "left").withColumn("scale", F.when(F.round("sd", PLACES) > 0, 1 / F.col("sd")).otherwise(0.0))
     else:
         whole = whole.withColumn("scale", F.sqrt("n"))
-    stat = whole.select(*by, "mean", (F.col("mean") * F.col("scale")).alias("stat"), "scale")
+    stat = whole.select(*by, "mean", F.round(F.col("mean") * F.col("scale"), PLACES).alias("stat"), "scale")
     stat = stat.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("stat"), "name")))
-    centred = reps.join(stat.withColumnRenamed("mean", "own"), by).select(*by, "rep", "rank", "stat", ((F.col("mean") - F.col("own")) * F.col("scale")).alias("z"), (F.col("scale") == 0).alias("none"))
+    centred = reps.join(stat.withColumnRenamed("mean", "own"), by).select(*by, "rep", "rank", "stat", F.round((F.col("mean") - F.col("own")) * F.col("scale"), PLACES).alias("z"), (F.col("scale") == 0).alias("none"))
     below = Window.partitionBy(*keys, "rep").orderBy(F.desc("rank"))
     shares = centred.withColumn("most", F.max("z").over(below)).groupBy(*by, "rank").agg(
         F.avg(((F.col("z") >= F.col("stat")) | F.col("none")).cast("double")).alias("p_alone"), F.avg(((F.col("most") >= F.col("stat")) | F.col("none")).cast("double")).alias("p")

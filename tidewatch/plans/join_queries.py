@@ -1,13 +1,14 @@
-"""Registered queries of as-of and overlap joins, and their SQL."""
+"""Registered queries of joins in time, tests of many strategies and streams in
+batches, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions.windows import Over
-from ..operators import asof, intervals
-from .oracle import BARS
-from .queries import _t, bars, r6
+from ..operators import asof, bootstrap, intervals, metrics, reality
+from .oracle import BARS, SIGNALS, with_
+from .queries import SCAN, _t, bars, r6, signal_rows
 
 LONG = Over()
 YEAR = 1998
@@ -62,7 +63,25 @@ def q_purge_by_time(spark, d):
     return intervals.purged(rows.where("series <> 'N'"), tests, "s", "e", embargo=10).select("series", "date")
 
 
-QUERIES = {"asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time}
+def rule_differences(spark, d):
+    """How much more net protection each threshold on the score gives than the
+    persistence rule, by series and day."""
+    rows = signal_rows(spark, d)
+    each = rows.withColumn("thr", F.explode(F.array(*[F.lit(t) for t in SCAN]))).withColumn("s_thr", (F.col("p") >= F.col("thr")).cast("double"))
+    each = metrics.with_net_protection(each, Over("i", ("series", "thr")), "s_thr", name="own")
+    each = metrics.with_net_protection(each, Over("i", ("series", "thr")), "s", name="base")
+    return each.select("series", F.col("thr").cast("string").alias("name"), "i", (F.col("own") - F.col("base")).alias("d"))
+
+
+def q_reality_check(spark, d):
+    rows = rule_differences(spark, d)
+    sizes = rows.groupBy("series", "name").count().groupBy("series").agg(F.max("count").alias("n"))
+    starts = bootstrap.starts_of(sizes, ["series"], rule="stepped").drop("n")
+    out = reality.reality_check(rows, starts, ["series"])
+    return out.select("series", "name", r6("mean"), "rank", r6("p_alone"), r6("p_step"))
+
+
+QUERIES = {"asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time, "reality_check": q_reality_check}
 
 SPANS = BARS + """,
 spans AS (SELECT series, date, date - DATE '1970-01-01' AS s, lead(date, 10) OVER (PARTITION BY series ORDER BY date) - DATE '1970-01-01' AS e FROM bars QUALIFY e IS NOT NULL)"""
@@ -88,4 +107,17 @@ SELECT own.series, own.date, n AS n_overlaps, round(u, 6) AS uniqueness FROM own
     "purge_by_time": f"""WITH {SPANS}
 SELECT series, date FROM spans x WHERE series <> 'N' AND NOT EXISTS (
   SELECT 1 FROM spans t WHERE t.series = 'N' AND year(t.date) = {YEAR} AND x.s <= t.e + 10 AND t.s - 10 <= x.e)""",
+    "reality_check": with_(SIGNALS, """each AS (SELECT series, i, r, s, thr, (p >= thr)::INT::DOUBLE AS s_thr FROM rows_, (SELECT unnest([""" + ", ".join(map(str, SCAN)) + """])::DOUBLE AS thr)),
+moved AS (SELECT *, abs(s_thr - coalesce(lag(s_thr) OVER w, s_thr)) AS a, abs(s - coalesce(lag(s) OVER w, s)) AS b FROM each WINDOW w AS (PARTITION BY series, thr ORDER BY i)),
+diffs AS (SELECT series, thr::VARCHAR AS name, i, (s_thr - s) * greatest(0.0, -r) * 0.5 / 10 - 0.0002 * (s_thr - s) - 0.001 * (a - b) AS d, count(*) OVER (PARTITION BY series, thr) AS n FROM moved)""",
+    """own AS (SELECT series, name, avg(d) AS mean, any_value(n) AS n, row_number() OVER (PARTITION BY series ORDER BY round(sqrt(any_value(n)) * avg(d), 12) DESC, name) AS rank FROM diffs GROUP BY 1, 2)""",
+    """starts AS (SELECT series, rep, k, (rep * 7919 + k * 104729) % n AS start, n FROM (SELECT series, max(n) AS n FROM own GROUP BY 1), range(2000) a(rep), range(100000) b(k) WHERE k < ceil(n / 20.0))""",
+    """ahead AS (SELECT series, name, i, n, coalesce(sum(d) OVER (PARTITION BY series, name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto, sum(d) OVER (PARTITION BY series, name) AS total FROM diffs)""",
+    """pieces AS (SELECT series, rep, start, least(20, n - k * 20) AS len, n FROM starts)""",
+    """sums AS (SELECT p.series, x.name, p.rep, any_value(p.n) AS n, sum(CASE WHEN start + len < p.n THEN y.upto - x.upto ELSE x.total - x.upto + y.upto END) / any_value(p.n) AS m
+  FROM pieces p JOIN ahead x ON x.series = p.series AND x.i = p.start JOIN ahead y ON y.series = p.series AND y.name = x.name AND y.i = (p.start + p.len) % p.n GROUP BY 1, 2, 3)""",
+    """centred AS (SELECT s.series, s.name, rep, rank, round(sqrt(s.n) * mean, 12) AS stat, round(sqrt(s.n) * (m - mean), 12) AS z FROM sums s JOIN own USING (series, name))""",
+    """most AS (SELECT *, max(z) OVER (PARTITION BY series, rep ORDER BY rank DESC) AS top FROM centred)""",
+    """shares AS (SELECT series, name, rank, avg((z >= stat)::INT) AS p_alone, avg((top >= stat)::INT) AS p FROM most GROUP BY 1, 2, 3)""")
+    + "SELECT series, name, round(mean, 6) AS mean, rank::INT AS rank, round(p_alone, 6) AS p_alone, round(max(p) OVER (PARTITION BY series ORDER BY rank), 6) AS p_step FROM shares JOIN own USING (series, name, rank)",
 }

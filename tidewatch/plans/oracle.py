@@ -176,11 +176,14 @@ daily AS (SELECT date, sum(CASE WHEN lr IS NOT NULL THEN weight END) AS ws, sum(
     "threshold_scan": SCAN,
     "calibration_bins": with_(SIGNALS) + "SELECT series, least(floor(p * 3), 2)::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS observed FROM rows_ GROUP BY 1, 2",
     "evaluate_strategy": with_(SIGNALS, LEADS, "o AS (SELECT series, count(*) AS n_onsets, count(*) FILTER (lead IS NULL) AS n_missed, quantile_cont(lead, 0.5)::DOUBLE AS lead_median, avg(lead) AS lead_mean FROM onsets GROUP BY 1)",
-        "seen AS (SELECT *, lag(s) OVER (PARTITION BY series ORDER BY i) AS before FROM rows_)", "ranked AS (" + unrounded_auc("rows_", "series") + ")")
+        "seen AS (SELECT *, lag(s) OVER (PARTITION BY series ORDER BY i) AS before FROM rows_)", "ranked AS (" + unrounded_auc("rows_", "series") + ")", BOOT, "drawn_auc AS (" + unrounded_auc("sample", "series, rep") + ")",
+        "ends AS (SELECT series, quantile_cont(auc, 0.05) AS a, quantile_cont(auc, 0.95) AS b FROM drawn_auc GROUP BY 1)",
+        "brier_ends AS (SELECT series, quantile_cont(v, 0.05) AS c, quantile_cont(v, 0.95) AS d FROM (SELECT series, rep, avg((p - y) * (p - y)) AS v FROM sample GROUP BY 1, 2) GROUP BY 1)")
     + f"""SELECT r.series, round(coalesce(sum(s * y) / nullif(sum(s), 0), 0), 4) AS precision, round(coalesce(sum(s * y) / nullif(sum(y), 0), 0), 4) AS recall, round(avg((s = 0 AND y = 1)::INT) / greatest(avg(y), 1e-9), 4) AS false_negative_rate,
   round(avg((s = 1 AND y = 0)::INT), 4) AS false_positive_days_frac, round(avg(y), 4) AS base_rate, round(avg(s), 4) AS hedge_on_frac, count(*) AS n, round(avg((p - y) * (p - y)), 4) AS brier, round({NPS}, 5) AS nps,
-  round(count(*) / 10.0, 1)::DOUBLE AS n_eff, round(any_value(auc), 4) AS auc, any_value(n_onsets) AS n_onsets, any_value(n_missed) AS n_missed, any_value(lead_median) AS lead_median, round(any_value(lead_mean), 6) AS lead_mean
-  FROM seen r JOIN o USING (series) JOIN ranked USING (series) GROUP BY 1""",
+  round(count(*) / 10.0, 1)::DOUBLE AS n_eff, round(any_value(auc), 4) AS auc, any_value(n_onsets) AS n_onsets, any_value(n_missed) AS n_missed, any_value(lead_median) AS lead_median, round(any_value(lead_mean), 6) AS lead_mean,
+  round(any_value(a), 4) AS auc_lo, round(any_value(b), 4) AS auc_hi, round(any_value(c), 4) AS brier_lo, round(any_value(d), 4) AS brier_hi
+  FROM seen r JOIN o USING (series) JOIN ranked USING (series) JOIN ends USING (series) JOIN brier_ends USING (series) GROUP BY 1""",
     "staleness_auc": with_(PANEL, FEATURE_STEPS, WIDE_LABEL, "base AS (SELECT * FROM judged WHERE label IS NOT NULL)",
         "late AS (" + " UNION ALL ".join(f"SELECT label AS y, '{f}' AS feature, {k} AS lag, lag({f}, {k}) OVER (ORDER BY date) AS p FROM base" for f in SMALL_FEATURES for k in (0, 1, 5)) + ")") + auc_sql("late", "feature, lag"),
     "prefix_invariance": with_(PANEL) + "SELECT i, date, 0::BIGINT AS changed FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM panel) WHERE i IN (300, 500, n - 2, n - 1)",

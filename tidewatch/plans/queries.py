@@ -226,8 +226,9 @@ def q_calibration(spark, d):
 
 
 def q_evaluate(spark, d):
-    """The record but its drawn intervals, which SQL cannot draw."""
-    return metrics.evaluate_strategy(signal_rows(spark, d), ["series"]).withColumn("lead_mean", F.round("lead_mean", 6)).drop("auc_ci90", "brier_ci90")
+    """The whole record, its intervals by stepped starts, which SQL can follow."""
+    out = metrics.evaluate_strategy(signal_rows(spark, d), ["series"], rule="stepped").withColumn("lead_mean", F.round("lead_mean", 6))
+    return out.select("*", *[F.col(f"{m}_ci90")[k].alias(f"{m}_{e}") for m in ("auc", "brier") for k, e in enumerate(("lo", "hi"))]).drop("auc_ci90", "brier_ci90")
 
 
 def q_staleness(spark, d):
@@ -304,30 +305,22 @@ def q_last_values(spark, d):
     return bars(spark, d).withColumn("gap", F.when(F.dayofweek("date") != 6, F.col("close"))).groupBy("series").agg(r6(align.last_value("gap"), "last_close"))
 
 
-def of_each_series(spark, d, run):
-    """``run(rows, starts, n)`` over the rows of each series, with N_BOOT replicates."""
-    rows = signal_rows(spark, d).select("series", "i", "y", "p", F.col("s").alias("p_base"))
-    out = None
-    for series, n in sorted(tuple(r) for r in rows.groupBy("series").count().collect()):
-        own = rows.where(F.col("series") == series).drop("series")
-        one = run(own, bootstrap.stepped_starts(spark, n, bootstrap.N_BOOT), n).withColumn("series", F.lit(series))
-        out = one if out is None else out.unionByName(one)
-    return out
+def bootstrap_rows(spark, d):
+    return signal_rows(spark, d).select("series", "i", "y", "p", F.col("s").alias("p_base"))
 
 
 def q_bootstrap_sample(spark, d):
-    run = lambda rows, starts, n: bootstrap.metric_auc(bootstrap.resampled(rows, starts, n), ["rep"])
-    return of_each_series(spark, d, run).select("series", "rep", r6("value", "auc"))
+    rows = bootstrap_rows(spark, d)
+    starts = bootstrap.starts_of(rows.groupBy("series").agg(F.count(F.lit(1)).alias("n")), ["series"], rule="stepped")
+    return bootstrap.metric_auc(bootstrap.resampled_by(rows, starts, ["series"]), ["series", "rep"]).select("series", "rep", r6("value", "auc"))
 
 
 def q_bootstrap_ci(spark, d):
-    run = lambda rows, starts, n: bootstrap.block_bootstrap_ci(rows, bootstrap.metric_brier, starts)
-    return of_each_series(spark, d, run).select("series", r6("point"), r6("lo"), r6("hi"), "n_valid")
+    return bootstrap.block_bootstrap_ci(bootstrap_rows(spark, d), bootstrap.metric_brier, keys=["series"], rule="stepped").select("series", r6("point"), r6("lo"), r6("hi"), "n_valid")
 
 
 def q_auc_diff(spark, d):
-    run = lambda rows, starts, n: bootstrap.auc_difference(rows, starts=starts)
-    return of_each_series(spark, d, run).select("series", r6("auc_diff"), r6("p_raw"), "n_valid")
+    return bootstrap.auc_difference(bootstrap_rows(spark, d), keys=["series"], rule="stepped").select("series", r6("auc_diff"), r6("p_raw"), "n_valid")
 
 
 def model_frame(spark, d):

@@ -78,10 +78,7 @@ def with_model_tests(rows: DataFrame, models: list[str], rule: str, runs: int |
     adjust for: those logged so far, or else the suite's own strategies."""
     records = metrics.evaluate_strategy(rows, ["name"], seed=SEED)
     runs = runs or rows.select("name").distinct().count()
-    tests = None
-    for m in models:
-        one = model_against_rule(rows.where(F.col("name") == m), rows.where(F.col("name") == rule), runs).withColumn("name", F.lit(m))
-        tests = one if tests is None else tests.unionByName(one)
+    tests = model_against_rule(rows.where(F.col("name").isin(models)), rows.where(F.col("name") == rule), runs)
     return records.join(tests, "name", "left")
 
 
@@ -155,11 +152,11 @@ def book_suite(book: DataFrame, market: DataFrame, runs: int | None = None) -> D
     return _made(with_model_tests(rows, ["book_logistic_adaptive"], "book_persistence", runs), rows, data)
 
 
-def model_against_rule(model: DataFrame, rule: DataFrame, runs: int, n_boot: int = bootstrap.N_BOOT, seed: int = SEED) -> DataFrame:
-    """``auc_diff, p_raw, n_valid, p_bonferroni, skill_claimed`` on common rows."""
-    both = model.select("i", "y", "p").join(rule.select("i", F.col("p").alias("p_base")), "i")
-    rows = _positioned(both.withColumnRenamed("i", "at"), Over("at", ())).drop("at")
-    out = bootstrap.auc_difference(rows, n_boot=n_boot, seed=seed)
+def model_against_rule(models: DataFrame, rule: DataFrame, runs: int, n_boot: int = bootstrap.N_BOOT, seed: int = SEED) -> DataFrame:
+    """``name, auc_diff, p_raw, n_valid, p_bonferroni, skill_claimed`` of each of
+    the ``models`` on its rows in common with the rule, all in one plan."""
+    both = models.select("name", "i", "y", "p").join(rule.select("i", F.col("p").alias("p_base")), "i")
+    out = bootstrap.auc_difference(both, n_boot=n_boot, seed=seed, keys=["name"])
     p = bootstrap.bonferroni(F.col("p_raw"), runs)
     return out.withColumn("p_bonferroni", p).withColumn("skill_claimed", p < bootstrap.SKILL)
 
