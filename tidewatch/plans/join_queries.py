@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.windows import Over
-from ..operators import asof, bootstrap, intervals, metrics, reality
-from .oracle import BARS, SIGNALS, with_
+from ..operators import asof, bootstrap, folds, intervals, isotonic, metrics, reality
+from ..sources.scratch import Scratch
+from ..streaming import labels, windows
+from .oracle import BARS, FOLDS, SIGNALS, with_
 from .queries import SCAN, _t, bars, r6, signal_rows
 
 LONG = Over()
@@ -81,7 +83,70 @@ def q_reality_check(spark, d):
     return out.select("series", "name", r6("mean"), "rank", r6("p_alone"), r6("p_step"))
 
 
-QUERIES = {"asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time, "reality_check": q_reality_check}
+def fold_scores(spark, d):
+    """Training rows of each fold with the score to three places."""
+    rows = signal_rows(spark, d).withColumn("p", F.round("p", 3))
+    each = folds.assign(rows, folds.folds_of(rows, ["series"]).drop("n"), ["series"])
+    return each.where("role = 'train'").select("series", "fold", "y", "p")
+
+
+def q_isotonic(spark, d):
+    out = isotonic.isotonic_blocks(fold_scores(spark, d), ["series", "fold"])
+    return out.select("series", "fold", r6("low"), r6("high"), "n", r6("value"))
+
+
+def event_bars(spark, d):
+    e = _t(spark, d, "events")
+    return e.select(F.col("event_type").alias("series"), "ts", (F.col("value") + 10).alias("price"), (F.col("value") / (F.col("value") + 1)).alias("p"))
+
+
+DELAY = "1 hour"
+
+
+def _resolved(df):
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return df.select("series", at("ts"), r6("p"), at("resolved_ts"), r6("r"), "y")
+
+
+def q_resolved(spark, d):
+    rows = event_bars(spark, d)
+    return _resolved(labels.resolve_batch(rows, labels.latest(spark, rows, DELAY)))
+
+
+def q_resolved_stream(spark, d):
+    """The same from a stream over the events, with state and timers."""
+    scratch = Scratch(spark)
+    kept = scratch.save(event_bars(spark, d), "bars")  # a folder, as a stream of files needs one
+    rows = spark.readStream.schema(kept.schema).parquet(f"{scratch.base}/bars")
+    labels.start_resolved(rows, f"{scratch.base}/rows", f"{scratch.base}/log", DELAY).awaitTermination()
+    return _resolved(spark.read.schema(labels.SCHEMA).parquet(f"{scratch.base}/rows"))
+
+
+def _windowed(df, *keys):
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return df.select(*keys, at("start"), at("end"), "n", r6("mean"), r6("vol"), r6("low"), r6("high"))
+
+
+def q_sessions(spark, d):
+    return _windowed(windows.sessions(_t(spark, d, "events"), ["user_id"], "ts", "6 hours"), "user_id")
+
+
+def q_sliding(spark, d):
+    return _windowed(windows.sliding(_t(spark, d, "events"), ["event_type"], "ts", "2 hours", "30 minutes"), "event_type")
+
+
+QUERIES = {
+    "asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time,
+    "reality_check": q_reality_check, "isotonic_calibration": q_isotonic,
+    "resolved_labels": q_resolved, "resolved_labels_stream": q_resolved_stream, "session_bursts": q_sessions, "sliding_vol": q_sliding,
+}
+
+FOLD_SCORES = """scores AS (SELECT r.series, f.fold, r.y, round(r.p, 3) AS p FROM rows_ r JOIN folds f ON r.series = f.series AND r.i < f.train_end)"""
+RESOLVED = """WITH b AS (SELECT event_type AS series, ts, value + 10 AS price, value / (value + 1) AS p FROM events),
+l AS (SELECT *, lead(ts, 10) OVER w AS then_ts, lead(price, 10) OVER w AS then_price FROM b WINDOW w AS (PARTITION BY series ORDER BY ts))
+SELECT series, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, round(p, 6) AS p, strftime(then_ts, '%Y-%m-%d %H:%M:%S.%f') AS resolved_ts, round(then_price / price - 1, 6) AS r, (then_price / price - 1 < 0)::INT AS y
+FROM l WHERE then_ts < (SELECT date_trunc('millisecond', max(ts) - INTERVAL 1 HOUR) FROM b)"""
+MOMENTS = "count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS vol, round(min(value), 6) AS low, round(max(value), 6) AS high"
 
 SPANS = BARS + """,
 spans AS (SELECT series, date, date - DATE '1970-01-01' AS s, lead(date, 10) OVER (PARTITION BY series ORDER BY date) - DATE '1970-01-01' AS e FROM bars QUALIFY e IS NOT NULL)"""
@@ -120,4 +185,18 @@ diffs AS (SELECT series, thr::VARCHAR AS name, i, (s_thr - s) * greatest(0.0, -r
     """most AS (SELECT *, max(z) OVER (PARTITION BY series, rep ORDER BY rank DESC) AS top FROM centred)""",
     """shares AS (SELECT series, name, rank, avg((z >= stat)::INT) AS p_alone, avg((top >= stat)::INT) AS p FROM most GROUP BY 1, 2, 3)""")
     + "SELECT series, name, round(mean, 6) AS mean, rank::INT AS rank, round(p_alone, 6) AS p_alone, round(max(p) OVER (PARTITION BY series ORDER BY rank), 6) AS p_step FROM shares JOIN own USING (series, name, rank)",
+    # The largest, over all beginnings up to a score, of the least mean, over all ends from it on, of the rows between.
+    "isotonic_calibration": with_(SIGNALS, FOLDS, FOLD_SCORES, "each AS (SELECT series, fold, p, count(*) AS n, sum(y) AS s FROM scores GROUP BY 1, 2, 3)",
+        "sums AS (SELECT *, row_number() OVER w AS k, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM each WINDOW w AS (PARTITION BY series, fold ORDER BY p))",
+        "spans AS (SELECT a.series, a.fold, a.k AS a, b.k AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM sums a JOIN sums b ON a.series = b.series AND a.fold = b.fold AND b.k >= a.k)",
+        "least AS (SELECT series, fold, a, b AS k, min(m) OVER (PARTITION BY series, fold, a ORDER BY b DESC) AS m FROM spans)",
+        "fit AS (SELECT series, fold, k, max(m) AS v FROM least GROUP BY 1, 2, 3)")
+    + "SELECT series, fold, round(min(p), 6) AS low, round(max(p), 6) AS high, sum(n)::BIGINT AS n, round(sum(s) / sum(n), 6) AS value FROM fit JOIN sums USING (series, fold, k) GROUP BY series, fold, round(v, 12)",
+    "resolved_labels": RESOLVED,
+    "resolved_labels_stream": RESOLVED,
+    "session_bursts": f"""WITH a AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+b AS (SELECT *, sum((before IS NULL OR ts >= before + INTERVAL 6 HOURS)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM a)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S.%f') AS "end", {MOMENTS} FROM b GROUP BY user_id, g""",
+    "sliding_vol": f"""WITH a AS (SELECT *, time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS w FROM events, range(4) t(k))
+SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(w + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S.%f') AS "end", {MOMENTS} FROM a GROUP BY event_type, w""",
 }
