@@ -3,10 +3,13 @@ batches, and their SQL."""
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from ..functions.bands import band
 from ..functions.windows import Over
-from ..operators import asof, bootstrap, folds, intervals, isotonic, metrics, reality
+from ..operators import asof, bootstrap, cube, folds, intervals, isotonic, metrics, reality
 from ..sources.scratch import Scratch
 from ..streaming import labels, windows
 from .oracle import BARS, FOLDS, SIGNALS, with_
@@ -95,6 +98,13 @@ def q_isotonic(spark, d):
     return out.select("series", "fold", r6("low"), r6("high"), "n", r6("value"))
 
 
+def q_metrics_cube(spark, d):
+    """The metric record by series, year and hedge band, and by all coarser groups."""
+    rows = signal_rows(spark, d).withColumns({"year": F.year("date"), "band": band(F.col("p"))["lo"]})
+    out = cube.metrics_cube(rows, ["series", "year", "band"], ["series"])
+    return out.select("level", "series", "year", "band", "n", *[r6(c) for c in out.columns if c not in ("level", "series", "year", "band", "n", "n_onsets", "n_missed")], "n_onsets", "n_missed")
+
+
 def event_bars(spark, d):
     e = _t(spark, d, "events")
     return e.select(F.col("event_type").alias("series"), "ts", (F.col("value") + 10).alias("price"), (F.col("value") / (F.col("value") + 1)).alias("p"))
@@ -137,10 +147,11 @@ def q_sliding(spark, d):
 
 QUERIES = {
     "asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time,
-    "reality_check": q_reality_check, "isotonic_calibration": q_isotonic,
+    "reality_check": q_reality_check, "isotonic_calibration": q_isotonic, "metrics_cube": q_metrics_cube,
     "resolved_labels": q_resolved, "resolved_labels_stream": q_resolved_stream, "session_bursts": q_sessions, "sliding_vol": q_sliding,
 }
 
+GROUPS = [c for k in (3, 2, 1, 0) for c in combinations(("series", "year", "band"), k)]
 FOLD_SCORES = """scores AS (SELECT r.series, f.fold, r.y, round(r.p, 3) AS p FROM rows_ r JOIN folds f ON r.series = f.series AND r.i < f.train_end)"""
 RESOLVED = """WITH b AS (SELECT event_type AS series, ts, value + 10 AS price, value / (value + 1) AS p FROM events),
 l AS (SELECT *, lead(ts, 10) OVER w AS then_ts, lead(price, 10) OVER w AS then_price FROM b WINDOW w AS (PARTITION BY series ORDER BY ts))
@@ -199,4 +210,16 @@ b AS (SELECT *, sum((before IS NULL OR ts >= before + INTERVAL 6 HOURS)::INT) OV
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S.%f') AS "end", {MOMENTS} FROM b GROUP BY user_id, g""",
     "sliding_vol": f"""WITH a AS (SELECT *, time_bucket(INTERVAL 30 MINUTES, ts) - k * INTERVAL 30 MINUTES AS w FROM events, range(4) t(k))
 SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(w + INTERVAL 2 HOURS, '%Y-%m-%d %H:%M:%S.%f') AS "end", {MOMENTS} FROM a GROUP BY event_type, w""",
+    "metrics_cube": with_(SIGNALS, """marked AS (SELECT *, year(date) AS year, CASE WHEN p >= 0.30 THEN 0.50 WHEN p >= 0.20 THEN 0.25 ELSE 0.0 END::DOUBLE AS band, lag(y) OVER w AS y0, max(CASE WHEN s = 0 THEN i END) OVER w AS off, min(i) OVER w AS first
+  FROM rows_ WINDOW w AS (PARTITION BY series ORDER BY i))""",
+        "led AS (SELECT *, y = 1 AND coalesce(y0 = 0, false) AS onset, CASE WHEN s = 1 THEN least(i - coalesce(off, first - 1) - 1, 10) END AS lead FROM marked)",
+        "scores AS (SELECT grouping(series, year, band) AS level, series, year, band, p, sum(y) AS pos, sum(1 - y) AS neg FROM led GROUP BY GROUPING SETS ("
+        + ", ".join("(" + ", ".join([*g, "p"]) + ")" for g in GROUPS) + "))",
+        "wins AS (SELECT *, pos * (coalesce(sum(neg) OVER (PARTITION BY level, series, year, band ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS w FROM scores)",
+        "aucs AS (SELECT level, series, year, band, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(w) / (sum(pos) * sum(neg)) END AS auc FROM wins GROUP BY 1, 2, 3, 4)",
+        "sums AS (SELECT grouping(series, year, band) AS level, series, year, band, count(*) AS n, avg(y) AS base_rate, avg(s) AS hedge_on_frac, coalesce(sum(s * y) / nullif(sum(s), 0), 0) AS precision, coalesce(sum(s * y) / nullif(sum(y), 0), 0) AS recall,"
+        " avg((s = 0 AND y = 1)::INT) / greatest(avg(y), 1e-9) AS false_negative_rate, avg((s = 1 AND y = 0)::INT) AS false_positive_days_frac, avg((p - y) * (p - y)) AS brier,"
+        " count(*) FILTER (onset) AS n_onsets, count(*) FILTER (onset AND lead IS NULL) AS n_missed, avg(lead) FILTER (onset) AS lead_mean FROM led GROUP BY GROUPING SETS (" + ", ".join("(" + ", ".join(g) + ")" for g in GROUPS) + "))")
+    + "SELECT s.level::INT AS level, s.series, s.year::INT AS year, s.band, n, n_onsets, n_missed, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("base_rate", "hedge_on_frac", "precision", "recall", "false_negative_rate", "false_positive_days_frac", "brier", "auc", "lead_mean"))
+    + " FROM sums s JOIN aucs a ON a.level = s.level AND a.series IS NOT DISTINCT FROM s.series AND a.year IS NOT DISTINCT FROM s.year AND a.band IS NOT DISTINCT FROM s.band",
 }
