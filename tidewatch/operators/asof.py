@@ -17,16 +17,22 @@ from pyspark.sql.window import Window
 
 from ..sources.scratch import Scratch
 
-RANGES = 64
+RANGES, MOST_RANGES = 64, 4096
+RANGE_ROWS = 2_000_000  # rows of a range of a written table, about
 
 
-def _range_of(time: Column, cuts: Column, lo: int, hi: int) -> Column:
-    """How many of the sorted ``cuts[lo:hi]`` are at most ``time``, plus lo, by
-    halving; a missing cut is larger than any time."""
+def _search(time: Column, cuts: Column, base: Column, stride: int, lo: int, hi: int) -> Column:
+    """How many of the 63 cuts at base + stride - 1, base + 2 * stride - 1, ... are
+    at most ``time``, by halving; a missing cut is larger than any time."""
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi) // 2
-    return F.when(F.coalesce(F.get(cuts, F.lit(mid)) <= time, F.lit(False)), _range_of(time, cuts, mid + 1, hi)).otherwise(_range_of(time, cuts, lo, mid))
+    below = F.coalesce(F.get(cuts, base + ((mid + 1) * stride - 1)) <= time, F.lit(False))
+    return F.when(below, _search(time, cuts, base, stride, mid + 1, hi)).otherwise(_search(time, cuts, base, stride, lo, mid))
+
+
+def ranges_of(rows: int) -> int:
+    return max(RANGES, min(MOST_RANGES, -(-rows // RANGE_ROWS)))
 
 
 def in_ranges(df: DataFrame, time: str, ranges: int = RANGES, name: str = "_range") -> DataFrame:
@@ -34,8 +40,14 @@ def in_ranges(df: DataFrame, time: str, ranges: int = RANGES, name: str = "_rang
     about equally many rows.  The cuts are one row, from one aggregate."""
     shares = [k / ranges for k in range(1, ranges)]
     cuts = df.agg(F.percentile_approx(time, shares, 10 * ranges).alias("_cuts"))
-    placed = df.join(F.broadcast(cuts), how="cross")  # one row
-    return placed.withColumn(name, F.coalesce(_range_of(F.col(time), F.col("_cuts"), 0, ranges - 1), F.lit(0))).drop("_cuts")
+    placed = df.join(F.broadcast(cuts), how="cross").withColumn(name, F.lit(0))  # one row
+    stride = 1
+    while stride * 64 < ranges:
+        stride *= 64
+    while stride:  # each step halves among 64 ranges of the one found before
+        placed = placed.withColumn(name, F.col(name) + F.coalesce(_search(F.col(time), F.col("_cuts"), F.col(name), stride, 0, 63), F.lit(0)) * stride)
+        stride //= 64
+    return placed.drop("_cuts")
 
 
 def asof_join(
@@ -50,7 +62,7 @@ def asof_join(
     tolerance: Column | None = None,
     forward: bool = False,
     how: str = "left",
-    ranges: int = RANGES,
+    ranges: int | None = None,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """``left`` with the columns ``take`` (all but the keys) of the right row that
@@ -65,7 +77,8 @@ def asof_join(
     the largest ``take`` columns, in their order, holds.
 
     ``how``: ``left`` keeps left rows without a match, with nulls, ``inner`` does
-    not.  With ``scratch`` both sides are written there once; else they are worked
+    not.  ``ranges``: of time (None: by the number of rows where both sides are
+    written, else ``RANGES``).  With ``scratch`` both sides are written there once; else they are worked
     out for each of the three steps that read them.  Rows with a null key or time match nothing; repeated left rows stay.
     Names of ``take`` must not be in ``left``.
     """
@@ -82,7 +95,11 @@ def asof_join(
     rights = known(right, right_on).select(*by, time.cast(kind).alias("_time"), after.alias("_side"), match.alias("_match"), F.lit(None).cast(left.schema).alias("_row"))
     lefts = known(left, on).select(*by, F.col(on).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(rights.schema["_match"].dataType).alias("_match"), F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"))
     both = lefts.unionByName(rights)
-    both = in_ranges(both if scratch is None else scratch.save(both, f"asof-{uuid.uuid4().hex}"), "_time", ranges)
+    if scratch is not None:
+        both = scratch.save(both, f"asof-{uuid.uuid4().hex}")
+    if ranges is None:
+        ranges = RANGES if scratch is None else ranges_of(both.count())
+    both = in_ranges(both, "_time", ranges)
 
     order = [F.desc("_time"), F.desc("_side"), F.asc("_match")] if forward else [F.asc("_time"), F.asc("_side"), F.asc("_match")]
     w = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,13 +7,17 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions import windows as w
 from ..functions.bands import band
 from ..functions.windows import Over
-from ..operators import asof, bootstrap, cube, folds, intervals, isotonic, metrics, reality
+from ..operators import asof, bootstrap, cube, folds, intervals, isotonic, metrics, reality, spread
+from ..operators.features import MARKET_FEATURES, with_market_features
+from ..operators.labels import with_labels, with_returns
 from ..sources.scratch import Scratch
 from ..streaming import labels, windows
 from .oracle import BARS, FOLDS, SIGNALS, with_
-from .queries import SCAN, _t, bars, r6, signal_rows
+from .oracle import ORACLE as BASE
+from .queries import SCAN, WIDE, _t, bars, panel, r6, signal_rows
 
 LONG = Over()
 YEAR = 1998
@@ -145,7 +149,47 @@ def q_sliding(spark, d):
     return _windowed(windows.sliding(_t(spark, d, "events"), ["event_type"], "ts", "2 hours", "30 minutes"), "event_type")
 
 
-QUERIES = {
+def q_labels_spread(spark, d):
+    """The labels with each series cut into ranges."""
+    rows, over = spread.spread(bars(spark, d), LONG, ranges=8)
+    out = spread.core(with_labels(rows, "close", over))
+    return out.select("series", "date", r6("rv_trail"), r6("rv_thresh"), r6("rv_fwd"), r6("mdd_fwd"), "label")
+
+
+def q_features_spread(spark, d):
+    """The features of one series, the panel, cut into ranges."""
+    rows, over = spread.spread(panel(spark, d), WIDE, ranges=8)
+    return spread.core(with_market_features(rows, over)).select("date", *[r6(f) for f in MARKET_FEATURES])
+
+
+def _spread_signals(spark, d):
+    rows = spread.positioned(signal_rows(spark, d).drop("i"), LONG)
+    return spread.spread(rows, Over("i"), 11, 1, ranges=8)
+
+
+def q_nps_spread(spark, d):
+    rows, over = _spread_signals(spark, d)
+    return spread.core(metrics.with_net_protection(rows, over)).groupBy("series").agg(r6(metrics.net_protection_of(), "nps"))
+
+
+def q_lead_times_spread(spark, d):
+    rows, over = _spread_signals(spark, d)
+    onset, lead = F.coalesce(w.onset("y", over), F.lit(False)), w.lead_time("s", "i", metrics.LOOKBACK, over)
+    each = spread.core(rows.withColumns({"onset": onset, "lead": lead}))
+    led = F.when(F.col("onset"), F.col("lead"))
+    return each.groupBy("series").agg(F.count_if("onset").alias("n_onsets"), F.count_if(F.col("onset") & F.col("lead").isNull()).alias("n_missed"), r6(F.percentile(led, F.lit(0.5)), "lead_median"), r6(F.avg(led), "lead_mean"))
+
+
+def q_index_level_spread(spark, d):
+    """The running index of each series over ranges."""
+    rows = with_returns(bars(spark, d))
+    out = spread.with_running(rows, LONG, {"total": (F.col("lr"), "sum")})
+    return out.select("series", "date", r6(F.exp("total") * 100.0, "level"))
+
+
+SPREAD = {"labels_spread": q_labels_spread, "features_spread": q_features_spread, "nps_spread": q_nps_spread, "lead_times_spread": q_lead_times_spread, "index_level_spread": q_index_level_spread}
+
+QUERIES = SPREAD | {
     "asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time,
     "reality_check": q_reality_check, "isotonic_calibration": q_isotonic, "metrics_cube": q_metrics_cube,
     "resolved_labels": q_resolved, "resolved_labels_stream": q_resolved_stream, "session_bursts": q_sessions, "sliding_vol": q_sliding,
@@ -162,7 +206,7 @@ MOMENTS = "count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value),
 SPANS = BARS + """,
 spans AS (SELECT series, date, date - DATE '1970-01-01' AS s, lead(date, 10) OVER (PARTITION BY series ORDER BY date) - DATE '1970-01-01' AS e FROM bars QUALIFY e IS NOT NULL)"""
 
-ORACLE = {
+ORACLE = {name: BASE[name.removesuffix("_spread")] for name in SPREAD} | {
     "asof_join": f"""WITH {BARS}, late AS (SELECT date + 2 AS since, close FROM bars WHERE series = 'A')
 SELECT o_orderkey, CASE WHEN o_orderdate::DATE <= since + 5 THEN strftime(since, '%Y-%m-%d') END AS known_since, CASE WHEN o_orderdate::DATE <= since + 5 THEN round(close, 6) END AS close
 FROM orders ASOF LEFT JOIN late ON o_orderdate::DATE >= since""",
