@@ -103,3 +103,19 @@ def test_live_rows(spark, panel):
     assert row.book_rv10_ann == pytest.approx(rv[-1], abs=6e-5) and row.book_regime_thresh == pytest.approx(np.quantile(rv[-252:], 0.75), abs=6e-5)
     assert row.in_regime == (rv[-1] > np.quantile(rv[-252:], 0.75)) and row.signal == int(row.in_regime) and row.label_resolves_after == later
     assert row.spy_hedge_notional_per_100k_book == pytest.approx(1e5 * (row.band_lo + row.band_hi) / 2 * row.book_beta63_vs_spy, abs=400)
+
+
+def test_a_suite_is_logged_then_counted_then_adjusted(spark, tmp_path):
+    from tidewatch.plans import runs
+    from tidewatch.sources import ledger
+
+    rows = [("m", 50, 0.7, 0.12, 0.004, 7), ("r", 50, 0.6, None, None, 3)]
+    records = spark.createDataFrame([(n, k, a, d, p, k / 10, 0.01, 3, 1, 2.0, 2.5, v) for n, k, a, d, p, v in rows], "name string, n long, auc double, auc_diff double, p_raw double, n_eff double, nps double, n_onsets long, n_missed long, lead_median double, lead_mean double, n_valid long")
+    path = str(tmp_path / "runs.jsonl")
+    for k in range(4):
+        ledger.log_run(spark, path, {"k": k}, {}, seed=1, data_snapshot_hash="h")
+    got = runs.logged(records, path, {"suite": "x"}, seed=3, data_snapshot_hash="h")
+    assert ledger.run_count(spark, path) == 6
+    assert got["m"] | {"run_count_M": 6, "p_bonferroni": 0.024, "skill_claimed": True, "auc_minus_persistence": 0.12, "effective_n": 5.0, "lead_median_lead_days": 2.0} == got["m"]
+    assert "run_count_M" not in got["r"] and "p_raw_vs_persistence" not in got["r"] and got["r"]["n_rows"] == 50
+    assert runs.logged(records, path, {"suite": "x"}, seed=3, data_snapshot_hash="h")["m"]["run_count_M"] == 8

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..functions.bands import band
 from ..functions.windows import Over
-from ..operators import asof, bootstrap, cube, folds, intervals, isotonic, metrics, reality, spread
+from ..operators import asof, bootstrap, cube, folds, intervals, isotonic, metrics, reality, sketch, spread
 from ..operators.features import MARKET_FEATURES, with_market_features
 from ..operators.labels import with_labels, with_returns
 from ..sources.scratch import Scratch
@@ -187,11 +187,28 @@ def q_index_level_spread(spark, d):
     return out.select("series", "date", r6(F.exp("total") * 100.0, "level"))
 
 
+FRAME, FRAME_BLOCK = 1024, 128
+
+
+def q_approx_threshold(spark, d):
+    """The trailing 75 % quantile of the events' values over long frames, from a
+    tree of sketches: how many are within the rank error that they state."""
+    rows = _t(spark, d, "events").select(F.lit("all").alias("series"), "event_id", "value")
+    over = Over("event_id")
+    out = sketch.trailing_quantile(rows, "value", 0.75, FRAME, over, k=64, block=FRAME_BLOCK).where("quantile IS NOT NULL")
+    exact = rows.withColumn("frame", F.collect_list("value").over(over.rows(1 - FRAME, 0))).select("event_id", "frame")
+    met = out.join(exact, "event_id")
+    below, upto = (F.size(F.filter("frame", f)) for f in (lambda v: v < F.col("quantile"), lambda v: v <= F.col("quantile")))
+    want = 0.75 * (FRAME - 1)
+    within = F.greatest(below - want, want - upto + 1) <= F.col("rank_error") + 1
+    return met.groupBy("series").agg(F.count(F.lit(1)).alias("frames"), F.count_if(within).alias("within"), F.count_if(F.col("rank_error") < FRAME * 0.1).alias("close"))
+
+
 SPREAD = {"labels_spread": q_labels_spread, "features_spread": q_features_spread, "nps_spread": q_nps_spread, "lead_times_spread": q_lead_times_spread, "index_level_spread": q_index_level_spread}
 
 QUERIES = SPREAD | {
     "asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time,
-    "reality_check": q_reality_check, "isotonic_calibration": q_isotonic, "metrics_cube": q_metrics_cube,
+    "reality_check": q_reality_check, "isotonic_calibration": q_isotonic, "metrics_cube": q_metrics_cube, "approx_threshold": q_approx_threshold,
     "resolved_labels": q_resolved, "resolved_labels_stream": q_resolved_stream, "session_bursts": q_sessions, "sliding_vol": q_sliding,
 }
 
@@ -266,4 +283,6 @@ SELECT event_type, strftime(w, '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(w + IN
         " count(*) FILTER (onset) AS n_onsets, count(*) FILTER (onset AND lead IS NULL) AS n_missed, avg(lead) FILTER (onset) AS lead_mean FROM led GROUP BY GROUPING SETS (" + ", ".join("(" + ", ".join(g) + ")" for g in GROUPS) + "))")
     + "SELECT s.level::INT AS level, s.series, s.year::INT AS year, s.band, n, n_onsets, n_missed, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("base_rate", "hedge_on_frac", "precision", "recall", "false_negative_rate", "false_positive_days_frac", "brier", "auc", "lead_mean"))
     + " FROM sums s JOIN aucs a ON a.level = s.level AND a.series IS NOT DISTINCT FROM s.series AND a.year IS NOT DISTINCT FROM s.year AND a.band IS NOT DISTINCT FROM s.band",
+    # Every full frame is within its bound, and the bound below a tenth of the frame.
+    "approx_threshold": f"SELECT 'all' AS series, count(*) - {FRAME - 1} AS frames, count(*) - {FRAME - 1} AS within, count(*) - {FRAME - 1} AS close FROM events",
 }
