@@ -59,7 +59,8 @@ def starts_of(sizes: DataFrame, keys: list[str], n_boot: int = N_BOOT, block_len
         return _numpy_starts(sizes.where(few), n_boot, block_len, seed).unionByName(starts_of(sizes.where(~few), keys, n_boot, block_len, "hashed", seed))
     if rule not in ("hashed", "stepped"):
         raise ValueError(f"unknown rule of starts: {rule}")
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition("rep")
+    width = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as these few bytes become many rows
+    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(width, "rep")
     each = reps.withColumn("k", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block_len) - 1).cast("int"))))
     place = F.xxhash64(F.lit(seed), "rep", "k") if rule == "hashed" else F.col("rep").cast("long") * 7919 + F.col("k").cast("long") * 104729
     return each.select(*keys, "n", "rep", "k", F.pmod(place, F.col("n")).alias("start"))
@@ -95,7 +96,9 @@ def start_matrix(rule: str, n: int, n_boot: int, block_len: int, seed: int) -> n
 
 def resampled_by(rows: DataFrame, starts: DataFrame, keys: list[str], block_len: int = BLOCK_LEN) -> DataFrame:
     """Rows (keys, i, ...) of each key's replicates: blocks wrap around the end,
-    and the last one is cut so that a replicate has n rows."""
+    and the last one is cut so that a replicate has n rows.  Up to
+    ``BROADCAST_ROWS`` rows go to the starts, else both meet by a shuffle."""
+    rows = F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
     each = starts.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block_len - 1)))).where(F.col("k") * block_len + F.col("j") < F.col("n"))
     return each.select(*keys, "rep", F.pmod(F.col("start") + F.col("j"), F.col("n")).alias("i")).join(rows, [*keys, "i"])
 
