@@ -39,12 +39,19 @@ STAGES = [("quality classifier", quality_stage), ("MinHash near-dedup", near_dup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of the last stage over all of ``documents``."""
+    """The result of the last stage over all of ``documents``.
+
+    Null and empty texts are scored, are near copies of nothing, hold no personal
+    data and pack to their end id; a null doc_id passes through; repeated rows are
+    judged each; an empty table gives no row; columns of any further name pass up
+    to packing.
+    """
     scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.save(docs, f"stage-{k}")
+            scratch.drop(f"stage-{k - 1}")  # read for the last time
     return docs
 
 

@@ -279,7 +279,10 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Digests of ids and of the decoded text, per document, in one pass.
 
     ``doc_id, n_tokens, ids_sha256, decoded_sha256, same`` (whether the decoded
-    text is the text).  Null text counts as empty.
+    text is the text).  Null text counts as empty; a null doc_id is kept, repeated
+    ids and rows give a row each; an empty table gives no row; a very long text is
+    encoded by the task that reads it, in some fifty bytes of memory a byte.
+    Columns besides doc_id and text are ignored.
     """
 
     def make():

@@ -124,7 +124,9 @@ def chat_digests(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     """Digests read back from the formatted conversations.
 
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
-    valid``.
+    valid``.  Null role and text count as empty, a null conv_id is a conversation,
+    equal turns go by role, then text, and repeated rows are turns each; an empty
+    table gives no row; columns besides these four are ignored.
     """
     done = format_conversations(turns, template).select("conv_id", "formatted", "valid", read_turns(F.col("formatted"), template).alias("back"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("trained"))
     listing = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -370,7 +370,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256, feature, n_frames, duration_ms``; the feature is the colour
     histogram of all frames (64 counts, comma-separated).  Null text counts as
-    empty; repeated rows and equal texts give equal values.
+    empty; repeated rows and equal texts give equal values; a null doc_id is kept;
+    an empty table gives no row; a very long text is many frames, held by the task
+    that reads it.  Columns besides doc_id and text are ignored.
     """
 
     def make():

@@ -95,6 +95,12 @@ def read_segments(segments: DataFrame) -> DataFrame:
 
 
 def token_file_index(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = 2_000_000) -> DataFrame:
-    """Write all documents' ids to the shared folder and read the files back."""
+    """Write all documents' ids to the shared folder and read the files back.
+
+    Null text is its end id alone; a null doc_id comes first and is kept; repeated
+    ids and rows are documents each, in some order among themselves; an empty table
+    gives no row; a very long text lies over segments' blocks.  Columns besides
+    doc_id and text are ignored.
+    """
     held = Scratch(docs.sparkSession).save(write_segments(docs, tokenizer_path, end_id, segment_ids), "segments")
     return read_segments(held)
