@@ -17,7 +17,7 @@ from ..sources.scratch import Scratch
 from ..streaming import labels, windows
 from .oracle import BARS, FOLDS, SIGNALS, with_
 from .oracle import ORACLE as BASE
-from .queries import SCAN, WIDE, _t, bars, panel, r6, signal_rows
+from .queries import SCAN, WIDE, _t, bars, order_bars, panel, r6, signal_rows
 
 LONG = Over()
 YEAR = 1998
@@ -42,6 +42,11 @@ def q_asof_events(spark, d):
     return out.select("purchase", "view", r6("view_value"), "error", r6("error_value"))
 
 
+def q_common_days(spark, d):
+    """Days on which bars of lines and of orders both exist."""
+    return bars(spark, d).select("date").intersect(order_bars(spark, d).select("date")).select(F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
 def label_spans(spark, d):
     """Each bar's label interval in days since 1970: to the tenth later bar."""
     rows = bars(spark, d).withColumn("last", F.lead("date", 10).over(LONG.sorted())).where("last IS NOT NULL")
@@ -207,7 +212,7 @@ def q_approx_threshold(spark, d):
 SPREAD = {"labels_spread": q_labels_spread, "features_spread": q_features_spread, "nps_spread": q_nps_spread, "lead_times_spread": q_lead_times_spread, "index_level_spread": q_index_level_spread}
 
 QUERIES = SPREAD | {
-    "asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time,
+    "common_days": q_common_days, "asof_join": q_asof_join, "asof_events": q_asof_events, "label_overlap": q_label_overlap, "label_uniqueness": q_label_uniqueness, "purge_by_time": q_purge_by_time,
     "reality_check": q_reality_check, "isotonic_calibration": q_isotonic, "metrics_cube": q_metrics_cube, "approx_threshold": q_approx_threshold,
     "resolved_labels": q_resolved, "resolved_labels_stream": q_resolved_stream, "session_bursts": q_sessions, "sliding_vol": q_sliding,
 }
@@ -224,6 +229,7 @@ SPANS = BARS + """,
 spans AS (SELECT series, date, date - DATE '1970-01-01' AS s, lead(date, 10) OVER (PARTITION BY series ORDER BY date) - DATE '1970-01-01' AS e FROM bars QUALIFY e IS NOT NULL)"""
 
 ORACLE = {name: BASE[name.removesuffix("_spread")] for name in SPREAD} | {
+    "common_days": "SELECT strftime(l_shipdate, '%Y-%m-%d') AS date FROM lineitem INTERSECT SELECT strftime(o_orderdate, '%Y-%m-%d') FROM orders",
     "asof_join": f"""WITH {BARS}, late AS (SELECT date + 2 AS since, close FROM bars WHERE series = 'A')
 SELECT o_orderkey, CASE WHEN o_orderdate::DATE <= since + 5 THEN strftime(since, '%Y-%m-%d') END AS known_since, CASE WHEN o_orderdate::DATE <= since + 5 THEN round(close, 6) END AS close
 FROM orders ASOF LEFT JOIN late ON o_orderdate::DATE >= since""",
