@@ -100,3 +100,40 @@ def test_sessions_end_after_the_gap(spark):
     df = spark.createDataFrame([("a", T0 + dt.timedelta(seconds=s), 1.0, float(s)) for s in (0, 5, 14, 40)], SCHEMA)
     got = sorted((r.n, (r.end - r.start).total_seconds()) for r in windows.sessions(df, ["series"], "ts", "10 seconds", value="p").collect())
     assert got == [(1, 10.0), (3, 24.0)] and windows.sessions(df.limit(0), ["series"], "ts", "10 seconds", value="p").where(F.col("n") > 0).count() == 0
+
+
+@pytest.fixture(scope="module")
+def crowded_events(tmp_path_factory):
+    """Events that share their times, some with equal values and some without."""
+    duckdb = pytest.importorskip("duckdb")
+    d = tmp_path_factory.mktemp("crowded")
+    # The first two values give a return of 2.0396875, whose double is below it: it rounds down.
+    value = "CASE id % 40 // 2 WHEN 0 THEN 6.0 WHEN 10 THEN 38.635 ELSE (id * 7919 % 2503) / 7.0 END"
+    duckdb.connect().execute(f"COPY (SELECT id AS event_id, TIMESTAMP '2024-01-01' + to_seconds(37.25 * (id // 4)) AS ts, id % 3 AS user_id, CASE WHEN id % 2 = 0 THEN 'a' ELSE 'b' END AS event_type, {value} AS value FROM range(1200) t(id) ORDER BY id) TO '{d}/events.parquet' (FORMAT parquet)")
+    return str(d)
+
+
+def rows_of_sql(d, name):
+    import duckdb
+
+    from tidewatch.plans.registry import ORACLE
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW events AS FROM '{d}/events.parquet'")
+    return sorted(con.execute(ORACLE[name]).fetchall())
+
+
+def test_every_event_of_one_time_counts(spark, crowded_events):
+    from tidewatch.plans.registry import QUERIES
+
+    want = rows_of_sql(crowded_events, "resolved_labels")
+    assert len(want) > 700 and sorted(map(tuple, QUERIES["resolved_labels"](spark, crowded_events).collect())) == want
+
+
+def test_doubles_are_rounded_by_their_value(spark):
+    from tidewatch.functions.scalars import round_double
+
+    df = spark.createDataFrame([(48.635 / 16 - 1,), (3.17 / 6.4 - 1,), (-0.0000015,), (2.5e-7,), (1e300,), (None,), (float("nan"),)], "x double")
+    got = [r.x for r in df.select(round_double("x", 6)).collect()]
+    assert got[:6] == [2.039687, -0.504687, -2e-6, 0.0, 1e300, None] and got[6] != got[6]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as w
 from ..functions.bands import band
+from ..functions.scalars import round_double
 from ..functions.windows import Over
 from ..operators import asof, bootstrap, cube, folds, intervals, isotonic, metrics, reality, sketch, spread
 from ..operators.features import MARKET_FEATURES, with_market_features
@@ -116,7 +117,7 @@ def q_metrics_cube(spark, d):
 
 def event_bars(spark, d):
     e = _t(spark, d, "events")
-    return e.select(F.col("event_type").alias("series"), "ts", (F.col("value") + 10).alias("price"), (F.col("value") / (F.col("value") + 1)).alias("p"))
+    return e.select(F.col("event_type").alias("series"), "ts", "event_id", (F.col("value") + 10).alias("price"), (F.col("value") / (F.col("value") + 1)).alias("p"))
 
 
 DELAY = "1 hour"
@@ -124,12 +125,13 @@ DELAY = "1 hour"
 
 def _resolved(df):
     at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
-    return df.select("series", at("ts"), r6("p"), at("resolved_ts"), r6("r"), "y")
+    return df.select("series", at("ts"), round_double("p", 6), at("resolved_ts"), round_double("r", 6), "y")
 
 
 def q_resolved(spark, d):
+    """Every event is a bar, those of one time in the order of their ids."""
     rows = event_bars(spark, d)
-    return _resolved(labels.resolve_batch(rows, labels.latest(spark, rows, DELAY)))
+    return _resolved(labels.resolve_batch(rows, labels.latest(spark, rows, DELAY), order="event_id"))
 
 
 def q_resolved_stream(spark, d):
