@@ -137,3 +137,55 @@ def test_doubles_are_rounded_by_their_value(spark):
     df = spark.createDataFrame([(48.635 / 16 - 1,), (3.17 / 6.4 - 1,), (-0.0000015,), (2.5e-7,), (1e300,), (None,), (float("nan"),)], "x double")
     got = [r.x for r in df.select(round_double("x", 6)).collect()]
     assert got[:6] == [2.039687, -0.504687, -2e-6, 0.0, 1e300, None] and got[6] != got[6]
+
+
+def test_the_stream_counts_every_event_of_one_time(spark, crowded_events):
+    from tidewatch.plans.registry import QUERIES
+
+    assert sorted(map(tuple, QUERIES["resolved_labels_stream"](spark, crowded_events).collect())) == rows_of_sql(crowded_events, "resolved_labels_stream")
+
+
+class Store:
+    """A series' state that counts its calls; map, list and value in one."""
+
+    def __init__(self):
+        self.calls, self.held, self.timers = 0, {}, []
+
+    def getMapState(self, name, *_):
+        self.held[name] = {}
+        called = lambda f: lambda *a: (setattr(self, "calls", self.calls + 1), f(self.held[name], *a))[1]
+        return type("Map", (), {"updateValue": staticmethod(called(dict.__setitem__)), "removeKey": staticmethod(called(dict.pop)), "iterator": staticmethod(called(lambda m: iter(list(m.items())))),
+                                "containsKey": staticmethod(called(dict.__contains__)), "getValue": staticmethod(called(dict.get)), "keys": staticmethod(called(lambda m: iter(list(m))))})()
+
+    def getListState(self, name, *_):
+        self.held[name] = []
+        called = lambda f: lambda *a: (setattr(self, "calls", self.calls + 1), f(*a))[1]
+        return type("List", (), {"get": staticmethod(called(lambda: iter(self.held[name]))), "put": staticmethod(called(lambda v: self.held.__setitem__(name, v)))})()
+
+    def getValueState(self, name, *_):
+        self.held[name] = None
+        called = lambda f: lambda *a: (setattr(self, "calls", self.calls + 1), f(*a))[1]
+        return type("Value", (), {"get": staticmethod(called(lambda: self.held[name])), "update": staticmethod(called(lambda v: self.held.__setitem__(name, v)))})()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+def test_a_batch_costs_a_few_calls_of_the_state_for_thousands_of_bars():
+    import pandas as pd
+
+    rng, store, made, n = random.Random(5), Store(), [], 30_000
+    at = [1000 * k + rng.randrange(1000) for k in range(n)]
+    price = [1.0 + rng.random() for _ in range(n)]
+    rows = [(a, k, p, 0.5) for k, (a, p) in enumerate(zip(at, price, strict=True))]
+    rng.shuffle(rows)
+    resolver = labels.Resolver(3)
+    resolver.init(store)
+    resolver.handleInputRows(("a",), [pd.DataFrame(rows[k : k + 10_000], columns=["at", "nth", "price", "p"]) for k in range(0, n, 10_000)], type("T", (), {"getCurrentWatermarkInMs": lambda self: 0})())
+    for now in (10_000, 10_000, 25_000, 25_000, 40_000):  # a timer that comes twice finds nothing
+        due, store.timers = [t for t in store.timers if t <= now], [t for t in store.timers if t > now]
+        for _ in due or [now]:
+            made += [x for pdf in resolver.handleExpiredTimer(("a",), type("T", (), {"getCurrentWatermarkInMs": lambda self, now=now: now})(), None) for x in pdf.itertuples()]
+    assert [x.ts.value // 1000 for x in made] == at[:-3] and [x.r for x in made] == [b / a - 1 for a, b in zip(price, price[3:])]
+    assert store.calls < 100 and not store.held["waiting"] and not store.timers

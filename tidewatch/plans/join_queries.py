@@ -139,7 +139,7 @@ def q_resolved_stream(spark, d):
     scratch = Scratch(spark)
     kept = scratch.save(event_bars(spark, d), "bars")  # a folder, as a stream of files needs one
     rows = spark.readStream.schema(kept.schema).parquet(f"{scratch.base}/bars")
-    labels.start_resolved(rows, f"{scratch.base}/rows", f"{scratch.base}/log", DELAY).awaitTermination()
+    labels.start_resolved(rows, f"{scratch.base}/rows", f"{scratch.base}/log", DELAY, order="event_id").awaitTermination()
     return _resolved(spark.read.schema(labels.SCHEMA).parquet(f"{scratch.base}/rows"))
 
 
