@@ -55,3 +55,31 @@ def test_trailing_quantiles_of_long_frames(spark):
     assert all(short[t] is None for t in [*range(63), *range(40, 104)]) and short[104] == np.quantile([u % 7 for u in range(41, 105)], 0.5, method="higher") and len(short) == 900
     with pytest.raises(ValueError, match="multiple"):
         sketch.trailing_quantile(df, "x", 0.5, 100, Over("t", ("k",)))
+
+
+def test_exact_ranks_in_frames_that_cross_blocks(spark):
+    rng = np.random.default_rng(4)
+    n, frame = 1_000, 16  # blocks of 160 rows
+    x = {k: rng.integers(0, 30, n).astype(float) for k in "ab"}
+    lost = {("a", 40): None, ("a", 161): float("nan")}
+    rows = [(k, t, lost.get((k, t), float(v)), None if t % 50 == 7 else float(t % 30)) for k in "ab" for t, v in enumerate(x[k])]
+    df = spark.createDataFrame([*rows, ("c", 0, 1.0, 1.0)], "k string, t long, x double, at double").repartition(5)
+    got = {(r.k, r.t): (r.below, r.upto) for r in sketch.frame_ranks(df, "x", "at", frame, Over("t", ("k",))).collect()}
+    assert len(got) == 2 * n + 1 and got["c", 0] == (None, None)
+    for k in "ab":
+        for t in range(n):
+            own, at = x[k][t - frame + 1 : t + 1], float(t % 30)
+            gone = t < frame - 1 or t % 50 == 7 or any((k, u) in lost for u in range(t - frame + 1, t + 1))
+            assert got[k, t] == ((None, None) if gone else ((own < at).sum(), (own <= at).sum()))
+
+
+def test_quantiles_of_sliding_edges_equal_those_of_each_frame():
+    rng = np.random.default_rng(5)
+    values, weights, edge, block = rng.integers(0, 50, 90).astype(float), 1 << rng.integers(0, 4, 90), rng.integers(0, 50, 63).astype(float), 32
+    edge[40] = np.nan
+    for held in (slice(0, 90), slice(0, 0)):
+        got, full = sketch._slid(values[held], weights[held], edge, block, 0.75)
+        assert full.tolist() == [not j <= 40 < j + block for j in range(32)]
+        for j in np.flatnonzero(full):
+            each, ones = np.concatenate((values[held], edge[j : j + block])), np.ones(block, np.int64)
+            assert got[j] == sketch.quantile_of(each, np.concatenate((weights[held], ones)), 0.75)

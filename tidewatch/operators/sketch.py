@@ -17,16 +17,19 @@ import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregates import Aggregate
 from ..functions.windows import Over
 from ..session import ship
-from .spread import positioned
+from ..sources.scratch import Scratch
+from .spread import positioned, with_running
 
 K = 256
 BLOCK = 512  # rows of a block
+HALOS = 10  # frames of a block whose ranks are counted together
 
 
 @dataclass
@@ -96,7 +99,8 @@ def trailing_quantile(df: DataFrame, value: str, q: float, n: int, over: Over, k
     the value in its frame is at most ``rank_error`` rows from q * (n - 1).
 
     ``n`` is a multiple of ``block``.  A series of any length lies over blocks;
-    nulls and NaN make a frame incomplete, rows need a total order.
+    nulls and NaN make a frame incomplete, rows need a total order.  Blocks and
+    sketches go to scratch tables.
     """
     import pandas as pd
 
@@ -106,7 +110,9 @@ def trailing_quantile(df: DataFrame, value: str, q: float, n: int, over: Over, k
     ship(spark)
     own = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
     rows = positioned(df.where(F.col(over.order).isNotNull()), over).withColumn("_block", F.floor(F.col("i") / block))
+    scratch = Scratch(spark)
     listed = rows.groupBy(*by, "_block").agg(F.sort_array(F.collect_list(F.struct("i", F.col(value).cast("double").alias("x")))).alias("rows")).select(*by, "_block", F.transform("rows", lambda r: F.coalesce(r["x"], F.lit(float("nan")))).alias("xs"))
+    listed = scratch.save(listed, "blocks")
 
     def leaf(parts):
         for pdf in parts:
@@ -115,18 +121,22 @@ def trailing_quantile(df: DataFrame, value: str, q: float, n: int, over: Over, k
             pdf["level"] = 0
             yield pdf.rename(columns={"_block": "node"})[[*by, "level", "node", "sketch", "missing"]]
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = [pickle.loads(s) for s in pdf.sort_values("node")["sketch"]]  # noqa: S301  made by our own tasks
-        whole = made[0] if len(made) == 1 else made[0].merge(made[1])
-        out = {**{c: [pdf[c].iloc[0]] for c in by}, "level": [int(pdf["level"].iloc[0]) + 1], "node": [int(pdf["node"].iloc[0]) // 2], "sketch": [pickle.dumps(whole)], "missing": [int(pdf["missing"].sum())]}
-        return pd.DataFrame(out)
+    def merged(parts):
+        for pdf in parts:
+            made = [[pickle.loads(x) for x in row] for row in pdf["sketches"]]  # noqa: S301  made by our own tasks
+            pdf["sketch"] = [pickle.dumps(x[0] if len(x) == 1 else x[0].merge(x[1])) for x in made]
+            yield pdf[[*by, "level", "node", "sketch", "missing"]]
+
+    def paired(level: DataFrame) -> DataFrame:
+        two = level.groupBy(*by, "level", F.floor(F.col("node") / 2).alias("_up")).agg(F.sort_array(F.collect_list(F.struct("node", "sketch"))).alias("two"), F.sum("missing").alias("missing"))
+        return two.select(*by, (F.col("level") + 1).alias("level"), F.col("_up").alias("node"), F.col("two.sketch").alias("sketches"), "missing").mapInPandas(merged, schema)
 
     schema = f"{own}level int, node long, sketch binary, missing long"
-    level = nodes = listed.mapInPandas(leaf, schema)
+    level = nodes = scratch.save(listed.mapInPandas(leaf, schema), "level0")
     inner = n // block - 1  # whole blocks between the one a frame begins in and its own
     h = 0
     while 2 << h <= inner:
-        level = level.groupBy(*by, "level", F.floor(F.col("node") / 2).alias("_up")).applyInPandas(pair, schema)
+        level = scratch.save(paired(level), f"level{h + 1}")
         nodes, h = nodes.unionByName(level), h + 1
     # The largest aligned nodes that make up the blocks between, for each block.
     cover = spark.createDataFrame([(r, *c) for r in range(1 << h) for c in _cover(r, inner, h)], "r long, level int, back long")
@@ -149,20 +159,75 @@ def trailing_quantile(df: DataFrame, value: str, q: float, n: int, over: Over, k
                 whole = Sketch(k)
                 for s in row["sketches"] if row["sketches"] is not None else ():
                     whole = whole.merge(pickle.loads(s))  # noqa: S301
-                values, weights = whole.weighted()
                 gone = row["missing"] is not None and row["missing"] == row["missing"] and row["missing"] > 0
-                key = [row[c] for c in by]
-                for j in range(len(xs)):
-                    edge = np.concatenate((begun[j + 1 :], xs[: j + 1]))
-                    if not gone and not np.isnan(edge).any():
-                        got = quantile_of(np.concatenate((values, edge)), np.concatenate((weights, np.ones(len(edge), np.int64))), q)
-                        out.append((*key, row["_block"] * block + j, got, whole.bound))
-            yield pd.DataFrame(out, columns=[*by, "i", "quantile", "rank_error"])
-
-    told = both.mapInPandas(answer, f"{own}i long, quantile double, rank_error long")
+                if gone:
+                    continue
+                got, full = _slid(*whole.weighted(), np.concatenate((begun[1:], xs)), block, q)
+                out.append(pd.DataFrame({**{c: row[c] for c in by}, "i": row["_block"] * block + np.flatnonzero(full), "quantile": got[full], "rank_error": whole.bound}))
+            yield pd.concat(out) if out else pd.DataFrame(columns=[*by, "i", "quantile", "rank_error"])
+
+    told = both.repartition(_tasks(spark)).mapInPandas(answer, f"{own}i long, quantile double, rank_error long")
     return rows.alias("x").join(told.alias("t"), [*(F.col(f"x.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by), F.col("x.i") == F.col("t.i")], "left").select(*[F.col(f"x.`{c}`") for c in df.columns], "t.quantile", "t.rank_error")
 
 
+def _tasks(spark: SparkSession) -> int:
+    """As many tasks as a shuffle makes: few bytes may be much work here."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _slid(values: np.ndarray, weights: np.ndarray, edge: np.ndarray, block: int, q: float) -> tuple[np.ndarray, np.ndarray]:
+    """The q-quantile of weighted values and, in turn, each ``block`` neighbours of
+    ``edge``, and where none of those is NaN: one sort for all of them."""
+    m = len(edge) - block + 1
+    held = np.concatenate((values, edge))
+    order = np.argsort(held, kind="stable")
+    at = np.arange(len(edge)) - np.arange(m)[:, None]
+    each = np.hstack((np.broadcast_to(weights, (m, len(weights))), (at >= 0) & (at < block)))[:, order]
+    ends = np.cumsum(each, axis=1)
+    got = held[order][(ends > q * (ends[:, -1:] - 1)).argmax(axis=1)]
+    lost = np.cumsum(np.append(0, np.isnan(edge)))
+    return got, lost[block:] == lost[:m]
+
+
+def frame_ranks(df: DataFrame, value: str, at: str, n: int, over: Over) -> DataFrame:
+    """``df`` with ``below`` and ``upto``: how many of the last n values, this row's
+    too, are below the column ``at``, and how many are not above it, exactly; null
+    where ``at`` or one of the values is not there.
+
+    A series of any length lies over blocks with the n - 1 rows before them; rows
+    need a total order.
+    """
+    size = HALOS * n
+    placed = with_running(df, over, {"_i": (F.lit(1).cast("long"), "sum")}).withColumn("_block", F.floor((F.col("_i") - 1) / size))
+    seen = F.array("_block", F.col("_block") + 1)  # the last rows of a block are seen by the next one, too
+    rows = placed.withColumn("_by", F.explode(F.when((F.col("_i") - 1) % size > size - n, seen).otherwise(F.array("_block"))))
+    keys = [*over.by, "_by"]
+    schema = T.StructType([*df.schema.fields, T.StructField("below", T.LongType()), T.StructField("upto", T.LongType())])
+    columns = df.columns
+
+    def count(table):
+        import pyarrow as pa
+
+        table = table.sort_by("_i")
+        x, wanted = (table[c].cast(pa.float64()).to_numpy() for c in (value, at))
+        below, upto = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        known = np.zeros(len(x), bool)
+        if len(x) >= n:
+            lost = np.cumsum(np.append(0, np.isnan(x)))
+            known[n - 1 :] = (lost[n:] == lost[:-n]) & ~np.isnan(wanted[n - 1 :])
+            frames = np.lib.stride_tricks.sliding_window_view(x, n)
+            for k in range(0, len(frames), step := max(1, (1 << 22) // n)):
+                here, most = slice(n - 1 + k, n - 1 + k + step), wanted[n - 1 + k : n - 1 + k + step, None]
+                below[here], upto[here] = (frames[k : k + step] < most).sum(axis=1), (frames[k : k + step] <= most).sum(axis=1)
+        own = table["_block"].to_numpy() == table["_by"].to_numpy()
+        out = table.select(columns)
+        for name, c in (("below", below), ("upto", upto)):
+            out = out.append_column(name, pa.array(c, mask=~known))
+        return out.filter(pa.array(own))
+
+    return rows.repartition(_tasks(df.sparkSession), *keys).groupBy(*keys).applyInArrow(count, schema)
+
+
 def _cover(r: int, inner: int, most: int) -> list[tuple[int, int]]:
     """(level, blocks back) of aligned nodes that make up the ``inner`` blocks
     before a block whose number leaves ``r`` when divided by 2**most."""

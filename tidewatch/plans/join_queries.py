@@ -202,12 +202,10 @@ def q_approx_threshold(spark, d):
     tree of sketches: how many are within the rank error that they state."""
     rows = _t(spark, d, "events").select(F.lit("all").alias("series"), "event_id", "value")
     over = Over("event_id")
-    out = sketch.trailing_quantile(rows, "value", 0.75, FRAME, over, k=64, block=FRAME_BLOCK).where("quantile IS NOT NULL")
-    exact = rows.withColumn("frame", F.collect_list("value").over(over.rows(1 - FRAME, 0))).select("event_id", "frame")
-    met = out.join(exact, "event_id")
-    below, upto = (F.size(F.filter("frame", f)) for f in (lambda v: v < F.col("quantile"), lambda v: v <= F.col("quantile")))
+    out = Scratch(spark).save(sketch.trailing_quantile(rows, "value", 0.75, FRAME, over, k=64, block=FRAME_BLOCK), "quantiles")
+    met = sketch.frame_ranks(out, "value", "quantile", FRAME, over).where("quantile IS NOT NULL")
     want = 0.75 * (FRAME - 1)
-    within = F.greatest(below - want, want - upto + 1) <= F.col("rank_error") + 1
+    within = F.greatest(F.col("below") - want, want - F.col("upto") + 1) <= F.col("rank_error") + 1
     return met.groupBy("series").agg(F.count(F.lit(1)).alias("frames"), F.count_if(within).alias("within"), F.count_if(F.col("rank_error") < FRAME * 0.1).alias("close"))
 
 
